@@ -37,7 +37,7 @@ def parse_yyyymmdd(c, strict: bool = False) -> Column:
     s = col_of(c).cast("string")
     if strict:
         return F.to_date(s, YYYYMMDD_FORMAT)
-    return F.try_to_date(s, F.lit(YYYYMMDD_FORMAT))
+    return F.try_to_date(s, YYYYMMDD_FORMAT)
 
 
 def parse_dmy_hm(c) -> Column:

@@ -126,3 +126,130 @@ def overview_sql(dim: str, src: str = "enriched") -> str:
        round_even(apply_click_ratio, 2) AS apply_click_pct
 FROM ({m})"""
     return with_base(body, pv)
+
+
+# ---------------------------------------------------------------------------------------------
+# Region expressions in SQL, generated from the same fixed tables as the Spark expressions.
+# ---------------------------------------------------------------------------------------------
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def region_city_sql(x: str) -> str:
+    from .functions.regions import UK_REGIONS
+    s = f"trim({x})"
+    city = f"lower(trim(split_part({s}, ',', 2)))"
+    cases = " ".join(f"WHEN {city} IN ({', '.join(_q(w) for w in words)}) THEN {_q(r)}"
+                     for r, words in UK_REGIONS)
+    return f"(CASE WHEN {s} LIKE '%,%' AND {city} <> '' THEN (CASE {cases} END) END)"
+
+
+def outward_sql(x: str) -> str:
+    from .functions.regions import POSTCODE_PATTERN
+    return (f"nullif(regexp_replace(regexp_extract(upper({x}), {_q(POSTCODE_PATTERN)}, 1), "
+            f"'[A-Z]$', ''), '')")
+
+
+def region_postcode_sql(x: str, mode: str = "reference") -> str:
+    from .functions.regions import postcode_map
+    out = outward_sql(x)
+    key = out if mode == "reference" else f"nullif(regexp_extract({out}, '^[A-Z]+', 0), '')"
+    cases = " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in postcode_map().items())
+    return f"(CASE {key} {cases} END)"
+
+
+def region_keyword_sql(x: str) -> str:
+    from .functions.regions import UK_REGIONS
+    low = f"lower(trim({x}))"
+    cases = " ".join(f"WHEN regexp_matches({low}, {_q('|'.join(words))}) THEN {_q(r)}"
+                     for r, words in UK_REGIONS)
+    return f"(CASE {cases} END)"
+
+
+def region_address_sql(x: str, mode: str = "reference") -> str:
+    found = f"coalesce({region_city_sql(x)}, {region_postcode_sql(x, mode)}, {region_keyword_sql(x)})"
+    return f"(CASE WHEN {x} IS NULL OR {x} = '' THEN 'Unknown' ELSE coalesce({found}, 'Unknown') END)"
+
+
+def region_locations_sql(x: str, mode: str = "reference") -> str:
+    inner = region_address_sql("trim(loc)", mode)
+    lst = (f"list_filter(list_transform(string_split({x}, '|'), lambda loc: {inner}), "
+           f"lambda r: r <> 'Unknown')")
+    return f"(CASE WHEN {x} IS NULL OR {x} = '' THEN 'Unknown' ELSE coalesce({lst}[1], 'Unknown') END)"
+
+
+# ---------------------------------------------------------------------------------------------
+# Shared CTEs for the legacy path and the metadata table.
+# ---------------------------------------------------------------------------------------------
+
+LEGACY_CTE = """legacy AS (
+  SELECT entity_id_str AS entity_id, event_date, event_name, organization_name,
+         title_export AS title, locations AS regions,
+         occupational_fields_export AS occupations, importer_ID AS importer_id, upgrades
+  FROM job_events)"""
+
+
+def metadata_cte(name: str = "metadata", null_fill: str | None = "''", as_of: str = AS_OF_TS) -> str:
+    def s(c, src=None):
+        src = src or c
+        e = f"CAST({src} AS VARCHAR)"
+        return f"coalesce({e}, {null_fill}) AS {c}" if null_fill else f"{e} AS {c}"
+    nul = "NULL" if not null_fill else null_fill
+    return f"""{name} AS (
+  SELECT {s('entity_id', 'job_id')}, {s('title')}, {s('workflow_state')}, {s('occupational_fields')},
+         {s('locations')},
+         try_strptime(publishing_date, '%d/%m/%Y %H:%M') AS publishing_date,
+         try_strptime(expiration_date, '%d/%m/%Y %H:%M') AS expiration_date,
+         {s('organization_profile_name')},
+         CAST({nul} AS VARCHAR) AS organization_id, CAST({nul} AS VARCHAR) AS employment_type,
+         {as_of} AS last_updated
+  FROM job_export)"""
+
+
+def vacancy_table_cte(name: str, src: str) -> str:
+    """Per vacancy from the enriched frame: attributes are per-vacancy constants in the
+    binding, so max() picks the (single) value."""
+    return f"""{name} AS (
+  SELECT entity_id, max(title) AS title, max(organization_name) AS organization_name,
+         max(workflow_state) AS workflow_state, max(start_date) AS start_date,
+         max(end_date) AS end_date, max(uk_region) AS uk_region, max(occupation) AS occupation,
+         max(importer_name) AS importer_name, max(upgrades) AS upgrades,
+         CASE WHEN entity_id IS NULL THEN 0 ELSE count(*) FILTER (WHERE event_name = 'job_visit') END AS clicks,
+         CASE WHEN entity_id IS NULL THEN 0 ELSE count(*) FILTER (WHERE event_name = 'job_apply_start') END AS applies
+  FROM {src} GROUP BY entity_id)"""
+
+
+def days_raw_sql(start="start_date", end="end_date", status="workflow_state", as_of=AS_OF_TS) -> str:
+    return (f"(CASE WHEN {start} IS NOT NULL AND {end} IS NOT NULL THEN date_sub('day', {start}, {end}) "
+            f"WHEN {start} IS NOT NULL AND {status} = 'published' THEN date_sub('day', {start}, {as_of}) END)")
+
+
+def upgrades_joined_sql(x: str) -> str:
+    return (f"(CASE WHEN {_blank(x)} THEN 'None' ELSE "
+            f"array_to_string(list_transform(string_split({x}, '|'), lambda u: trim(u)), ', ') END)")
+
+
+def vacancy_report_sql(filtered_where: str) -> str:
+    """Vacancy report over ``enriched WHERE filtered_where`` with benchmarks on all of it."""
+    raw = days_raw_sql()
+    ctes = ",\n".join([
+        f"filtered AS (SELECT * FROM enriched WHERE {filtered_where})",
+        vacancy_table_cte("vt", "filtered"),
+        vacancy_table_cte("vfull", "enriched"),
+        """bench AS (SELECT occupation, round_even(avg(clicks), 1) AS avg_clicks_occupation,
+                  round_even(avg(applies), 1) AS avg_applies_occupation FROM vfull GROUP BY occupation)""",
+    ])
+    body = f"""SELECT vt.title, vt.organization_name AS company, vt.entity_id AS job_id,
+       vt.workflow_state AS status, vt.start_date, vt.end_date,
+       CASE WHEN {raw} > 0 THEN CAST({raw} AS INTEGER) END AS days_active,
+       vt.uk_region AS region, vt.occupation, vt.importer_name AS importer,
+       {upgrades_joined_sql('vt.upgrades')} AS upgrades,
+       vt.clicks, vt.applies,
+       CASE WHEN vt.clicks > 0 THEN round_even(vt.applies / vt.clicks * 100, 2) END AS ratio_pct,
+       CASE WHEN {raw} > 0 THEN round_even(vt.clicks / {raw}, 2) END AS clicks_per_day,
+       CASE WHEN {raw} > 0 THEN round_even(vt.applies / {raw}, 2) END AS applies_per_day,
+       coalesce(b.avg_clicks_occupation, 0.0) AS avg_clicks_occupation,
+       coalesce(b.avg_applies_occupation, 0.0) AS avg_applies_occupation
+FROM vt LEFT JOIN bench b ON vt.occupation = b.occupation"""
+    return with_base(body, ctes)
