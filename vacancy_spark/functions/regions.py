@@ -105,6 +105,16 @@ def postcode_map() -> dict[str, str]:
     return dict(POSTCODE_AREAS)
 
 
+def city_map() -> dict[str, str]:
+    """Keyword -> region, the first region in declared order winning for a repeated keyword
+    (the same answer as scanning the regions in order)."""
+    out: dict[str, str] = {}
+    for region, words in UK_REGIONS:
+        for w in words:
+            out.setdefault(w, region)
+    return out
+
+
 def _keyword_regex(words) -> str:
     for w in words:
         if not all(ch.isalnum() or ch == " " for ch in w):
@@ -134,19 +144,25 @@ def region_from_postcode(c, mode: str = "reference") -> Column:
 
 def region_from_city(c) -> Column:
     """Exact match of the second comma-separated part (lower-cased, stripped) against each
-    region's keywords, first region in declared order wins; null if none."""
+    region's keywords, first region in declared order wins; null if none. One hash-map probe
+    per row."""
     s = trim_ws(col_of(c))
     city = F.lower(trim_ws(F.get(F.split(s, ","), 1)))
-    expr = None
-    for region, words in UK_REGIONS:
-        cond = city.isin(words)
-        expr = F.when(cond, F.lit(region)) if expr is None else expr.when(cond, F.lit(region))
-    return F.when(s.contains(",") & (city != ""), expr)
+    return city_lookup(s, city)
+
+
+def city_lookup(trimmed: Column, city: Column) -> Column:
+    m = F.create_map(*[F.lit(x) for kv in city_map().items() for x in kv])
+    return F.when(trimmed.contains(",") & (city != ""), F.try_element_at(m, city))
 
 
 def region_from_keyword(c) -> Column:
     """First region (declared order) with any keyword contained in the lower-cased text."""
-    low = F.lower(trim_ws(col_of(c)))
+    return keyword_lookup(F.lower(trim_ws(col_of(c))))
+
+
+def keyword_lookup(low: Column) -> Column:
+    """``region_from_keyword`` on text that is already stripped and lower-cased."""
     expr = None
     for region, words in UK_REGIONS:
         cond = low.rlike(_keyword_regex(words))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Python's str.strip() removes any Unicode whitespace; Spark's trim() only removes spaces.
-_EDGE_WS = r"(?U)^\s+|\s+$"
+# Python's str.strip() removes every character for which str.isspace() is true; Spark's
+# trim() only removes spaces. The set is derived from Python itself, not listed by hand.
+WHITESPACE = "".join(chr(i) for i in range(0x110000) if chr(i).isspace())
 
 
 def col_of(c) -> Column:
@@ -15,7 +16,7 @@ def col_of(c) -> Column:
 
 def trim_ws(c) -> Column:
     """Strip leading/trailing Unicode whitespace (the semantics of ``str.strip``)."""
-    return F.regexp_replace(col_of(c), _EDGE_WS, "")
+    return F.btrim(col_of(c), F.lit(WHITESPACE))
 
 
 def is_blank(c) -> Column:
