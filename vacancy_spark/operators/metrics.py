@@ -171,8 +171,8 @@ def quartile_metrics(df: DataFrame, entity: str = ENTITY) -> DataFrame:
     it into three rows.
     """
     v = per_vacancy(df, entity)
-    q1 = v.select(F.percentile("clicks", 0.25)).scalar()
-    q3 = v.select(F.percentile("clicks", 0.75)).scalar()
+    qs = v.select(F.percentile("clicks", F.array(F.lit(0.25), F.lit(0.75)))).scalar()
+    q1, q3 = qs.getItem(0), qs.getItem(1)
     c = F.col("clicks")
     groups = {"top_25": c >= q3, "middle_50": (c >= q1) & (c < q3), "bottom_25": c < q1}
     aggs = [F.count(F.lit(1)).alias("n")]
@@ -203,11 +203,9 @@ def remove_outliers_iqr(df: DataFrame, value: str, by=None) -> DataFrame:
     by = _dims(by)
     x = F.col(value)
     if not by:
-        stats = df.agg(F.percentile(x, 0.25).alias("q1"), F.percentile(x, 0.75).alias("q3"),
-                       F.count(x).alias("n"))
-        q1 = stats.select("q1").scalar()
-        q3 = stats.select("q3").scalar()
-        n = stats.select("n").scalar()
+        stats = df.select(F.struct(F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("q"),
+                                   F.count(x).alias("n"))).scalar()
+        q1, q3, n = stats["q"].getItem(0), stats["q"].getItem(1), stats["n"]
         iqr = q3 - q1
         return df.where((n < 4) | x.between(q1 - 1.5 * iqr, q3 + 1.5 * iqr))
     stats = df.groupBy(*by).agg(F.percentile(x, 0.25).alias("_q1"), F.percentile(x, 0.75).alias("_q3"),
@@ -274,9 +272,9 @@ def performance_band(value, avg) -> Column:
 
 def benchmark_bands(df: DataFrame, dimension: str, entity: str = ENTITY) -> DataFrame:
     """Each group's mean clicks and apply rate banded against the overall figures."""
-    overall = kpi_metrics(df, entity)
-    avg_c = overall.select("mean_clicks_per_vacancy").scalar()
-    avg_r = overall.select("apply_click_ratio").scalar()
+    overall = kpi_metrics(df, entity).select(
+        F.struct("mean_clicks_per_vacancy", "apply_click_ratio")).scalar()
+    avg_c, avg_r = overall["mean_clicks_per_vacancy"], overall["apply_click_ratio"]
     g = grouped_metrics(df, dimension, entity, null_group="drop")
     return g.select(
         dimension, "mean_clicks_per_vacancy", "apply_click_ratio",

@@ -13,6 +13,7 @@ from ..operators.clean import (add_occupation, apply_importer_mapping, parse_dat
                                parse_upgrades, prepare_enriched)
 from ..sources import fixtures
 from ..sources.events import scan_events
+from .materialize import job_events_table
 
 
 def enrich(scanned: DataFrame, mapping: DataFrame | None) -> DataFrame:
@@ -27,7 +28,7 @@ def enrich(scanned: DataFrame, mapping: DataFrame | None) -> DataFrame:
 def enriched_events(spark: SparkSession, sf_dir: str, as_of: str = fixtures.AS_OF,
                     days_back: int = 30, mapping: DataFrame | None = None) -> DataFrame:
     """The enriched report frame over the driver tables."""
-    events = fixtures.job_events(spark, sf_dir)
+    events = job_events_table(spark, sf_dir)
     if mapping is None:
         mapping = fixtures.importer_mapping_rows(spark)
     return enrich(scan_events(events, as_of, days_back), mapping)
@@ -35,7 +36,7 @@ def enriched_events(spark: SparkSession, sf_dir: str, as_of: str = fixtures.AS_O
 
 def legacy_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw (legacy) event table: ``YYYYMMDD`` string dates, address strings."""
-    e = fixtures.job_events(spark, sf_dir)
+    e = job_events_table(spark, sf_dir)
     return e.select(
         e.entity_id_str.alias("entity_id"), "event_date", "event_name", "organization_name",
         e.title_export.alias("title"), e.locations.alias("regions"),

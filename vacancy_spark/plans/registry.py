@@ -32,6 +32,7 @@ from ..sources import files as FS
 from ..sources import fixtures as FX
 from . import tables as TB
 from .enrich import enrich, enriched_events, legacy_events
+from .materialize import job_events_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -110,7 +111,7 @@ def _legacy_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM job_events WHERE event_date_parsed >= DATE '2024-01-11'
   AND event_name IN ('job_visit', 'job_apply_start')"""))
 def q_scan_events(spark, sf_dir):
-    return EV.scan_events(FX.job_events(spark, sf_dir), AS_OF, days_back=20)
+    return EV.scan_events(job_events_table(spark, sf_dir), AS_OF, days_back=20)
 
 
 @register("scan_events_legacy", W("SELECT * FROM legacy WHERE event_date >= '20240117'", O.LEGACY_CTE))
@@ -128,7 +129,7 @@ def q_read_job_export(spark, sf_dir):
 @register("importer_mapping", W("""SELECT importer_id, importer_name FROM importer_mapping
 WHERE importer_id IN (SELECT trim(CAST(importer_ID AS VARCHAR)) FROM job_events WHERE importer_ID IS NOT NULL)"""))
 def q_importer_mapping(spark, sf_dir):
-    return X.importer_names_in_use(FX.job_events(spark, sf_dir), _mapping_csv(spark))
+    return X.importer_names_in_use(job_events_table(spark, sf_dir), _mapping_csv(spark))
 
 
 SHEET_SQL = f"""SELECT event_date AS event_data, event_name, organization_name,
@@ -139,7 +140,7 @@ FROM job_events"""
 
 
 def _sheet_frame(spark, sf_dir):
-    e = C.add_occupation(FX.job_events(spark, sf_dir), "occupational_fields_export")
+    e = C.add_occupation(job_events_table(spark, sf_dir), "occupational_fields_export")
     return e.select(F.col("event_date").alias("event_data"), "event_name", "organization_name",
                     "occupation", F.col("locations").alias("regions"),
                     F.col("importer_ID").cast("string").alias("importer_id"))
@@ -231,7 +232,7 @@ def q_merge_backfill(spark, sf_dir):
     target = (_metadata(spark, sf_dir)
               .withColumn("occupational_fields", F.lit(None).cast("string"))
               .withColumn("locations", F.lit(None).cast("string")))
-    ev = FX.job_events(spark, sf_dir)
+    ev = job_events_table(spark, sf_dir)
     source = ev.select(F.col("entity_id_str").alias("entity_id"),
                        F.col("occupational_fields_export").alias("occupational_fields"),
                        "locations").distinct()
@@ -274,7 +275,7 @@ PREVIEW_ORDER = ["event_date_parsed", "entity_id_str", "event_name", "event_date
                               + ", ".join(f"{c} DESC NULLS LAST" if i == 0 else f"{c} ASC NULLS FIRST"
                                           for i, c in enumerate(PREVIEW_ORDER)) + " LIMIT 10"))
 def q_preview_recent(spark, sf_dir):
-    e = FX.job_events(spark, sf_dir).where(F.col("event_date_parsed") >= D.as_date_literal("2024-01-25"))
+    e = job_events_table(spark, sf_dir).where(F.col("event_date_parsed") >= D.as_date_literal("2024-01-25"))
     order = [F.col(PREVIEW_ORDER[0]).desc_nulls_last()] + [F.col(c).asc_nulls_first() for c in PREVIEW_ORDER[1:]]
     return EV.preview(e, 10, order)
 
@@ -288,12 +289,12 @@ def q_preview_recent(spark, sf_dir):
   occupational_fields_export AS occupational_fields, importer_ID, publishing_date AS start_date,
   expiration_date AS end_date, workflow_state, upgrades FROM scanned"""))
 def q_prepare_enriched(spark, sf_dir):
-    return C.prepare_enriched(EV.scan_events(FX.job_events(spark, sf_dir), AS_OF))
+    return C.prepare_enriched(EV.scan_events(job_events_table(spark, sf_dir), AS_OF))
 
 
 @register("importer_names", W("SELECT entity_id, event_date, importer_ID, importer_id_str, importer_name FROM enriched"))
 def q_importer_names(spark, sf_dir):
-    scanned = EV.scan_events(FX.job_events(spark, sf_dir), AS_OF)
+    scanned = EV.scan_events(job_events_table(spark, sf_dir), AS_OF)
     df = enrich(scanned, _mapping_csv(spark))
     return df.select("entity_id", "event_date", "importer_ID", "importer_id_str", "importer_name")
 
@@ -303,7 +304,7 @@ def q_importer_names(spark, sf_dir):
 FROM (SELECT entity_id, event_date, importer_ID, importer_id_str FROM enriched) e
 LEFT JOIN importer_mapping m ON e.importer_id_str = m.importer_id"""))
 def q_importer_names_raw(spark, sf_dir):
-    df = C.prepare_enriched(EV.scan_events(FX.job_events(spark, sf_dir), AS_OF))
+    df = C.prepare_enriched(EV.scan_events(job_events_table(spark, sf_dir), AS_OF))
     out = C.apply_importer_mapping(df, FX.importer_mapping_rows(spark), fallback="raw")
     return out.select("entity_id", "event_date", "importer_ID", "importer_id_str", "importer_name")
 
@@ -388,7 +389,7 @@ def q_select_columns(spark, sf_dir):
 # =============================================================================================
 
 def _region_rows(spark, sf_dir, **cols):
-    e = FX.job_events(spark, sf_dir)
+    e = job_events_table(spark, sf_dir)
     return e.select("entity_id_str", "event_date", "locations", *[v.alias(k) for k, v in cols.items()])
 
 
@@ -501,7 +502,7 @@ def q_filter_organisation_export(spark, sf_dir):
 @register("filter_event_names", W("""SELECT entity_id_str, event_date_parsed, event_name FROM job_events
 WHERE event_name IN ('job_visit', 'signup')"""))
 def q_filter_event_names(spark, sf_dir):
-    e = FX.job_events(spark, sf_dir)
+    e = job_events_table(spark, sf_dir)
     return FL.apply_filters(e, FL.FilterSpec(event_names=("job_visit", "signup"))).select(
         "entity_id_str", "event_date_parsed", "event_name")
 
@@ -756,7 +757,7 @@ def q_conversion_funnel(spark, sf_dir):
 @register("table_verification", W("""SELECT count(*) AS total_rows, min(event_date_parsed) AS min_date,
   max(event_date_parsed) AS max_date, count(DISTINCT entity_id_str) AS unique_entities FROM job_events"""))
 def q_table_verification(spark, sf_dir):
-    return M.verify_table(FX.job_events(spark, sf_dir))
+    return M.verify_table(job_events_table(spark, sf_dir))
 
 
 @register("mapping_audit", W("""SELECT DISTINCT e.importer_id_str AS importer_id,

@@ -8,9 +8,10 @@ puts a whole user's events into one task), we:
 2. attach the dimension columns to that per-user table (small joins),
 3. join the per-user attributes back onto the events once.
 
-Step 3 is a single equi-join on ``user_id``; AQE turns it into a broadcast join when the
-per-user table is small at run time and splits a hot user's partition (skew join)
-otherwise. Nothing is materialised on the driver.
+Step 3 is a single equi-join on ``user_id``. ``plans.materialize`` writes the per-user table
+first, so Spark sees its real size and broadcasts it only when it is under the broadcast
+threshold; otherwise the join is a shuffle join whose hot-user partitions AQE splits.
+Nothing passes through the driver.
 """
 
 from __future__ import annotations
@@ -97,10 +98,15 @@ def user_attributes(spark: SparkSession, sf_dir: str, events: DataFrame | None =
     )
 
 
-def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The enriched event table (``app`` schema plus legacy ``event_date`` and ``locations``)."""
+def job_events(spark: SparkSession, sf_dir: str, attrs: DataFrame | None = None) -> DataFrame:
+    """The enriched event table (``app`` schema plus legacy ``event_date`` and ``locations``).
+
+    ``attrs`` is the per-user attribute table when it has already been materialised
+    (``plans.materialize``); otherwise it is derived here in the same plan.
+    """
     ev = table(spark, sf_dir, "events").select("ts", "user_id", "event_type")
-    attrs = user_attributes(spark, sf_dir, ev)
+    if attrs is None:
+        attrs = user_attributes(spark, sf_dir, ev)
     joined = ev.join(attrs, ev.user_id.eqNullSafe(attrs.user_id), "left").drop(attrs.user_id)
     et = F.col("event_type")
     return joined.select(
