@@ -115,6 +115,13 @@ def city_map() -> dict[str, str]:
     return out
 
 
+def _map_literal(d: dict[str, str]) -> Column:
+    """A MAP<STRING,STRING> literal, passed to the JVM as one SQL expression."""
+    def q(x: str) -> str:
+        return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return F.expr("map(" + ", ".join(f"{q(k)}, {q(v)}" for k, v in d.items()) + ")")
+
+
 def _keyword_regex(words) -> str:
     for w in words:
         if not all(ch.isalnum() or ch == " " for ch in w):
@@ -138,8 +145,7 @@ def region_from_postcode(c, mode: str = "reference") -> Column:
     letters, the documented intent."""
     out = postcode_outward(c)
     key = out if mode == "reference" else F.nullif(F.regexp_extract(out, "^[A-Z]+", 0), F.lit(""))
-    m = F.create_map(*[F.lit(x) for kv in postcode_map().items() for x in kv])
-    return F.try_element_at(m, key)
+    return F.try_element_at(_map_literal(postcode_map()), key)
 
 
 def region_from_city(c) -> Column:
@@ -152,8 +158,7 @@ def region_from_city(c) -> Column:
 
 
 def city_lookup(trimmed: Column, city: Column) -> Column:
-    m = F.create_map(*[F.lit(x) for kv in city_map().items() for x in kv])
-    return F.when(trimmed.contains(",") & (city != ""), F.try_element_at(m, city))
+    return F.when(trimmed.contains(",") & (city != ""), F.try_element_at(_map_literal(city_map()), city))
 
 
 def region_from_keyword(c) -> Column:

@@ -62,10 +62,20 @@ def _ready(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+_OPENED: dict[tuple[str, str], DataFrame] = {}
+
+
 def job_events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The enriched event binding as a date-partitioned Parquet table (built on first use)."""
+    """The enriched event binding as a date-partitioned Parquet table (built on first use).
+
+    The opened DataFrame is kept per application and folder, so later queries skip the
+    partition discovery; a change of any input file changes the folder name.
+    """
     base = f"{shared_dir(spark)}/vacancy_spark/enriched"
     final = f"{base}/{_fingerprint(spark, sf_dir)}"
+    key = (spark.sparkContext.applicationId, final)
+    if key in _OPENED:
+        return _OPENED[key]
     if not _ready(spark, final):
         tmp = f"{base}/_tmp-{uuid.uuid4().hex}"
         ev = FX.table(spark, sf_dir, "events").select("ts", "user_id", "event_type")
@@ -79,4 +89,5 @@ def job_events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         _publish(spark, tmp, final)
         p, fs = _fs(spark, f"{tmp}_users")
         fs.delete(p, True)
-    return spark.read.parquet(final)
+    _OPENED[key] = spark.read.parquet(final)
+    return _OPENED[key]
