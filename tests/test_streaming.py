@@ -1,0 +1,25 @@
+"""The streaming daily trend agrees with the batch one once every day is closed."""
+
+from pyspark.sql import functions as F
+
+from conftest import SF_SMALL
+from vacancy_spark.operators.trends import daily_trend
+from vacancy_spark.plans.enrich import enriched_events
+from vacancy_spark.session import fresh_path
+from vacancy_spark.streaming.trends import read_event_stream, start_daily_trend
+
+
+def test_stream_matches_batch(spark):
+    ev = enriched_events(spark, SF_SMALL).select("event_date", "event_name")
+    src = fresh_path(spark, "stream_src")
+    ev.write.parquet(src)
+    # one more file far in the future closes every real day under the 2-day watermark
+    spark.createDataFrame([("2030-01-01", "other")], "d string, event_name string").select(
+        F.col("d").cast("date").alias("event_date"), "event_name").write.mode("append").parquet(src)
+    out = fresh_path(spark, "stream_out")
+    q = start_daily_trend(spark, read_event_stream(spark, src, max_files_per_trigger=2), out,
+                          available_now=True)
+    q.awaitTermination(300)
+    got = sorted(tuple(r) for r in spark.read.parquet(out).collect())
+    want = sorted(tuple(r) for r in daily_trend(ev).collect())
+    assert got == want
