@@ -9,9 +9,9 @@ tables and written under the shared ``spark.checkpoint.dir``:
    file statistics are under ``spark.sql.autoBroadcastJoinThreshold`` and a shuffle join
    (with AQE skew splitting) otherwise -- the event table is never shuffled just to find
    out that the other side was small;
-2. the events joined with their attributes are range-laid-out by (day, vacancy, row hash)
-   and written partitioned by day, so date filters prune folders and vacancy filters skip
-   row groups.
+2. the events joined with their attributes are rebalanced by day (AQE splits an oversized
+   day over several tasks), sorted by (day, vacancy) within each task and written
+   partitioned by day, so date filters prune folders and vacancy filters skip row groups.
 
 The folder name is a hash of the inputs' paths, sizes and modification times; a finished
 table is reused, a new one is written to a temporary name and renamed into place, and the
@@ -82,7 +82,7 @@ def job_events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         FX.user_attributes(spark, sf_dir, ev).write.parquet(f"{tmp}_users")
         users = spark.read.parquet(f"{tmp}_users")
         events = FX.job_events(spark, sf_dir, attrs=users)
-        (_clustered(events, ["event_date_parsed", "entity_id_str"])
+        (_clustered(events, ["event_date_parsed"], ["event_date_parsed", "entity_id_str"])
             .write.option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
             .partitionBy("event_date_parsed")
             .parquet(tmp))

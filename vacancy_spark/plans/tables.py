@@ -6,9 +6,9 @@ These are job steps, so they write (and sometimes check) data. Rules kept throug
   or a table path), never to a machine-local temp folder;
 * a path being read is never overwritten in the same plan: new data is written to a fresh
   path and the caller switches to it;
-* partitioned writes are laid out by a range shuffle on (partition column, cluster key,
-  row hash), so one huge day or one hot vacancy is spread over many tasks and every task
-  writes few partition folders.
+* partitioned writes are laid out by a REBALANCE shuffle on the partition column (AQE splits
+  an oversized day -- one hot vacancy included -- over several tasks) and sorted within each
+  task on the cluster keys, so every task writes few folders of well-clustered files.
 """
 
 from __future__ import annotations
@@ -27,13 +27,13 @@ from ..sources.files import path_exists
 MAX_RECORDS_PER_FILE = 5_000_000
 
 
-def _clustered(df: DataFrame, keys: list[str], partitions: int | None = None) -> DataFrame:
-    """Range-partition on ``keys`` plus a deterministic row hash (so equal keys can still be
-    split across tasks), then sort within each task by ``keys``."""
-    salt = F.xxhash64(*[F.col(c) for c in df.columns])
-    cols = [F.col(k) for k in keys] + [salt]
-    laid = df.repartitionByRange(partitions, *cols) if partitions else df.repartitionByRange(*cols)
-    return laid.sortWithinPartitions(*keys)
+def _clustered(df: DataFrame, partition_cols: list[str], sort_cols: list[str]) -> DataFrame:
+    """Lay rows out for a partitioned write: a REBALANCE shuffle on the partition columns
+    (AQE splits an oversized day -- e.g. one holding a hot vacancy -- into several tasks and
+    merges tiny ones, without a sampling pass), then a sort within each task on the cluster
+    keys, so each file covers a narrow key range and Parquet min/max statistics skip row
+    groups."""
+    return df.hint("rebalance", *partition_cols).sortWithinPartitions(*sort_cols)
 
 
 def typed_events(raw: DataFrame, strict: bool = True) -> DataFrame:
@@ -50,11 +50,10 @@ def typed_events(raw: DataFrame, strict: bool = True) -> DataFrame:
     )
 
 
-def rebuild_typed_events(raw: DataFrame, path: str, strict: bool = True,
-                         partitions: int | None = None) -> DataFrame:
+def rebuild_typed_events(raw: DataFrame, path: str, strict: bool = True) -> DataFrame:
     """CTAS equivalent: typed events, partitioned by day, clustered by (vacancy, day)."""
     t = typed_events(raw, strict)
-    (_clustered(t, ["event_date_parsed", "entity_id_str"], partitions)
+    (_clustered(t, ["event_date_parsed"], ["event_date_parsed", "entity_id_str"])
         .write.mode("overwrite")
         .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
         .partitionBy("event_date_parsed")
@@ -75,12 +74,11 @@ def range_bucket(c, start: int, stop: int, step: int):
 
 def rebuild_range_partitioned(raw: DataFrame, path: str, start: int = 20200101,
                               stop: int = 20301231, step: int = 10000,
-                              date_col: str = "event_date", entity: str = "entity_id",
-                              partitions: int | None = None) -> DataFrame:
+                              date_col: str = "event_date", entity: str = "entity_id") -> DataFrame:
     """Copy of ``raw`` partitioned by yearly integer-date buckets, clustered by (date, vacancy)."""
     ev = F.col(date_col).cast("string").try_cast("bigint")
     t = raw.withColumn("event_date_bucket", range_bucket(ev, start, stop, step))
-    (_clustered(t, ["event_date_bucket", date_col, entity], partitions)
+    (_clustered(t, ["event_date_bucket"], ["event_date_bucket", date_col, entity])
         .write.mode("overwrite")
         .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
         .partitionBy("event_date_bucket")
