@@ -147,7 +147,10 @@ def job_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def importer_mapping_rows(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(IMPORTER_MAPPING_ROWS, "importer_id string, importer_name string")
+    """The five mapping rows as an inline table (a local relation with exact size
+    statistics, so the planner broadcasts it without a hint)."""
+    values = ", ".join(f"('{i}', '{n}')" for i, n in IMPORTER_MAPPING_ROWS)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t(importer_id, importer_name)")
 
 
 # ---------------------------------------------------------------------------------------------
