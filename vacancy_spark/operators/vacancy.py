@@ -1,9 +1,12 @@
 """Vacancy-level reports.
 
 The reference loops over vacancies and rescans the event frame twice per vacancy. Here a
-vacancy table is ONE hash aggregate keyed by the vacancy: the representative row
-(``max_by`` over a struct) and the click/apply counts come out of the same shuffle. The
-occupation benchmark is a second, much smaller aggregate joined on the occupation label.
+vacancy table is ONE aggregate keyed by the vacancy: the representative row (``max_by`` over
+a struct) and the click/apply counts come out of the same shuffle, with partial aggregation
+before it. (The struct holds strings, so Spark runs it as a sort-based aggregate, which
+spills instead of failing on a task with many vacancies.) Only the columns a report shows
+enter the struct. The occupation benchmark is a second, much smaller aggregate joined on
+the occupation label.
 """
 
 from __future__ import annotations
@@ -54,9 +57,13 @@ def days_active_raw(start, end, status, as_of) -> Column:
                    whole_days_between(s, as_ts_literal(as_of))))
 
 
-def occupation_benchmark(full_df: DataFrame, entity: str = ENTITY) -> DataFrame:
-    """Mean clicks and applies per vacancy by occupation over the UNFILTERED data, 1 dp."""
-    v = vacancy_table(full_df.select(entity, "event_date", "event_name", "occupation"), entity)
+def occupation_benchmark(full_df: DataFrame, entity: str = ENTITY,
+                         vacancies: DataFrame | None = None) -> DataFrame:
+    """Mean clicks and applies per vacancy by occupation over the UNFILTERED data, 1 dp.
+
+    ``vacancies`` may pass an already computed vacancy table of ``full_df`` (saves a shuffle)."""
+    v = vacancies if vacancies is not None else vacancy_table(
+        full_df.select(entity, "event_date", "event_name", "occupation"), entity)
     return (v.groupBy("occupation")
              .agg(F.bround(F.avg("clicks"), 1).alias("avg_clicks_occupation"),
                   F.bround(F.avg("applies"), 1).alias("avg_applies_occupation")))
@@ -64,7 +71,10 @@ def occupation_benchmark(full_df: DataFrame, entity: str = ENTITY) -> DataFrame:
 
 def vacancy_report(df: DataFrame, as_of, full_df: DataFrame | None = None,
                    entity: str = ENTITY) -> DataFrame:
-    """The 18-column vacancy report, most clicks first."""
+    """The 18-column vacancy report, most clicks first. Occupation benchmarks
+    come from ``full_df`` (the unfiltered data); when it is ``df`` itself, the same vacancy
+    table serves both, so the report costs one shuffle of the events."""
+    same = full_df is None or full_df is df
     full_df = df if full_df is None else full_df
     keep = [c for c in (entity, "event_date", "event_name", "title", "organization_name",
                         "workflow_state", "start_date", "end_date", "uk_region", "occupation",
@@ -85,7 +95,7 @@ def vacancy_report(df: DataFrame, as_of, full_df: DataFrame | None = None,
         F.when(raw > 0, F.bround(clicks / raw, 2)).alias("clicks_per_day"),
         F.when(raw > 0, F.bround(applies / raw, 2)).alias("applies_per_day"),
     )
-    bench = occupation_benchmark(full_df, entity)
+    bench = occupation_benchmark(full_df, entity, vacancies=v if same else None)
     return (rep.join(bench, "occupation", "left")
                .withColumn("avg_clicks_occupation", F.coalesce("avg_clicks_occupation", F.lit(0.0)))
                .withColumn("avg_applies_occupation", F.coalesce("avg_applies_occupation", F.lit(0.0)))
@@ -130,7 +140,9 @@ def _legacy_columns(v: DataFrame, entity: str, title: Column, org: Column, regio
 def vacancy_report_legacy(df: DataFrame, entity: str = ENTITY) -> DataFrame:
     """The previous report: nine columns; ratio 0 (not null) without clicks; dates ``'N/A'``
     when the frame has no date columns."""
-    v = vacancy_table(df, entity)
+    keep = [c for c in (entity, "event_date", "event_name", "title", "organization_name",
+                        "start_date", "end_date", "uk_region") if c in df.columns]
+    v = vacancy_table(df.select(*keep), entity)
     title = F.col("title") if "title" in v.columns else (
         F.col("organization_name") if "organization_name" in v.columns else F.lit("Unknown"))
     org = F.col("organization_name") if "organization_name" in v.columns else F.lit("Unknown")
@@ -143,7 +155,9 @@ def vacancy_view(df: DataFrame, regions=(), orgs=(), entity: str = ENTITY,
                  postcode_mode: str = "reference") -> DataFrame:
     """The stand-alone vacancy page: region parsed from each vacancy's address, title falling
     back to the organisation, organisation to ``entity_name``; then the page's filters."""
-    v = vacancy_table(df, entity)
+    keep = [c for c in (entity, "event_date", "event_name", "title", "organization_name",
+                        "entity_name", "start_date", "end_date", "regions") if c in df.columns]
+    v = vacancy_table(df.select(*keep), entity)
     title = F.col("title") if "title" in v.columns else F.col("organization_name")
     org = F.col("organization_name") if "organization_name" in v.columns else F.col("entity_name")
     region = region_from_address("regions", postcode_mode) if "regions" in v.columns else F.lit("Unknown")
