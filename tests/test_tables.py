@@ -98,3 +98,30 @@ def test_require_table(spark):
     from vacancy_spark.sources.events import require_table
     with pytest.raises(LookupError):
         require_table(spark, "no_such_table_here")
+
+
+def test_empty_result_flows_through(spark):
+    from vacancy_spark.operators import filters as FL
+    from vacancy_spark.operators import vacancy as V
+    from vacancy_spark.plans.enrich import enriched_events
+    df = enriched_events(spark, SF_SMALL)
+    empty = FL.apply_filters(df, FL.FilterSpec(importer=("no such importer",)))
+    assert V.vacancy_report(empty, "2024-01-31", df).count() == 0
+    assert V.vacancy_totals(V.vacancy_report(empty, "2024-01-31", df)).first()["total_vacancies"] == 0
+
+
+def test_scan_row_cap_and_legacy_order(spark):
+    from vacancy_spark.plans.enrich import legacy_events
+    from vacancy_spark.plans.materialize import job_events_table
+    from vacancy_spark.sources.events import scan_events, scan_events_legacy
+    assert scan_events(job_events_table(spark, SF_SMALL), "2024-01-31", sample_size=7).count() == 7
+    dates = [r[0] for r in scan_events_legacy(legacy_events(spark, SF_SMALL), "2024-01-31").select("event_date").collect()]
+    assert dates == sorted(dates, reverse=True)
+
+
+def test_select_columns_defaults(spark):
+    from vacancy_spark.operators.clean import select_columns
+    df = spark.createDataFrame([(1, "x", "y")], "event_date int, event_name string, other string")
+    assert select_columns(df).columns == ["event_date", "event_name"]
+    assert select_columns(df, ["other", "missing"]).columns == ["other"]
+    assert select_columns(df.select("other")).columns == ["other"]
