@@ -184,10 +184,17 @@ def region_from_address(c, postcode_mode: str = "reference") -> Column:
 
 
 def region_from_locations(c, postcode_mode: str = "reference") -> Column:
-    """Pipe-separated locations: the first (in list order) whose region is not Unknown."""
+    """Pipe-separated locations: the first (in list order) whose region is not Unknown.
+
+    A value without ``|`` is one location and takes the plain (code-generated) address
+    expression; only real lists go through the higher-order ``transform``/``filter``.
+    """
     c = col_of(c)
     regions = F.transform(F.split(c, r"\|"),
                           lambda loc: region_from_address(trim_ws(loc), postcode_mode))
     known = F.filter(regions, lambda r: r != F.lit(UNKNOWN))
-    first = F.get(known, 0)
-    return F.when(c.isNull() | (c == ""), F.lit(UNKNOWN)).otherwise(F.coalesce(first, F.lit(UNKNOWN)))
+    listed = F.coalesce(F.get(known, 0), F.lit(UNKNOWN))
+    single = region_from_address(trim_ws(c), postcode_mode)
+    return (F.when(c.isNull() | (c == ""), F.lit(UNKNOWN))
+             .when(~c.contains("|"), single)
+             .otherwise(listed))
