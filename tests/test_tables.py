@@ -125,3 +125,23 @@ def test_select_columns_defaults(spark):
     assert select_columns(df).columns == ["event_date", "event_name"]
     assert select_columns(df, ["other", "missing"]).columns == ["other"]
     assert select_columns(df.select("other")).columns == ["other"]
+
+
+def test_all_string_read_and_empty_error(spark, scratch):
+    os.makedirs(local_path(scratch), exist_ok=True)
+    good = os.path.join(local_path(scratch), "sheet.csv")
+    with open(good, "w") as f:
+        f.write("event_data,importer_id\n20240105,2\n")
+    df = FS.read_all_string(spark, good)
+    assert [f.dataType.simpleString() for f in df.schema.fields] == ["string", "string"]
+    empty = os.path.join(local_path(scratch), "empty.csv")
+    open(empty, "w").close()
+    with pytest.raises(Exception):
+        FS.read_all_string(spark, empty)
+
+
+def test_card_metrics_absent_columns(spark):
+    from vacancy_spark.operators.metrics import card_metrics
+    df = spark.createDataFrame([("a",), ("b",), ("a",)], "organization_name string")
+    r = card_metrics(df).first()
+    assert (r["total_records"], r["unique_organizations"], r["unique_occupations"], r["unique_regions"]) == (3, 2, 0, 0)

@@ -356,13 +356,13 @@ def q_normalise_metadata(spark, sf_dir):
 
 
 @register("dedup_latest", W("""SELECT entity_id,
-  CASE WHEN CAST(entity_id AS BIGINT) % 2 = 0 THEN upper(title) ELSE title END AS title,
-  CASE WHEN CAST(entity_id AS BIGINT) % 2 = 0 THEN TIMESTAMP '2024-02-01 00:00:00' ELSE last_updated END AS last_updated
+  CASE WHEN workflow_state = 'published' THEN upper(title) ELSE title END AS title,
+  CASE WHEN workflow_state = 'published' THEN TIMESTAMP '2024-02-01 00:00:00' ELSE last_updated END AS last_updated
 FROM metadata""", O.metadata_cte()))
 def q_dedup_latest(spark, sf_dir):
     old = _metadata(spark, sf_dir).select("entity_id", "title", "last_updated")
     new = (C.normalise_metadata(FX.job_export(spark, sf_dir), "2024-02-01")
-           .where(F.col("entity_id").cast("bigint") % 2 == 0)
+           .where(F.col("workflow_state") == "published")
            .select("entity_id", F.upper("title").alias("title"), "last_updated"))
     return C.dedup_latest(old.unionByName(new), "entity_id", "last_updated")
 

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..operators.clean import clean_importer_mapping
 from ..schema import IMPORTER_MAPPING_SCHEMA, JOB_EXPORT_SCHEMA, JOB_METADATA_SCHEMA
-from ..session import local_path
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -69,15 +68,18 @@ def register_external_csv(spark: SparkSession, name: str, path: str) -> DataFram
     return spark.table(name)
 
 
-def load_csv_replace(spark: SparkSession, path: str, dest: str) -> tuple[DataFrame, dict]:
+def load_csv_replace(spark: SparkSession, path: str, dest: str,
+                     sampling_ratio: float = 1.0) -> tuple[DataFrame, dict]:
     """Load a CSV with schema inference and fully replace ``dest`` (Parquet).
 
     Validates that the file exists and has at least one row; returns the loaded table and
     its stats (rows, bytes on disk, columns). This is a job step, so it runs actions.
+    Inference reads the whole input once; on very large inputs pass ``sampling_ratio`` < 1
+    to infer from a sample (types may then differ from a full pass).
     """
     if not path_exists(spark, path):
         raise FileNotFoundError(path)
-    df = spark.read.csv(path, header=True, inferSchema=True)
+    df = spark.read.csv(path, header=True, inferSchema=True, samplingRatio=sampling_ratio)
     if df.isEmpty():
         raise ValueError(f"{path} has no rows")
     df.write.mode("overwrite").parquet(dest)
@@ -104,9 +106,3 @@ def write_metadata(df: DataFrame, name: str, mode: str = "overwrite") -> None:
     checked.select(*[f.name for f in JOB_METADATA_SCHEMA.fields]).write.insertInto(
         name, overwrite=(mode == "overwrite"))
 
-
-__all__ = [
-    "path_exists", "path_bytes", "read_job_export", "read_importer_mapping", "read_all_string",
-    "register_external_csv", "load_csv_replace", "create_metadata_table", "write_metadata",
-    "local_path",
-]
