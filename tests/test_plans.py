@@ -48,3 +48,11 @@ def test_vacancy_report_single_shuffle_on_entity(spark):
     df = E.queries()["vacancy_counts"](spark, SF_SMALL)
     p = plan(df)
     assert p.count("HashAggregate") >= 2  # partial + final
+
+
+@pytest.mark.parametrize("key", ["quartile_metrics", "iqr_filter"])
+def test_threshold_subquery_reuses_the_vacancy_shuffle(spark, key):
+    df = E.queries()[key](spark, SF_SMALL)
+    df.collect()
+    p = df._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in p and "hashpartitioning(entity_id" in p

@@ -171,8 +171,12 @@ def quartile_metrics(df: DataFrame, entity: str = ENTITY) -> DataFrame:
     it into three rows.
     """
     v = per_vacancy(df, entity)
-    qs = v.select(F.percentile("clicks", F.array(F.lit(0.25), F.lit(0.75)))).scalar()
-    q1, q3 = qs.getItem(0), qs.getItem(1)
+    # The subquery reads both count columns (its applies total is unused), so its
+    # per-vacancy aggregate is the same plan as the main query's and Spark reuses that
+    # exchange instead of scanning and shuffling the events a second time.
+    th = v.select(F.struct(F.percentile("clicks", F.array(F.lit(0.25), F.lit(0.75))).alias("q"),
+                           F.sum("applies").alias("_a"))).scalar()
+    q1, q3 = th["q"].getItem(0), th["q"].getItem(1)
     c = F.col("clicks")
     groups = {"top_25": c >= q3, "middle_50": (c >= q1) & (c < q3), "bottom_25": c < q1}
     aggs = [F.count(F.lit(1)).alias("n")]
@@ -203,8 +207,12 @@ def remove_outliers_iqr(df: DataFrame, value: str, by=None) -> DataFrame:
     by = _dims(by)
     x = F.col(value)
     if not by:
+        # every column is referenced so the subquery's input plan equals the main one and
+        # Spark reuses its exchanges rather than recomputing ``df``
         stats = df.select(F.struct(F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("q"),
-                                   F.count(x).alias("n"))).scalar()
+                                   F.count(x).alias("n"),
+                                   F.max(F.xxhash64(*[F.col(c) for c in df.columns])).alias("_all"))
+                          ).scalar()
         q1, q3, n = stats["q"].getItem(0), stats["q"].getItem(1), stats["n"]
         iqr = q3 - q1
         return df.where((n < 4) | x.between(q1 - 1.5 * iqr, q3 + 1.5 * iqr))
