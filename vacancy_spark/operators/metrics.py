@@ -279,13 +279,26 @@ def performance_band(value, avg) -> Column:
 
 
 def benchmark_bands(df: DataFrame, dimension: str, entity: str = ENTITY) -> DataFrame:
-    """Each group's mean clicks and apply rate banded against the overall figures."""
-    overall = kpi_metrics(df, entity).select(
-        F.struct("mean_clicks_per_vacancy", "apply_click_ratio")).scalar()
-    avg_c, avg_r = overall["mean_clicks_per_vacancy"], overall["apply_click_ratio"]
-    g = grouped_metrics(df, dimension, entity, null_group="drop")
+    """Each group's mean clicks and apply rate banded against the overall figures. A null
+    group is the row of zeros of the benchmark tables (SURVEY S1).
+
+    Groups and overall figures come from one per-(group, vacancy) count table, so the events
+    are scanned and shuffled once; the overall figures are a scalar subquery over that
+    (much smaller) table.
+    """
+    pv = vacancy_counts(df, dimension, entity=entity)
+    vac = F.count_distinct(entity)
+    tc = F.coalesce(F.sum("clicks"), F.lit(0))
+    ta = F.coalesce(F.sum("applies"), F.lit(0))
+    overall = pv.select(F.struct(
+        F.when(vac > 0, tc / vac).otherwise(F.lit(0.0)).alias("mean_clicks"),
+        ratio_pct(ta, tc).alias("ratio"))).scalar()
+    g = _finish(pv.groupBy(dimension).agg(*_level2_aggs(entity)), [dimension])
+    null = F.col(dimension).isNull()
+    g = g.withColumns({c: F.when(null, F.lit(0.0)).otherwise(F.col(c))
+                       for c in ("mean_clicks_per_vacancy", "apply_click_ratio")})
     return g.select(
         dimension, "mean_clicks_per_vacancy", "apply_click_ratio",
-        performance_band("mean_clicks_per_vacancy", avg_c).alias("clicks_band"),
-        performance_band("apply_click_ratio", avg_r).alias("ratio_band"),
+        performance_band("mean_clicks_per_vacancy", overall["mean_clicks"]).alias("clicks_band"),
+        performance_band("apply_click_ratio", overall["ratio"]).alias("ratio_band"),
     )

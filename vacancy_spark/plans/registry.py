@@ -885,7 +885,7 @@ def _band_sql(v: str, avg: str) -> str:
 @register("performance_band", W(f"""SELECT g.uk_region, g.mean_clicks_per_vacancy, g.apply_click_ratio,
   {_band_sql('g.mean_clicks_per_vacancy', 'o.mean_clicks_per_vacancy')} AS clicks_band,
   {_band_sql('g.apply_click_ratio', 'o.apply_click_ratio')} AS ratio_band
-FROM g, o""", O.per_vacancy_cte("pv_g", "(SELECT * FROM enriched WHERE uk_region IS NOT NULL)", ["uk_region"]),
+FROM g, o""", O.per_vacancy_cte("pv_g", "enriched", ["uk_region"]),
     f"g AS ({O.metrics_select(['uk_region'], 'pv_g')})",
     O.per_vacancy_cte("pv_o", "enriched"), f"o AS ({O.metrics_select(None, 'pv_o')})"))
 def q_performance_band(spark, sf_dir):
