@@ -13,12 +13,13 @@ def test_stream_matches_batch(spark):
     ev = enriched_events(spark, SF_SMALL).select("event_date", "event_name")
     src = fresh_path(spark, "stream_src")
     ev.write.parquet(src)
-    # one more file far in the future closes every real day under the 2-day watermark
+    # files hold days in no particular order, so the watermark allows the whole month; one
+    # more file far in the future then closes every real day
     spark.createDataFrame([("2030-01-01", "other")], "d string, event_name string").select(
         F.col("d").cast("date").alias("event_date"), "event_name").write.mode("append").parquet(src)
     out = fresh_path(spark, "stream_out")
     q = start_daily_trend(spark, read_event_stream(spark, src, max_files_per_trigger=2), out,
-                          available_now=True)
+                          available_now=True, watermark="60 days")
     q.awaitTermination(300)
     got = sorted(tuple(r) for r in spark.read.parquet(out).collect())
     want = sorted(tuple(r) for r in daily_trend(ev).collect())

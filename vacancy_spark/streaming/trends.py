@@ -44,11 +44,12 @@ def daily_trend_stream(events: DataFrame, date_col: str = "event_date",
 
 def start_daily_trend(spark: SparkSession, events: DataFrame, output: str,
                       checkpoint: str | None = None, available_now: bool = False,
-                      processing_time: str = "1 minute") -> StreamingQuery:
+                      processing_time: str = "1 minute", watermark: str = "2 days") -> StreamingQuery:
     """Append finished days to a Parquet folder. ``available_now`` processes what is there
-    and stops (a catch-up run)."""
+    and stops (a catch-up run). Events older than the watermark when they arrive are late
+    and not counted, as in any watermarked aggregation."""
     checkpoint = checkpoint or fresh_path(spark, "daily_trend_checkpoint")
-    writer = (daily_trend_stream(events).writeStream.format("parquet")
+    writer = (daily_trend_stream(events, watermark=watermark).writeStream.format("parquet")
               .option("path", output).option("checkpointLocation", checkpoint)
               .outputMode("append"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time)
