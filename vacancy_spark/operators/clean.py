@@ -160,11 +160,3 @@ def select_columns(df: DataFrame, cols=None,
     chosen = [c for c in (cols if cols else default) if c in df.columns]
     return df.select(*chosen) if chosen else df
 
-
-def id_column(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
-    return df.withColumn(out or col, id_string(col))
-
-
-def drop_columns(df: DataFrame, cols) -> DataFrame:
-    return df.drop(*[c for c in cols if c in df.columns])
-

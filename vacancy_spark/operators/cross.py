@@ -8,11 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import id_string
 from .metrics import grouped_metrics
 
-HEATMAP_METRICS = {
-    "clicks_per_vacancy": "mean_clicks_per_vacancy",
-    "applies_per_vacancy": "mean_applies_per_vacancy",
-    "apply_click_ratio": "apply_click_ratio",
-}
+# The three metrics a heatmap can show (columns of ``cross_metrics``).
+HEATMAP_METRICS = ("clicks_per_vacancy", "applies_per_vacancy", "apply_click_ratio")
 
 
 def cross_metrics(df: DataFrame, row: str = "uk_region", column: str = "importer_name") -> DataFrame:
@@ -32,6 +29,8 @@ def heatmap(df: DataFrame, metric: str = "clicks_per_vacancy", row: str = "uk_re
     """One row per ``row`` label, one column per ``column`` label holding ``metric`` (null for
     an empty cell). Pass ``values`` for a fixed column set; otherwise the labels are
     discovered with one small distinct query."""
+    if metric not in HEATMAP_METRICS:
+        raise ValueError(f"heatmap metric must be one of {HEATMAP_METRICS}")
     cells = cross_metrics(df, row, column)
     if values is None:
         values = [r[0] for r in cells.select(column).distinct().orderBy(column).collect()]

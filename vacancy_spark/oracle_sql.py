@@ -12,10 +12,6 @@ CUTOFF = "DATE '2024-01-01'"      # AS_OF 2024-01-31 minus the default 30-day wi
 AS_OF_TS = "TIMESTAMP '2024-01-31 00:00:00'"
 
 
-def _strip(x: str) -> str:
-    return f"trim({x})"
-
-
 def _blank(x: str) -> str:
     return f"({x} IS NULL OR trim({x}) = '')"
 

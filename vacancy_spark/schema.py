@@ -56,6 +56,3 @@ IMPORTER_MAPPING_SCHEMA = T.StructType([
     T.StructField("importer_name", T.StringType()),
 ])
 
-
-def all_string_schema(columns) -> T.StructType:
-    return T.StructType([T.StructField(c, T.StringType()) for c in columns])
