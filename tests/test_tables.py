@@ -145,3 +145,11 @@ def test_card_metrics_absent_columns(spark):
     df = spark.createDataFrame([("a",), ("b",), ("a",)], "organization_name string")
     r = card_metrics(df).first()
     assert (r["total_records"], r["unique_organizations"], r["unique_occupations"], r["unique_regions"]) == (3, 2, 0, 0)
+
+
+def test_cluster_settings_sizes_partitions():
+    from vacancy_spark.session import MAX_SHUFFLE_PARTITIONS, cluster_settings
+    big = cluster_settings(100 * 10**12)
+    assert int(big["spark.sql.shuffle.partitions"]) == MAX_SHUFFLE_PARTITIONS
+    small = cluster_settings(10**9, executor_cores=8, executor_memory_gb=2)
+    assert int(small["spark.sql.files.maxPartitionBytes"]) == 64 << 20

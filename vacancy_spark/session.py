@@ -52,6 +52,33 @@ def get_session(master: str | None = None, app_name: str = "vacancy_spark",
     return spark
 
 
+MAX_SHUFFLE_PARTITIONS = 50_000
+
+
+def cluster_settings(input_bytes: int, executor_cores: int = 4, executor_memory_gb: float = 16.0,
+                     target_partition_bytes: int = 256 << 20) -> dict:
+    """Partition sizing for a cluster run over ``input_bytes`` of event data.
+
+    Scan splits and shuffle partitions are sized to ``target_partition_bytes`` (capped so
+    that one partition per core fits in a quarter of the executor's memory); AQE then
+    coalesces small shuffle partitions and splits skewed ones around the same advisory size.
+    The initial shuffle partition count is capped at ``MAX_SHUFFLE_PARTITIONS`` (map-status
+    and scheduling overhead grow with it); most shuffles here follow a partial aggregate and
+    are far smaller than the input, and the full-width ones (rebalanced writes, shuffle joins)
+    are split further by AQE. E.g. 100 TB -> 50,000 initial shuffle partitions.
+    """
+    per_core = executor_memory_gb * (1 << 30) / max(executor_cores, 1) / 4
+    size = int(max(32 << 20, min(target_partition_bytes, per_core)))
+    parts = min(MAX_SHUFFLE_PARTITIONS, max(200, -(-int(input_bytes) // size)))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(size),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(size),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * size),
+    }
+
+
 def apply_semantic_conf(spark: SparkSession) -> None:
     """Force the result-relevant settings on an existing session (e.g. the driver's)."""
     for k, v in SEMANTIC_CONF.items():
