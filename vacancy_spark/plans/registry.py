@@ -310,7 +310,7 @@ def q_importer_names_raw(spark, sf_dir):
 
 
 @register("parse_upgrades", W("""SELECT entity_id, event_date, upgrades,
-  array_to_string(upgrades_list, ', ') AS upgrades_joined, len(upgrades_list) AS n_upgrades FROM enriched"""))
+  array_to_string(upgrades_list, ', ') AS upgrades_joined, CAST(len(upgrades_list) AS INTEGER) AS n_upgrades FROM enriched"""))
 def q_parse_upgrades(spark, sf_dir):
     df = enriched_events(spark, sf_dir)
     return df.select("entity_id", "event_date", "upgrades",
