@@ -153,3 +153,17 @@ def test_cluster_settings_sizes_partitions():
     assert int(big["spark.sql.shuffle.partitions"]) == MAX_SHUFFLE_PARTITIONS
     small = cluster_settings(10**9, executor_cores=8, executor_memory_gb=2)
     assert int(small["spark.sql.files.maxPartitionBytes"]) == 64 << 20
+
+
+def test_replace_path_keeps_old_table_when_write_fails(spark, scratch):
+    spark.range(3).write.parquet(scratch)
+
+    def failing(staged):
+        spark.range(5).write.parquet(staged)
+        raise RuntimeError("job lost")
+
+    with pytest.raises(RuntimeError):
+        TB.replace_path(spark, scratch, failing)
+    assert spark.read.parquet(scratch).count() == 3
+    TB.replace_path(spark, scratch, lambda staged: spark.range(7).write.parquet(staged))
+    assert spark.read.parquet(scratch).count() == 7

@@ -4,8 +4,9 @@ These are job steps, so they write (and sometimes check) data. Rules kept throug
 
 * writes go to the location the caller names (on a cluster: under ``spark.checkpoint.dir``
   or a table path), never to a machine-local temp folder;
-* a path being read is never overwritten in the same plan: new data is written to a fresh
-  path and the caller switches to it;
+* a table is replaced by writing beside it and swapping the folders (``replace_path``), so a
+  failed job leaves the old table intact and a path being read is never overwritten by the
+  plan that reads it;
 * partitioned writes are laid out by a REBALANCE shuffle on the partition column (AQE splits
   an oversized day -- one hot vacancy included -- over several tasks) and sorted within each
   task on the cluster keys, so every task writes few folders of well-clustered files.
@@ -14,6 +15,8 @@ These are job steps, so they write (and sometimes check) data. Rules kept throug
 from __future__ import annotations
 
 import datetime as dt
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +30,33 @@ from ..sources.files import path_exists
 MAX_RECORDS_PER_FILE = 5_000_000
 
 
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def replace_path(spark: SparkSession, path: str, write: Callable[[str], None]) -> str:
+    """Run ``write`` into a staged sibling folder, then swap it in place of ``path``.
+
+    A job that fails (or loses executors beyond retry) leaves the old table untouched
+    instead of a deleted or half-written one; readers see the old or the new folder.
+    """
+    tag = uuid.uuid4().hex[:12]
+    staged = f"{path}._staged-{tag}"
+    write(staged)
+    target, fs = _fs(spark, path)
+    new, _ = _fs(spark, staged)
+    if fs.exists(target):
+        old, _ = _fs(spark, f"{path}._old-{tag}")
+        fs.rename(target, old)
+        fs.rename(new, target)
+        fs.delete(old, True)
+    else:
+        fs.rename(new, target)
+    return path
+
+
 def _clustered(df: DataFrame, partition_cols: list[str], sort_cols: list[str]) -> DataFrame:
     """Lay rows out for a partitioned write: a REBALANCE shuffle on the partition columns
     (AQE splits an oversized day -- e.g. one holding a hot vacancy -- into several tasks and
@@ -53,11 +83,10 @@ def typed_events(raw: DataFrame, strict: bool = True) -> DataFrame:
 def rebuild_typed_events(raw: DataFrame, path: str, strict: bool = True) -> DataFrame:
     """CTAS equivalent: typed events, partitioned by day, clustered by (vacancy, day)."""
     t = typed_events(raw, strict)
-    (_clustered(t, ["event_date_parsed"], ["event_date_parsed", "entity_id_str"])
-        .write.mode("overwrite")
-        .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-        .partitionBy("event_date_parsed")
-        .parquet(path))
+    laid = _clustered(t, ["event_date_parsed"], ["event_date_parsed", "entity_id_str"])
+    replace_path(t.sparkSession, path, lambda out: (
+        laid.write.option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+            .partitionBy("event_date_parsed").parquet(out)))
     return t.sparkSession.read.parquet(path)
 
 
@@ -78,11 +107,10 @@ def rebuild_range_partitioned(raw: DataFrame, path: str, start: int = 20200101,
     """Copy of ``raw`` partitioned by yearly integer-date buckets, clustered by (date, vacancy)."""
     ev = F.col(date_col).cast("string").try_cast("bigint")
     t = raw.withColumn("event_date_bucket", range_bucket(ev, start, stop, step))
-    (_clustered(t, ["event_date_bucket"], ["event_date_bucket", date_col, entity])
-        .write.mode("overwrite")
-        .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-        .partitionBy("event_date_bucket")
-        .parquet(path))
+    laid = _clustered(t, ["event_date_bucket"], ["event_date_bucket", date_col, entity])
+    replace_path(raw.sparkSession, path, lambda out: (
+        laid.write.option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+            .partitionBy("event_date_bucket").parquet(out)))
     return raw.sparkSession.read.parquet(path)
 
 
@@ -91,14 +119,14 @@ def overwrite_table(spark: SparkSession, df: DataFrame, path: str) -> tuple[Data
     allowed, old ones kept as nulls), then verify the row count.
 
     The old schema is read from the files' footers only; the old rows are never part of the
-    plan, so overwriting the path in place is safe.
+    plan. The new rows are written beside the table and swapped in (``replace_path``).
     """
     out = df
     if path_exists(spark, path):
         old_schema = spark.read.parquet(path).schema
         empty_old = spark.createDataFrame([], old_schema)
         out = empty_old.unionByName(df, allowMissingColumns=True)
-    out.write.mode("overwrite").parquet(path)
+    replace_path(spark, path, lambda staged: out.write.parquet(staged))
     back = spark.read.parquet(path)
     return back, back.count()
 
@@ -137,12 +165,6 @@ def backup_name(base: str, as_of) -> str:
     return f"{base}_backup_{as_of.strftime('%Y-%m-%d_%H%M')}"
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def list_backups(spark: SparkSession, folder: str, base: str) -> list[str]:
     """Backup folder names for ``base``, newest first (names sort by their timestamp)."""
     p, fs = _fs(spark, folder)
@@ -163,14 +185,14 @@ def snapshot_table(spark: SparkSession, df: DataFrame, folder: str, base: str, a
     """
     current = f"{folder}/{base}"
     backup = f"{folder}/{backup_name(base, as_of)}"
-    df.write.mode("overwrite").parquet(current)
-    spark.read.parquet(current).write.mode("overwrite").parquet(backup)
+    replace_path(spark, current, lambda staged: df.write.parquet(staged))
+    replace_path(spark, backup, lambda staged: spark.read.parquet(current).write.parquet(staged))
     removed = _prune(spark, folder, base, keep)
     out = {"current": current, "backup": backup, "removed": removed}
     if archive_source is not None:
         arch_base = f"{base}_source"
         arch = f"{folder}/{backup_name(arch_base, as_of)}"
-        archive_source.write.mode("overwrite").parquet(arch)
+        replace_path(spark, arch, lambda staged: archive_source.write.parquet(staged))
         out["archive"] = arch
         out["removed"] = removed + _prune(spark, folder, arch_base, keep_archives)
     return out
@@ -188,9 +210,10 @@ def export_csv(df: DataFrame, path: str, single_file: bool = False) -> str:
     """Header CSV without an index column; one file only when asked (that funnels all rows
     through one task, so only for small reports)."""
     out = df.coalesce(1) if single_file else df
-    (out.write.mode("overwrite").option("header", True)
-        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-        .csv(path))
+    replace_path(df.sparkSession, path, lambda staged: (
+        out.write.option("header", True)
+           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+           .csv(staged)))
     return path
 
 

@@ -82,7 +82,8 @@ def load_csv_replace(spark: SparkSession, path: str, dest: str,
     df = spark.read.csv(path, header=True, inferSchema=True, samplingRatio=sampling_ratio)
     if df.isEmpty():
         raise ValueError(f"{path} has no rows")
-    df.write.mode("overwrite").parquet(dest)
+    from ..plans.tables import replace_path
+    replace_path(spark, dest, lambda staged: df.write.parquet(staged))
     loaded = spark.read.parquet(dest)
     stats = {"rows": loaded.count(), "bytes": path_bytes(spark, dest), "columns": len(loaded.columns)}
     return loaded, stats
