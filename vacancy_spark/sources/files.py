@@ -98,12 +98,25 @@ def create_metadata_table(spark: SparkSession, name: str, location: str) -> Data
     return spark.table(name)
 
 
+def table_location(spark: SparkSession, name: str) -> str:
+    rows = spark.sql(f"DESCRIBE FORMATTED {name}").collect()
+    return next(r["data_type"] for r in rows if r["col_name"] == "Location")
+
+
 def write_metadata(df: DataFrame, name: str, mode: str = "overwrite") -> None:
-    """Write rows into the metadata table; a null key fails the job (no silent drop)."""
+    """Write rows into the metadata table; a null key fails the job (no silent drop).
+
+    ``overwrite`` (the truncating load) writes the new files beside the table's folder and
+    swaps them in, so a failed load leaves the previous metadata in place; ``append`` inserts.
+    """
     key = F.col("entity_id")
     checked = df.withColumn(
         "entity_id", F.when(key.isNull(), F.raise_error(F.lit("entity_id must not be null")))
-                      .otherwise(key))
-    checked.select(*[f.name for f in JOB_METADATA_SCHEMA.fields]).write.insertInto(
-        name, overwrite=(mode == "overwrite"))
-
+                      .otherwise(key)).select(*[f.name for f in JOB_METADATA_SCHEMA.fields])
+    spark = df.sparkSession
+    if mode != "overwrite":
+        checked.write.insertInto(name, overwrite=False)
+        return
+    from ..plans.tables import replace_path
+    replace_path(spark, table_location(spark, name), lambda staged: checked.write.parquet(staged))
+    spark.catalog.refreshTable(name)
