@@ -167,3 +167,14 @@ def test_replace_path_keeps_old_table_when_write_fails(spark, scratch):
     assert spark.read.parquet(scratch).count() == 3
     TB.replace_path(spark, scratch, lambda staged: spark.range(7).write.parquet(staged))
     assert spark.read.parquet(scratch).count() == 7
+
+
+def test_heatmap_discovers_columns(spark):
+    from vacancy_spark.operators.cross import heatmap
+    from vacancy_spark.plans.enrich import enriched_events
+    df = enriched_events(spark, SF_SMALL)
+    h = heatmap(df, "apply_click_ratio")
+    names = [r[0] for r in df.select("importer_name").distinct().collect()]
+    assert set(h.columns) == {"uk_region", *names}
+    with pytest.raises(ValueError):
+        heatmap(df, "nonsense")
