@@ -714,11 +714,19 @@ def q_heatmap_cells(spark, sf_dir):
     return X.cross_metrics(enriched_events(spark, sf_dir))
 
 
-@register("heatmap_pivot", W("SELECT uk_region, " + ", ".join(
-    f"max(clicks_per_vacancy) FILTER (WHERE importer_name = {O._q(v)}) AS \"{v}\"" for v in HEATMAP_IMPORTERS)
-    + f" FROM ({CELLS_SQL_BODY}) GROUP BY uk_region"))
-def q_heatmap_pivot(spark, sf_dir):
-    return X.heatmap(enriched_events(spark, sf_dir), "clicks_per_vacancy", values=HEATMAP_IMPORTERS)
+def _pivot_sql(metric: str) -> str:
+    return W("SELECT uk_region, " + ", ".join(
+        f"max({metric}) FILTER (WHERE importer_name = {O._q(v)}) AS \"{v}\"" for v in HEATMAP_IMPORTERS)
+        + f" FROM ({CELLS_SQL_BODY}) GROUP BY uk_region")
+
+
+# the heatmap's three metric choices
+for _key, _metric in (("heatmap_pivot", "clicks_per_vacancy"),
+                      ("heatmap_pivot_applies", "applies_per_vacancy"),
+                      ("heatmap_pivot_ratio", "apply_click_ratio")):
+    register(_key, _pivot_sql(_metric))(
+        lambda spark, sf_dir, _m=_metric: X.heatmap(enriched_events(spark, sf_dir), _m,
+                                                    values=HEATMAP_IMPORTERS))
 
 
 def _top_sql(col: str, n: int | None = 10) -> str:
