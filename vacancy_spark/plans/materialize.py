@@ -74,9 +74,10 @@ def job_events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = f"{shared_dir(spark)}/vacancy_spark/enriched"
     final = f"{base}/{_fingerprint(spark, sf_dir)}"
     key = (spark.sparkContext.applicationId, final)
-    if key in _OPENED:
+    ready = _ready(spark, final)
+    if ready and key in _OPENED:
         return _OPENED[key]
-    if not _ready(spark, final):
+    if not ready:
         tmp = f"{base}/_tmp-{uuid.uuid4().hex}"
         ev = FX.table(spark, sf_dir, "events").select("ts", "user_id", "event_type")
         FX.user_attributes(spark, sf_dir, ev).write.parquet(f"{tmp}_users")
