@@ -93,12 +93,19 @@ def _metadata(spark: SparkSession, sf_dir: str, null_fill: str | None = "") -> D
     return C.normalise_metadata(FX.job_export(spark, sf_dir), AS_OF, null_fill)
 
 
+_LEGACY: dict[tuple, DataFrame] = {}
+
+
 def _legacy_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Legacy events merged with the job export, regions derived (the previous app's frame)."""
-    legacy = legacy_events(spark, sf_dir)
-    merged = J.merge_job_export(legacy, FX.job_export(spark, sf_dir))
-    mapped = C.apply_importer_mapping(merged, FX.importer_mapping_rows(spark), id_col="importer_id")
-    return RG.add_region_column(mapped)
+    """Legacy events merged with the job export, regions derived (the previous app's frame).
+    The lazy plan is built once per event table and shared by the queries that use it."""
+    key = (spark.sparkContext.applicationId, id(job_events_table(spark, sf_dir)))
+    if key not in _LEGACY:
+        legacy = legacy_events(spark, sf_dir)
+        merged = J.merge_job_export(legacy, FX.job_export(spark, sf_dir))
+        mapped = C.apply_importer_mapping(merged, FX.importer_mapping_rows(spark), id_col="importer_id")
+        _LEGACY[key] = RG.add_region_column(mapped)
+    return _LEGACY[key]
 
 
 # =============================================================================================
