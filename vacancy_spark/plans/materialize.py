@@ -13,7 +13,8 @@ tables and written under the shared ``spark.checkpoint.dir``:
    day over several tasks), sorted by (day, vacancy) within each task and written
    partitioned by day, so date filters prune folders and vacancy filters skip row groups.
 
-The folder name is a hash of the inputs' paths, sizes and modification times; a finished
+The folder name is a hash of the inputs' paths, sizes and modification times and of the code
+that defines the table; a finished
 table is reused, a new one is written to a temporary name and renamed into place, and the
 written table also cuts the lineage of every report built on it.
 """
@@ -21,6 +22,7 @@ written table also cuts the lineage of every report built on it.
 from __future__ import annotations
 
 import hashlib
+import sys
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,8 +43,17 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def _code_version() -> str:
+    """Hash of the code that defines the table, so a changed binding never reuses old files."""
+    h = hashlib.sha1()
+    for mod in (FX, sys.modules[__name__]):
+        with open(mod.__file__, "rb") as f:
+            h.update(f.read())
+    return h.hexdigest()
+
+
 def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
-    h = hashlib.sha1((CACHE_TAG + sf_dir.rstrip("/")).encode())
+    h = hashlib.sha1((CACHE_TAG + _code_version() + sf_dir.rstrip("/")).encode())
     for name in SOURCES:
         p, fs = _fs(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
         for st in fs.listStatus(p):
