@@ -178,13 +178,18 @@ def quartile_metrics(df: DataFrame, entity: str = ENTITY) -> DataFrame:
                            F.sum("applies").alias("_a"))).scalar()
     q1, q3 = th["q"].getItem(0), th["q"].getItem(1)
     c = F.col("clicks")
-    groups = {"top_25": c >= q3, "middle_50": (c >= q1) & (c < q3), "bottom_25": c < q1}
+    # the label is computed in a projection first: aggregate arguments may not contain a
+    # subquery Spark treats as non-deterministic (e.g. over a CSV-read mapping)
+    labelled = v.select(F.when(c >= q3, F.lit("top_25")).when(c >= q1, F.lit("middle_50"))
+                         .otherwise(F.lit("bottom_25")).alias("_g"), "clicks", "applies")
+    groups = ("top_25", "middle_50", "bottom_25")
     aggs = [F.count(F.lit(1)).alias("n")]
-    for name, cond in groups.items():
+    for name in groups:
+        cond = F.col("_g") == name
         aggs += [F.count_if(cond).alias(f"{name}_n"),
                  F.coalesce(F.sum(F.when(cond, c)), F.lit(0)).cast("bigint").alias(f"{name}_c"),
                  F.coalesce(F.sum(F.when(cond, F.col("applies"))), F.lit(0)).cast("bigint").alias(f"{name}_a")]
-    one = v.agg(*aggs)
+    one = labelled.agg(*aggs)
     stack = "stack(3, " + ", ".join(f"'{g}', {g}_n, {g}_c, {g}_a" for g in groups) + \
             ") AS (quartile, num_vacancies, total_clicks, total_applies)"
     rows = one.where(F.col("n") >= 4).selectExpr(stack)

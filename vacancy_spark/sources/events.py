@@ -50,13 +50,13 @@ def scan_events(df_or_path, as_of, days_back: int = 30, sample_size: int | None
 
 
 def scan_events_legacy(df_or_path, as_of, days_back: int = 90,
-                       spark: SparkSession | None = None) -> DataFrame:
+                       spark: SparkSession | None = None, order: bool = True) -> DataFrame:
     """All columns with ``event_date`` (``YYYYMMDD`` string or integer) on or after the cut-off,
-    newest first."""
+    newest first (``order=False`` skips the global sort when only aggregates follow)."""
     df = _as_frame(spark, df_or_path)
     cutoff = (_as_date(as_of) - dt.timedelta(days=days_back)).strftime("%Y%m%d")
-    return (df.where(F.col("event_date").cast("string") >= F.lit(cutoff))
-              .orderBy(F.col("event_date").cast("string").desc()))
+    out = df.where(F.col("event_date").cast("string") >= F.lit(cutoff))
+    return out.orderBy(F.col("event_date").cast("string").desc()) if order else out
 
 
 def require_table(spark: SparkSession, name: str) -> None:
