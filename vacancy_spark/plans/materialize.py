@@ -52,9 +52,9 @@ def _code_version() -> str:
     return h.hexdigest()
 
 
-def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
+def _fingerprint(spark: SparkSession, sf_dir: str, sources=SOURCES) -> str:
     h = hashlib.sha1((CACHE_TAG + _code_version() + sf_dir.rstrip("/")).encode())
-    for name in SOURCES:
+    for name in sources:
         p, fs = _fs(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
         for st in fs.listStatus(p):
             h.update(f"{st.getPath().getName()}:{st.getLen()}:{st.getModificationTime()};".encode())
@@ -103,3 +103,24 @@ def job_events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         fs.delete(p, True)
     _OPENED[key] = spark.read.parquet(final)
     return _OPENED[key]
+
+
+EXPORT_SOURCES = ("customer", "part")
+
+
+def job_export_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job export binding written once as Parquet (a stored table, as the export file and
+    the metadata table are in the reference), so joins against it are planned from its real
+    size: a broadcast while it is small, a shuffle join once it is not."""
+    base = f"{shared_dir(spark)}/vacancy_spark/job_export"
+    final = f"{base}/{_fingerprint(spark, sf_dir, EXPORT_SOURCES)}"
+    key = (spark.sparkContext.applicationId, final)
+    ready = _ready(spark, final)
+    if ready and key in _OPENED:
+        return _OPENED[key]
+    if not ready:
+        tmp = f"{base}/_tmp-{uuid.uuid4().hex}"
+        FX.job_export(spark, sf_dir).write.parquet(tmp)
+        _publish(spark, tmp, final)
+    _OPENED[key] = spark.read.parquet(final)
+    return _OPENED[key]

@@ -32,7 +32,7 @@ from ..sources import files as FS
 from ..sources import fixtures as FX
 from . import tables as TB
 from .enrich import enrich, enriched_events, legacy_events
-from .materialize import job_events_table
+from .materialize import job_events_table, job_export_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -90,7 +90,7 @@ def _mapping_csv(spark: SparkSession) -> DataFrame:
 
 
 def _metadata(spark: SparkSession, sf_dir: str, null_fill: str | None = "") -> DataFrame:
-    return C.normalise_metadata(FX.job_export(spark, sf_dir), AS_OF, null_fill)
+    return C.normalise_metadata(job_export_table(spark, sf_dir), AS_OF, null_fill)
 
 
 _LEGACY: dict[tuple, DataFrame] = {}
@@ -102,7 +102,7 @@ def _legacy_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, id(job_events_table(spark, sf_dir)))
     if key not in _LEGACY:
         legacy = legacy_events(spark, sf_dir)
-        merged = J.merge_job_export(legacy, FX.job_export(spark, sf_dir))
+        merged = J.merge_job_export(legacy, job_export_table(spark, sf_dir))
         mapped = C.apply_importer_mapping(merged, FX.importer_mapping_rows(spark), id_col="importer_id")
         _LEGACY[key] = RG.add_region_column(mapped)
     return _LEGACY[key]
@@ -129,7 +129,7 @@ def q_scan_events_legacy(spark, sf_dir):
 @register("read_job_export", W("SELECT * FROM job_export"))
 def q_read_job_export(spark, sf_dir):
     path = fresh_path(spark, "job_export_csv")
-    TB.export_csv(FX.job_export(spark, sf_dir), path)
+    TB.export_csv(job_export_table(spark, sf_dir), path)
     return FS.read_job_export(spark, path)
 
 
@@ -163,7 +163,7 @@ def q_read_all_string(spark, sf_dir):
 @register("external_metadata", W("SELECT * FROM metadata", O.metadata_cte(null_fill=None)))
 def q_external_metadata(spark, sf_dir):
     path = fresh_path(spark, "metadata_sheet_csv")
-    TB.export_csv(FX.job_export(spark, sf_dir), path)
+    TB.export_csv(job_export_table(spark, sf_dir), path)
     name = "job_metadata_external_" + path.rsplit("-", 1)[-1]
     ext = FS.register_external_csv(spark, name, path)
     return C.normalise_metadata(ext, AS_OF, null_fill=None)
@@ -174,7 +174,7 @@ def q_external_metadata(spark, sf_dir):
 FROM job_export"""))
 def q_load_csv_replace(spark, sf_dir):
     src = fresh_path(spark, "job_export_upload_csv")
-    TB.export_csv(FX.job_export(spark, sf_dir), src)
+    TB.export_csv(job_export_table(spark, sf_dir), src)
     loaded, _stats = FS.load_csv_replace(spark, src, fresh_path(spark, "job_export_table"))
     return loaded
 
@@ -351,7 +351,7 @@ def q_parse_yyyymmdd(spark, sf_dir):
   try_strptime(publishing_date, '%d/%m/%Y %H:%M') AS start_date,
   try_strptime(expiration_date, '%d/%m/%Y %H:%M') AS end_date FROM job_export"""))
 def q_parse_dmy_timestamp(spark, sf_dir):
-    x = FX.job_export(spark, sf_dir)
+    x = job_export_table(spark, sf_dir)
     return x.select("job_id", "publishing_date", "expiration_date",
                     D.parse_dmy_hm("publishing_date").alias("start_date"),
                     D.parse_dmy_hm("expiration_date").alias("end_date"))
@@ -368,7 +368,7 @@ def q_normalise_metadata(spark, sf_dir):
 FROM metadata""", O.metadata_cte()))
 def q_dedup_latest(spark, sf_dir):
     old = _metadata(spark, sf_dir).select("entity_id", "title", "last_updated")
-    new = (C.normalise_metadata(FX.job_export(spark, sf_dir), "2024-02-01")
+    new = (C.normalise_metadata(job_export_table(spark, sf_dir), "2024-02-01")
            .where(F.col("workflow_state") == "published")
            .select("entity_id", F.upper("title").alias("title"), "last_updated"))
     return C.dedup_latest(old.unionByName(new), "entity_id", "last_updated")
@@ -583,7 +583,7 @@ def q_join_metadata(spark, sf_dir):
   start_date, end_date, organization_name_jobiqo, location_full FROM merged""", O.LEGACY_CTE,
     LEGACY_MERGED_CTE.split(",\nlegacy_regions")[0]))
 def q_merge_job_export(spark, sf_dir):
-    m = J.merge_job_export(legacy_events(spark, sf_dir), FX.job_export(spark, sf_dir))
+    m = J.merge_job_export(legacy_events(spark, sf_dir), job_export_table(spark, sf_dir))
     return m.select("entity_id", "event_date", "event_name", "title", "title_from_jobiqo", "start_date",
                     "end_date", "organization_name_jobiqo", "location_full")
 
