@@ -56,3 +56,13 @@ def test_threshold_subquery_reuses_the_vacancy_shuffle(spark, key):
     df.collect()
     p = df._jdf.queryExecution().executedPlan().toString()
     assert "ReusedExchange" in p and "hashpartitioning(entity_id" in p
+
+
+def test_legacy_scan_pushes_integer_dates(spark, scratch):
+    from vacancy_spark.sources.events import scan_events_legacy
+    df = legacy_events(spark, SF_SMALL).withColumn("event_date", F.col("event_date").cast("bigint"))
+    df.write.parquet(scratch)
+    out = scan_events_legacy(spark.read.parquet(scratch), "2024-01-31", days_back=14, order=False)
+    assert "GreaterThanOrEqual(event_date,20240117)" in plan(out)
+    strings = legacy_events(spark, SF_SMALL)
+    assert out.count() == scan_events_legacy(strings, "2024-01-31", days_back=14).count()

@@ -12,6 +12,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.dates import as_date_literal
 from ..schema import ENRICHED_COLUMNS, REPORT_EVENTS
@@ -55,8 +56,16 @@ def scan_events_legacy(df_or_path, as_of, days_back: int = 90,
     newest first (``order=False`` skips the global sort when only aggregates follow)."""
     df = _as_frame(spark, df_or_path)
     cutoff = (_as_date(as_of) - dt.timedelta(days=days_back)).strftime("%Y%m%d")
-    out = df.where(F.col("event_date").cast("string") >= F.lit(cutoff))
-    return out.orderBy(F.col("event_date").cast("string").desc()) if order else out
+    d = F.col("event_date")
+    if isinstance(df.schema["event_date"].dataType, T.IntegralType):
+        # integer YYYYMMDD (the range-partitioned table): compare as integers so the predicate
+        # reaches the Parquet reader and partition pruning
+        out = df.where(d >= F.lit(int(cutoff)))
+        key = d
+    else:
+        out = df.where(d.cast("string") >= F.lit(cutoff))
+        key = d.cast("string")
+    return out.orderBy(key.desc()) if order else out
 
 
 def require_table(spark: SparkSession, name: str) -> None:
