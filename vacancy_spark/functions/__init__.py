@@ -1,0 +1 @@
+"""Column -> Column helpers: text, dates, UK regions."""

@@ -1,0 +1 @@
+"""Compositions: enrichment, materialised tables, table maintenance, reports, registry."""

@@ -1,0 +1 @@
+"""Event scans, file and catalog sources, and the test-data binding."""
