@@ -45,7 +45,18 @@ def join_metadata(events: DataFrame, meta: DataFrame, order: bool = True) -> Dat
     cols = [F.col(f"e.{c}") for c in EVENT_COLUMNS if c in events.columns]
     cols += [F.col(f"m.{src}").alias(dst) for src, dst in METADATA_ALIASES if src in meta.columns]
     out = e.join(m, F.col("e.entity_id") == F.col("m.entity_id"), "left").select(*cols)
-    return out.orderBy(F.col("event_date").desc()) if order else out
+    return newest_first(out) if order else out
+
+
+def newest_first(df: DataFrame, date_col: str = "event_date") -> DataFrame:
+    """Global sort, newest day first. Rows of one day are further ordered by vacancy and a
+    hash of the whole row: the reference leaves them unordered, and the extra keys let the
+    range partitioner split a day holding a large share of all rows over many tasks."""
+    keys = [F.col(date_col).desc()]
+    if "entity_id" in df.columns:
+        keys.append(F.col("entity_id").asc_nulls_first())
+    keys.append(F.xxhash64(*[F.col(c) for c in df.columns]))
+    return df.orderBy(*keys)
 
 
 def merge_job_export(df: DataFrame, export: DataFrame) -> DataFrame:

@@ -65,7 +65,13 @@ def scan_events_legacy(df_or_path, as_of, days_back: int = 90,
     else:
         out = df.where(d.cast("string") >= F.lit(cutoff))
         key = d.cast("string")
-    return out.orderBy(key.desc()) if order else out
+    if not order:
+        return out
+    # ties on the day are broken by vacancy and a row hash (the reference leaves them unordered)
+    # so that one very large day is split over many sort tasks
+    ties = ([F.col("entity_id").asc_nulls_first()] if "entity_id" in df.columns else []) + \
+        [F.xxhash64(*[F.col(c) for c in df.columns])]
+    return out.orderBy(key.desc(), *ties)
 
 
 def require_table(spark: SparkSession, name: str) -> None:
