@@ -178,3 +178,13 @@ def test_heatmap_discovers_columns(spark):
     assert set(h.columns) == {"uk_region", *names}
     with pytest.raises(ValueError):
         heatmap(df, "nonsense")
+
+
+def test_repeatable_sample(spark):
+    from vacancy_spark.plans.materialize import job_events_table
+    from vacancy_spark.sources.events import scan_events
+    t = job_events_table(spark, SF_SMALL)
+    a = scan_events(t, "2024-01-31", sample_size=25, repeatable=True)
+    b = scan_events(t.repartition(3), "2024-01-31", sample_size=25, repeatable=True)
+    assert sorted(a.collect()) == sorted(b.collect()) and a.count() == 25
+    assert "TakeOrderedAndProject" in a._jdf.queryExecution().executedPlan().toString()

@@ -35,10 +35,12 @@ def _as_date(as_of) -> dt.date:
 
 
 def scan_events(df_or_path, as_of, days_back: int = 30, sample_size: int | None = None,
-                spark: SparkSession | None = None) -> DataFrame:
+                spark: SparkSession | None = None, repeatable: bool = False) -> DataFrame:
     """The 12-column report scan: events of the last ``days_back`` days, clicks and applies only.
 
-    ``sample_size`` keeps the first n rows without an order, as the reference's LIMIT does.
+    ``sample_size`` keeps n rows without an order, as the reference's LIMIT does; with
+    ``repeatable=True`` it keeps the n rows with the smallest row hash instead (the same rows on
+    every run; planned as a per-task top-n, not a full sort).
     """
     df = _as_frame(spark, df_or_path)
     cutoff = _as_date(as_of) - dt.timedelta(days=days_back)
@@ -46,6 +48,8 @@ def scan_events(df_or_path, as_of, days_back: int = 30, sample_size: int | None
              .where((F.col("event_date_parsed") >= as_date_literal(cutoff))
                     & F.col("event_name").isin(*REPORT_EVENTS)))
     if sample_size:
+        if repeatable:
+            out = out.orderBy(F.xxhash64(*[F.col(c) for c in ENRICHED_COLUMNS]))
         out = out.limit(int(sample_size))
     return out
 
