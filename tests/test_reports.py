@@ -57,3 +57,20 @@ def test_threshold_reports_over_csv_mapping(spark):
     want = enriched_events(spark, SF_SMALL)
     for fn in (M.quartile_metrics, M.iqr_mean, lambda d: M.benchmark_bands(d, "importer_name")):
         assert sorted(fn(df).collect()) == sorted(fn(want).collect())
+
+
+def test_filtered_vacancy_report_equals_two_pass(spark):
+    from vacancy_spark.operators import vacancy as V
+    from vacancy_spark.operators.filters import apply_filters
+    full = enriched_events(spark, SF_SMALL)
+    for spec in (FilterSpec(importer=("Scrape", "ID: 0")), FilterSpec(job_title="red"),
+                 FilterSpec(date_range=("2024-01-10", "2024-01-12"), region=("ASIA",)),
+                 FilterSpec(importer=("nobody",))):
+        one = V.vacancy_report_filtered(full, spec, "2024-01-31")
+        two = V.vacancy_report(apply_filters(full, spec), "2024-01-31", full)
+        assert sorted(one.collect()) == sorted(two.collect())
+    plan = V.vacancy_report_filtered(full, FilterSpec(importer=("Scrape", "ID: 0")), "2024-01-31")
+    assert plan.count() > 0
+    plan.collect()
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in text  # report rows and benchmark share the vacancy shuffle

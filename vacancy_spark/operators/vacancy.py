@@ -69,21 +69,16 @@ def occupation_benchmark(full_df: DataFrame, entity: str = ENTITY,
                   F.bround(F.avg("applies"), 1).alias("avg_applies_occupation")))
 
 
-def vacancy_report(df: DataFrame, as_of, full_df: DataFrame | None = None,
-                   entity: str = ENTITY) -> DataFrame:
-    """The 18-column vacancy report, most clicks first. Occupation benchmarks
-    come from ``full_df`` (the unfiltered data); when it is ``df`` itself, the same vacancy
-    table serves both, so the report costs one shuffle of the events."""
-    same = full_df is None or full_df is df
-    full_df = df if full_df is None else full_df
-    keep = [c for c in (entity, "event_date", "event_name", "title", "organization_name",
-                        "workflow_state", "start_date", "end_date", "uk_region", "occupation",
-                        "importer_name", "upgrades_list") if c in df.columns]
-    v = vacancy_table(df.select(*keep), entity)
+REPORT_COLUMNS = ("event_date", "event_name", "title", "organization_name", "workflow_state",
+                  "start_date", "end_date", "uk_region", "occupation", "importer_name",
+                  "upgrades_list")
+
+
+def _report_rows(v: DataFrame, entity: str, as_of) -> DataFrame:
     raw = days_active_raw("start_date", "end_date", "workflow_state", as_of)
     clicks, applies = F.col("clicks"), F.col("applies")
     up = F.array_join(F.coalesce(F.col("upgrades_list"), F.array().cast("array<string>")), ", ")
-    rep = v.select(
+    return v.select(
         F.col("title"), F.col("organization_name").alias("company"), F.col(entity).alias("job_id"),
         F.col("workflow_state").alias("status"), "start_date", "end_date",
         F.when(raw > 0, raw.cast("int")).alias("days_active"),
@@ -95,13 +90,70 @@ def vacancy_report(df: DataFrame, as_of, full_df: DataFrame | None = None,
         F.when(raw > 0, F.bround(clicks / raw, 2)).alias("clicks_per_day"),
         F.when(raw > 0, F.bround(applies / raw, 2)).alias("applies_per_day"),
     )
-    bench = occupation_benchmark(full_df, entity, vacancies=v if same else None)
+
+
+def _with_benchmark(rep: DataFrame, bench: DataFrame) -> DataFrame:
     return (rep.join(bench, "occupation", "left")
                .withColumn("avg_clicks_occupation", F.coalesce("avg_clicks_occupation", F.lit(0.0)))
                .withColumn("avg_applies_occupation", F.coalesce("avg_applies_occupation", F.lit(0.0)))
                .orderBy(F.desc("clicks"), F.asc_nulls_first("job_id")))
 
 
+def vacancy_report(df: DataFrame, as_of, full_df: DataFrame | None = None,
+                   entity: str = ENTITY) -> DataFrame:
+    """The 18-column vacancy report, most clicks first. Occupation benchmarks
+    come from ``full_df`` (the unfiltered data); when it is ``df`` itself, the same vacancy
+    table serves both, so the report costs one shuffle of the events. When the report is a
+    filter of the full data, ``vacancy_report_filtered`` does both in one pass."""
+    same = full_df is None or full_df is df
+    full_df = df if full_df is None else full_df
+    keep = [c for c in (entity, *REPORT_COLUMNS) if c in df.columns]
+    v = vacancy_table(df.select(*keep), entity)
+    bench = occupation_benchmark(full_df, entity, vacancies=v if same else None)
+    return _with_benchmark(_report_rows(v, entity, as_of), bench)
+
+
+def vacancy_report_filtered(full: DataFrame, spec, as_of, entity: str = ENTITY) -> DataFrame:
+    """``vacancy_report(apply_filters(full, spec), as_of, full)`` in ONE scan and ONE shuffle.
+
+    The filter becomes a flag: each vacancy's aggregate keeps the representative row and the
+    counts of its matching events (``max_by`` ignores rows whose ordering is null) next to its
+    all-event counts and all-event occupation, and the occupation benchmark is a small second
+    aggregate over the same per-vacancy rows.
+    """
+    from .filters import spec_predicate
+    pred = spec_predicate(spec, full.columns)
+    if pred is None:
+        return vacancy_report(full, as_of, full, entity)
+    keep = [c for c in (entity, *REPORT_COLUMNS) if c in full.columns]
+    df = full.withColumn("_in", F.coalesce(pred, F.lit(False))).select(*keep, "_in")
+    attrs = [c for c in keep if c != entity]
+    orderable = [c for c in attrs
+                 if not isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType))]
+    lead = ["event_date"] if "event_date" in orderable else []
+    order = F.struct(*[F.col(c) for c in lead + [c for c in orderable if c not in lead]])
+    inside, click, apply_ = F.col("_in"), F.col("event_name") == CLICK, F.col("event_name") == APPLY
+    ent = F.col(entity)
+    g = (df.groupBy(entity)
+           .agg(F.max_by(F.struct(*[F.col(c) for c in attrs]), F.when(inside, order)).alias("_row"),
+                F.count_if(inside).alias("_n"),
+                F.count_if(inside & click).alias("_c"), F.count_if(inside & apply_).alias("_a"),
+                F.max_by(F.col("occupation"), order).alias("_occ_all"),
+                F.count_if(click).alias("_c_all"), F.count_if(apply_).alias("_a_all")))
+    zero = F.lit(0).cast("bigint")
+    bench = (g.select(F.col("_occ_all").alias("occupation"),
+                      F.when(ent.isNull(), zero).otherwise(F.col("_c_all")).alias("c"),
+                      F.when(ent.isNull(), zero).otherwise(F.col("_a_all")).alias("a"))
+              .groupBy("occupation")
+              .agg(F.bround(F.avg("c"), 1).alias("avg_clicks_occupation"),
+                   F.bround(F.avg("a"), 1).alias("avg_applies_occupation")))
+    v = g.where(F.col("_n") > 0).select(
+        entity, "_row.*",
+        F.when(ent.isNull(), zero).otherwise(F.col("_c")).cast("bigint").alias("clicks"),
+        F.when(ent.isNull(), zero).otherwise(F.col("_a")).cast("bigint").alias("applies"))
+    return _with_benchmark(_report_rows(v, entity, as_of), bench)
+
+
 def days_active(df: DataFrame, as_of, entity: str = ENTITY) -> DataFrame:
     """Per vacancy: start, end, status, whole days active (> 0, else null)."""
     v = vacancy_table(df.select(entity, "event_date", "event_name", "start_date", "end_date",

@@ -254,7 +254,7 @@ VACANCY_REPORT_SQL = O.vacancy_report_sql(DATE_SQL)
 
 def _vacancy_report(spark, sf_dir):
     full = enriched_events(spark, sf_dir)
-    return V.vacancy_report(FL.apply_filters(full, FL.FilterSpec(date_range=DATE_RANGE)), AS_OF, full)
+    return V.vacancy_report_filtered(full, FL.FilterSpec(date_range=DATE_RANGE), AS_OF)
 
 
 @register("snapshot_table", VACANCY_REPORT_SQL)

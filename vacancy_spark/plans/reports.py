@@ -64,7 +64,7 @@ def deep_dive(df: DataFrame, spec: FilterSpec | None = None, dimension: str = "I
 
 def vacancy_performance(df: DataFrame, as_of, spec: FilterSpec | None = None) -> dict[str, DataFrame]:
     """Vacancy report of the filtered rows with occupation benchmarks from all of ``df``."""
-    report = V.vacancy_report(apply_filters(df, spec), as_of, df)
+    report = V.vacancy_report_filtered(df, spec, as_of)
     return {"report": report, "totals": V.vacancy_totals(report)}
 
 
