@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from ..functions.dates import as_ts_literal, whole_days_between
 from ..functions.regions import region_from_address
 from ..schema import APPLY, CLICK
+from ..session import shared_dir
 from .filters import filter_vacancies
 
 ENTITY = "entity_id"
@@ -114,12 +115,15 @@ def vacancy_report(df: DataFrame, as_of, full_df: DataFrame | None = None,
 
 
 def vacancy_report_filtered(full: DataFrame, spec, as_of, entity: str = ENTITY) -> DataFrame:
-    """``vacancy_report(apply_filters(full, spec), as_of, full)`` in ONE scan and ONE shuffle.
+    """``vacancy_report(apply_filters(full, spec), as_of, full)`` with ONE scan and ONE shuffle
+    of the events.
 
     The filter becomes a flag: each vacancy's aggregate keeps the representative row and the
     counts of its matching events (``max_by`` ignores rows whose ordering is null) next to its
-    all-event counts and all-event occupation, and the occupation benchmark is a small second
-    aggregate over the same per-vacancy rows.
+    all-event counts and all-event occupation. That per-vacancy table (one row per vacancy) is
+    checkpointed to the shared ``spark.checkpoint.dir`` -- this runs a job when called -- and
+    both the report rows and the occupation benchmark are read from it, so the events are not
+    scanned twice and a lost executor never forces the event aggregate to be recomputed.
     """
     from .filters import spec_predicate
     pred = spec_predicate(spec, full.columns)
@@ -140,6 +144,8 @@ def vacancy_report_filtered(full: DataFrame, spec, as_of, entity: str = ENTITY)
                 F.count_if(inside & click).alias("_c"), F.count_if(inside & apply_).alias("_a"),
                 F.max_by(F.col("occupation"), order).alias("_occ_all"),
                 F.count_if(click).alias("_c_all"), F.count_if(apply_).alias("_a_all")))
+    shared_dir(full.sparkSession)  # the checkpoint folder named by the session (set if unset)
+    g = g.checkpoint(eager=True)
     zero = F.lit(0).cast("bigint")
     bench = (g.select(F.col("_occ_all").alias("occupation"),
                       F.when(ent.isNull(), zero).otherwise(F.col("_c_all")).alias("c"),

@@ -91,13 +91,13 @@ def shared_dir(spark: SparkSession) -> str:
     Written tables and checkpoints go here, never to a machine-local temp folder. Only when
     the setting is absent (unit tests, a laptop) do we pick a local folder and register it.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
         path = tempfile.mkdtemp(prefix="vacancy-spark-")
         spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(path)  # DataFrame.checkpoint() writes under the same folder
     return path.rstrip("/")
 
 
