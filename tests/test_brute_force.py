@@ -99,3 +99,17 @@ def test_vacancy_report_hot_key(spark):
         assert (rep[e]["clicks"], rep[e]["applies"]) == (c, a)
         want = round(a / c * 100, 2) if c else None
         assert rep[e]["ratio_pct"] == (pytest.approx(want) if want is not None else None)
+
+
+def test_dedup_latest_hot_key(spark):
+    from vacancy_spark.operators.clean import dedup_latest
+    rnd = random.Random(9)
+    rows = [("hot" if i % 3 == 0 else f"k{rnd.randrange(50)}", rnd.randrange(1000), f"v{i}")
+            for i in range(900)]
+    got = {r["k"]: (r["ts"], r["v"]) for r in
+           dedup_latest(spark.createDataFrame(rows, "k string, ts int, v string"), "k", ["ts", "v"]).collect()}
+    want = {}
+    for k, ts, v in rows:
+        if k not in want or (ts, v) > want[k]:
+            want[k] = (ts, v)
+    assert got == want
