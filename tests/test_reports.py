@@ -74,3 +74,16 @@ def test_filtered_vacancy_report_equals_two_pass(spark):
     plan.collect()
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "FileScan parquet" not in text  # both branches read the checkpointed vacancy table
+
+
+def test_sheet_flow(spark):
+    from vacancy_spark.plans.registry import _sheet_frame
+    path = fresh_path(spark, "sheet")
+    export_csv(_sheet_frame(spark, SF_SMALL), path)
+    df = RP.load_sheet_frame(spark, path)
+    out = RP.sheet_overview(df)
+    assert set(out) == {"cards", "top_occupations", "top_regions", "top_importers", "daily_counts"}
+    cards = out["cards"].first()
+    assert cards["total_records"] == df.count() > 0
+    assert out["daily_counts"].count() > 0
+    assert out["top_importers"].count() <= 10

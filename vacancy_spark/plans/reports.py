@@ -96,3 +96,28 @@ def legacy_overview(df: DataFrame) -> dict[str, DataFrame]:
     if "occupation" in df.columns:
         out["top_occupations"] = X.top_values(df, "occupation", 10)
     return out
+
+
+def load_sheet_frame(spark: SparkSession, path: str, mapping_path: str | None = None) -> DataFrame:
+    """The first app's frame: an all-string table with a header row, importer names with the
+    raw id as fallback, and the ``event_data`` column parsed from ``YYYYMMDD``."""
+    from ..sources.files import read_all_string
+    df = read_all_string(spark, path)
+    mapping = read_importer_mapping(spark, mapping_path, strip=False) if mapping_path else None
+    if "importer_id" in df.columns:
+        df = C.apply_importer_mapping(df, mapping, id_col="importer_id", fallback="raw")
+    if "event_data" in df.columns:
+        df = C.parse_yyyymmdd_column(df, "event_data")
+    return df
+
+
+def sheet_overview(df: DataFrame) -> dict[str, DataFrame]:
+    """Cards, top-10 occupations / regions / importers and daily counts of the first app."""
+    out = {"cards": M.card_metrics(df)}
+    for key, col in (("top_occupations", "occupation"), ("top_regions", "regions"),
+                     ("top_importers", "importer_name")):
+        if col in df.columns:
+            out[key] = X.top_values(df, col, 10)
+    if "event_data" in df.columns:
+        out["daily_counts"] = T.daily_counts(df, "event_data")
+    return out
