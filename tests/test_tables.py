@@ -188,3 +188,9 @@ def test_repeatable_sample(spark):
     b = scan_events(t.repartition(3), "2024-01-31", sample_size=25, repeatable=True)
     assert sorted(a.collect()) == sorted(b.collect()) and a.count() == 25
     assert "TakeOrderedAndProject" in a._jdf.queryExecution().executedPlan().toString()
+
+
+def test_export_names():
+    assert TB.export_name("benchmark_region", "2024-01-31 09:05:07") == "benchmark_region_20240131.csv"
+    assert TB.export_name("vacancy_report", "2024-01-31 09:05:07", with_time=True) == \
+        "vacancy_report_20240131_090507.csv"

@@ -206,6 +206,14 @@ def _prune(spark: SparkSession, folder: str, base: str, keep: int) -> list[str]:
     return old
 
 
+def export_name(prefix: str, as_of, with_time: bool = False) -> str:
+    """Report file names stamped with the run time: ``<prefix>_YYYYMMDD`` or, for vacancy
+    reports, ``<prefix>_YYYYMMDD_HHMMSS`` (then ``.csv``)."""
+    if isinstance(as_of, str):
+        as_of = dt.datetime.fromisoformat(as_of)
+    return f"{prefix}_{as_of.strftime('%Y%m%d_%H%M%S' if with_time else '%Y%m%d')}.csv"
+
+
 def export_csv(df: DataFrame, path: str, single_file: bool = False) -> str:
     """Header CSV without an index column; one file only when asked (that funnels all rows
     through one task, so only for small reports)."""
