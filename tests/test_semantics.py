@@ -188,3 +188,11 @@ def test_strip_matches_python(spark):
     from vacancy_spark.functions.text import trim_ws
     got = spark.createDataFrame([(s,)], "s string").select(trim_ws("s")).first()[0]
     assert got == s.strip()
+
+
+def test_sheet_ids_are_not_stripped(spark):
+    df = spark.createDataFrame([(" 2",), ("2",)], "importer_id string")
+    m = C.clean_importer_mapping(spark.createDataFrame([("2", "ATS feed")], "importer_id string, importer_name string"))
+    got = [r[0] for r in C.apply_importer_mapping(df, m, id_col="importer_id", fallback="raw",
+                                                  strip_ids=False).select("importer_name").collect()]
+    assert got == [" 2", "ATS feed"]

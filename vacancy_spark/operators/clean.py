@@ -39,16 +39,19 @@ def clean_importer_mapping(mapping: DataFrame, strip: bool = True) -> DataFrame:
 
 
 def apply_importer_mapping(df: DataFrame, mapping: DataFrame | None, id_col: str = "importer_ID",
-                           fallback: str = "prefixed", null_label: str = NULL_ID_LABEL) -> DataFrame:
+                           fallback: str = "prefixed", null_label: str = NULL_ID_LABEL,
+                           strip_ids: bool = True) -> DataFrame:
     """Importer id -> name. Unmapped ids show as ``'ID: <id>'`` (``fallback='prefixed'``) or the
     raw id (``'raw'``); without a mapping every row gets the fallback; without the id column
-    every row is ``'Unknown'``.
+    every row is ``'Unknown'``. ``strip_ids=False`` matches the ids as stored (the all-string
+    sheet flow does not strip them).
 
     ``mapping`` must already be clean (``clean_importer_mapping``): one row per id.
     """
     if id_col not in df.columns:
         return df.withColumn("importer_name", F.lit("Unknown"))
-    sid = F.coalesce(id_string(id_col), F.lit(null_label))
+    raw_id = id_string(id_col) if strip_ids else F.col(id_col).cast("string")
+    sid = F.coalesce(raw_id, F.lit(null_label))
     out = df.withColumn("importer_id_str", sid)
     fb = (F.concat(F.lit("ID: "), F.col("importer_id_str")) if fallback == "prefixed"
           else F.col("importer_id_str"))

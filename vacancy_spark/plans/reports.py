@@ -105,7 +105,8 @@ def load_sheet_frame(spark: SparkSession, path: str, mapping_path: str | None =
     df = read_all_string(spark, path)
     mapping = read_importer_mapping(spark, mapping_path, strip=False) if mapping_path else None
     if "importer_id" in df.columns:
-        df = C.apply_importer_mapping(df, mapping, id_col="importer_id", fallback="raw")
+        df = C.apply_importer_mapping(df, mapping, id_col="importer_id", fallback="raw",
+                                      strip_ids=False)
     if "event_data" in df.columns:
         df = C.parse_yyyymmdd_column(df, "event_data")
     return df
