@@ -24,7 +24,7 @@ _RARE_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0 ᠎ -   "
 _SPACE = re.compile("[\\s᠎]")
 _MARK_RUN = re.compile(r"[\W_][,.][ \n]")
 _CUT = re.compile("(?<=[^\\s᠎])(?=[ \\n][^\\s᠎])")
-CACHE_CHUNKS = 1_500_000  # distinct chunks that one Python worker keeps; then it starts anew
+CACHE_CHUNKS = 600_000  # distinct chunks that one Python worker keeps; then it starts anew
 
 
 class _Index(dict):
