@@ -1,10 +1,24 @@
 """The registered queries of this subpackage and their DuckDB SQL (where SQL expresses them)."""
 
+from vacancy_spark.llm import mixing, topk
+from vacancy_spark.llm.fertility import op7_fertility_rules
+from vacancy_spark.llm.near_duplicates import op4_ngram_jaccard_join
+from vacancy_spark.llm.packing import op3_best_fit_packing
 from vacancy_spark.llm.token_counts import op10_token_counts
 from vacancy_spark.llm.token_files import op9_token_files
+from vacancy_spark.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op1_pareto_mixing": mixing.op1_pareto_mixing,
+    "op2_toxicity": op2_toxicity,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_threshold_top_k": topk.op5_threshold_top_k,
+    "op7_fertility_rules": op7_fertility_rules,
     "op9_token_files": op9_token_files,
     "op10_token_counts": op10_token_counts,
 }
-ORACLE = {}
+ORACLE = {
+    "op1_pareto_mixing": mixing.ORACLE,
+    "op5_threshold_top_k": topk.ORACLE,
+}
