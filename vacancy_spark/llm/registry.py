@@ -4,6 +4,8 @@ from vacancy_spark.llm import mixing, topk
 from vacancy_spark.llm.fertility import op7_fertility_rules
 from vacancy_spark.llm.near_duplicates import op4_ngram_jaccard_join
 from vacancy_spark.llm.packing import op3_best_fit_packing
+from vacancy_spark.llm.pitman_yor import op6_pitman_yor
+from vacancy_spark.llm.suffix_dedup import op8_suffix_dedup
 from vacancy_spark.llm.token_counts import op10_token_counts
 from vacancy_spark.llm.token_files import op9_token_files
 from vacancy_spark.llm.toxicity import op2_toxicity
@@ -14,7 +16,9 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_threshold_top_k": topk.op5_threshold_top_k,
+    "op6_pitman_yor": op6_pitman_yor,
     "op7_fertility_rules": op7_fertility_rules,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_files": op9_token_files,
     "op10_token_counts": op10_token_counts,
 }
