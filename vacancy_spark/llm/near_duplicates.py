@@ -393,17 +393,17 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 **options) -> DataFrame:
     """``docs`` with one document of each class left: the one of smallest id."""
     found = stored(near_duplicates(docs, id_col=id_col, text_col=text_col, **options), "classes")
-    first = found.where("is_first").select(F.col("doc_id").alias("first_id"),
-                                           F.col("text_hash").alias("first_hash"))
-    kept = docs.withColumn("text_hash_", F.xxhash64(text_col))
-    kept = kept.join(first, F.col(id_col).cast("long").eqNullSafe(F.col("first_id"))
-                     & (F.col("text_hash_") == F.col("first_hash")), "left_semi")
+    first = found.where("is_first").select("doc_id", "text_hash")
+    kept = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"),
+                       F.col(text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
+    kept = kept.join(first, F.col("id").eqNullSafe(F.col("doc_id"))
+                     & (F.col("hash") == F.col("text_hash")), "left_semi")
     again = found.groupBy("doc_id", "text_hash").count().where("count > 1")
     if not again.isEmpty():  # rows that repeat both id and text: one of them stays
-        empty = ~F.coalesce(F.regexp_like(F.col(text_col), F.lit("[^\\x20\\x09-\\x0D]")), F.lit(False))
-        alone = kept.where(empty)  # documents without a word are no one's copies
-        kept = kept.where(~empty).dropDuplicates([id_col, "text_hash_"]).unionByName(alone)
-    return kept.drop("text_hash_")
+        wordless = ~F.coalesce(F.regexp_like("text", F.lit("[^\\x20\\x09-\\x0D]")), F.lit(False))
+        alone = kept.where(wordless)  # documents without a word are no one's copies
+        kept = kept.where(~wordless).dropDuplicates(["id", "hash"]).unionByName(alone)
+    return kept.select("row.*")
 
 
 def op4_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -350,8 +350,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD,
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
-                   text_col: str = "text", **options) -> DataFrame:
-    """All columns of ``docs`` but the text, and kept (bytes), n_bytes, n_removed, n_spans."""
+                   text_col: str = "text", with_text: bool = False, **options) -> DataFrame:
+    """All columns of ``docs`` but the text, and kept (bytes), n_bytes, n_removed, n_spans.
+
+    ``with_text``: also kept_text, the whole characters that are left.
+    """
     narrow_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c != text_col]
     whole = docs.select(F.struct(*rest).alias("rest"), F.col(id_col).cast("long").alias("doc_id"),
@@ -363,7 +366,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
     schema = T.StructType([T.StructField("rest", whole.schema["rest"].dataType),
                            T.StructField("kept", T.BinaryType()),
-                           *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans"))])
+                           *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")),
+                           *([T.StructField("kept_text", T.StringType())] * with_text)])
 
     def remove(batches):
         for b in batches:
@@ -381,8 +385,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 sizes.append((len(text), removed, runs))
             yield pa.RecordBatch.from_arrays(
                 [b.column("rest"), pa.array(kept, pa.binary()),
-                 *(pa.array([s[i] for s in sizes], pa.int64()) for i in range(3))],
-                ["rest", "kept", "n_bytes", "n_removed", "n_spans"])
+                 *(pa.array([s[i] for s in sizes], pa.int64()) for i in range(3)),
+                 *([pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())] * with_text)],
+                schema.names)
 
     packed = _packed(whole)
     spans = spans.withColumnsRenamed({"doc_id": "id", "text_hash": "hash"})
@@ -390,7 +395,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                        & (packed["text_hash"] == spans["hash"]), "left")
            .select("rest", "packed", "spans").mapInArrow(remove, schema))
     return out.select(*[F.col("rest").getField(c).alias(c) for c in rest],
-                      "kept", "n_bytes", "n_removed", "n_spans")
+                      *schema.names[1:])
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -178,14 +178,14 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text",
     def run(batches):
         m = Machine(*shared.value)
         for b in batches:
-            texts = text_bytes(b.column("_text"))
+            texts = text_bytes(b.column(len(rest)))
             found = [m.scores(texts[part])
                      for part in batches_of([len(t) for t in texts], BATCH_BYTES)]
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(i) for i in range(len(rest))),
                  pa.array(np.concatenate(found) if found else [], pa.float64())], [*rest, name])
 
-    return docs.select(*rest, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*rest, text_col).mapInArrow(run, schema)
 
 
 def _remainder(column: Column) -> Column:
