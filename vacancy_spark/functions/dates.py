@@ -45,6 +45,13 @@ def parse_dmy_hm(c) -> Column:
     return F.try_to_timestamp(col_of(c), F.lit(DMY_HM_FORMAT)).cast(T.TimestampNTZType())
 
 
+def parse_iso_timestamp(c) -> Column:
+    """ISO date or timestamp text -> naive UTC timestamp; null and blank stay null, any other
+    text that is no timestamp fails the job."""
+    c = col_of(c).cast("string")
+    return F.to_timestamp(F.when(F.trim(c) != "", c)).cast(T.TimestampNTZType())
+
+
 def to_naive_timestamp(c, dtype: T.DataType | None = None) -> Column:
     """Coerce to a naive UTC timestamp, null when the value cannot be read."""
     c = col_of(c)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.dates import parse_dmy_hm, parse_yyyymmdd, to_naive_timestamp, as_ts_literal
+from ..functions.dates import parse_dmy_hm, parse_iso_timestamp, parse_yyyymmdd, to_naive_timestamp, as_ts_literal
 from ..functions.text import first_token, id_string, is_blank, split_pipe, trim_ws
 from ..schema import REPORT_RENAMES
 
@@ -108,9 +108,13 @@ def parse_yyyymmdd_column(df: DataFrame, col: str = "event_date", out: str | Non
     return df.withColumn(out or col, parse_yyyymmdd(col, strict=strict))
 
 
-def normalise_metadata(df: DataFrame, as_of, null_fill: str | None = "") -> DataFrame:
-    """Job export -> metadata table shape: strings (nulls -> ``null_fill``), day-first dates
-    parsed, optional columns added empty, ``last_updated`` stamped with ``as_of``."""
+def normalise_metadata(df: DataFrame, as_of, null_fill: str | None = "", dates: str = "dmy") -> DataFrame:
+    """Job export -> metadata table shape: strings (nulls -> ``null_fill``), dates parsed,
+    optional columns added empty, ``last_updated`` stamped with ``as_of``.
+
+    ``dates``: ``dmy`` reads day-first text leniently (the file load), ``iso`` reads ISO text
+    strictly (the SQL load). A ``_position`` column is carried along.
+    """
     def s(name, src=None):
         src = src or name
         c = F.col(src).cast("string") if src in df.columns else F.lit(None).cast("string")
@@ -118,21 +122,23 @@ def normalise_metadata(df: DataFrame, as_of, null_fill: str | None = "") -> Data
             c = F.coalesce(c, F.lit(null_fill))
         return c.alias(name)
 
+    date = {"dmy": parse_dmy_hm, "iso": parse_iso_timestamp}[dates]
     return df.select(
         s("entity_id", "job_id" if "job_id" in df.columns else "entity_id"),
         s("title"), s("workflow_state"), s("occupational_fields"), s("locations"),
-        parse_dmy_hm("publishing_date").alias("publishing_date"),
-        parse_dmy_hm("expiration_date").alias("expiration_date"),
+        date("publishing_date").alias("publishing_date"),
+        date("expiration_date").alias("expiration_date"),
         s("organization_profile_name"), s("organization_id"), s("employment_type"),
         as_ts_literal(as_of).alias("last_updated"),
+        *[c for c in ("_position",) if c in df.columns],
     )
 
 
 def dedup_latest(df: DataFrame, key, order) -> DataFrame:
     """Keep one row per ``key``: the greatest by ``order`` (a column or list of columns).
 
-    Implemented as ``max_by`` over a struct, i.e. a hash aggregate with partial
-    (map-side) combine: a hot key is reduced inside each task before the shuffle.
+    ``max_by`` over a struct: a sort-based aggregate with a partial step, so a hot key is
+    reduced inside each task before the shuffle. Of many equal rows, reduce them first.
     """
     keys = [key] if isinstance(key, str) else list(key)
     orders = [order] if isinstance(order, (str, F.Column)) else list(order)
@@ -147,13 +153,30 @@ def dedup_latest(df: DataFrame, key, order) -> DataFrame:
 
 def first_row_per(df: DataFrame, key: str = "entity_id", order=None) -> DataFrame:
     """One representative row per vacancy: newest event day first, then the attribute columns
-    (a fixed choice where the reference relied on load order)."""
+    (a fixed choice where the reference relied on load order).
+
+    Equal rows are reduced by a hash aggregate first, so the events are never sorted.
+    """
+    rows = latest_of_equal(df, "event_date")
     if order is None:
         date_col = "event_date" if "event_date" in df.columns else None
         attrs = [c for c in df.columns if c not in (key, date_col)
                  and not isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType))]
         order = ([F.col(date_col)] if date_col else []) + [F.col(c) for c in attrs]
-    return dedup_latest(df, key, order)
+    return dedup_latest(rows, key, order).select(df.columns)
+
+
+def latest_of_equal(df: DataFrame, date_col: str, *aggregates, drop=()) -> DataFrame:
+    """One row for each distinct combination of the other columns, with the latest ``date_col``
+    (which is grouped by too if it isn't of fixed width) and the given aggregates.
+
+    The buffers are of fixed width, so Spark plans a hash aggregate with a partial step.
+    """
+    has_date = date_col in df.columns
+    fixed = has_date and not isinstance(df.schema[date_col].dataType, (T.StringType, T.BinaryType))
+    keys = [c for c in df.columns if c not in drop and not (fixed and c == date_col)]
+    latest = [F.max(date_col).alias(date_col)] if fixed else []
+    return df.groupBy(*keys).agg(*latest, *aggregates) if latest or aggregates else df.select(*keys).distinct()
 
 
 def select_columns(df: DataFrame, cols=None,

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import parse_yyyymmdd
-from ..schema import TYPED_REBUILD_EXCLUDED
+from ..schema import CSV_DIALECT, CSV_READ, RANGE_START, RANGE_STEP, RANGE_STOP, TYPED_REBUILD_EXCLUDED
 from ..sources.files import path_exists
 
 # Rows per output file: bounds file size at any scale.
@@ -39,24 +39,38 @@ def _fs(spark: SparkSession, path: str):
 def replace_path(spark: SparkSession, path: str, write: Callable[[str], None]) -> str:
     """Run ``write`` into a staged sibling folder, then swap it in place of ``path``.
 
-    A job that fails (or loses executors beyond retry) leaves the old table untouched
-    instead of a deleted or half-written one; readers see the old or the new folder.
+    A job that fails (or loses executors beyond retry) leaves the old table untouched. The swap
+    is two renames and not atomic: for a moment there is no table under ``path``, and on an
+    object store a rename is a copy. Each is checked; if the new folder can't be put in place,
+    the old one is put back and the call fails.
     """
     tag = uuid.uuid4().hex[:12]
     staged = f"{path}._staged-{tag}"
     write(staged)
     target, fs = _fs(spark, path)
     new, _ = _fs(spark, staged)
-    if fs.exists(target):
-        old, _ = _fs(spark, f"{path}._old-{tag}")
-        fs.rename(target, old)
-        fs.rename(new, target)
+    old, _ = _fs(spark, f"{path}._old-{tag}")
+    had = fs.exists(target)
+    if had:
+        _rename(fs, target, old)
+    try:
+        if fs.exists(target):  # a rename onto a folder would put the new one inside it
+            raise OSError(f"{path} was written by someone else meanwhile")
+        _rename(fs, new, target)
+    except Exception:
+        if had and not fs.exists(target):
+            _rename(fs, old, target)
+        raise
+    if had:
         fs.delete(old, True)
-    else:
-        fs.rename(new, target)
     return path
 
 
+def _rename(fs, src, dst) -> None:
+    if not fs.rename(src, dst):
+        raise OSError(f"cannot rename {src} to {dst}")
+
+
 def _clustered(df: DataFrame, partition_cols: list[str], sort_cols: list[str]) -> DataFrame:
     """Lay rows out for a partitioned write: a REBALANCE shuffle on the partition columns
     (AQE splits an oversized day -- e.g. one holding a hot vacancy -- into several tasks and
@@ -101,8 +115,8 @@ def range_bucket(c, start: int, stop: int, step: int):
         inside, F.floor((x - F.lit(start)) / F.lit(step)).cast("int")).otherwise(F.lit(-1))
 
 
-def rebuild_range_partitioned(raw: DataFrame, path: str, start: int = 20200101,
-                              stop: int = 20301231, step: int = 10000,
+def rebuild_range_partitioned(raw: DataFrame, path: str, start: int = RANGE_START,
+                              stop: int = RANGE_STOP, step: int = RANGE_STEP,
                               date_col: str = "event_date", entity: str = "entity_id") -> DataFrame:
     """Copy of ``raw`` partitioned by yearly integer-date buckets, clustered by (date, vacancy)."""
     ev = F.col(date_col).cast("string").try_cast("bigint")
@@ -219,13 +233,10 @@ def export_csv(df: DataFrame, path: str, single_file: bool = False) -> str:
     through one task, so only for small reports)."""
     out = df.coalesce(1) if single_file else df
     replace_path(df.sparkSession, path, lambda staged: (
-        out.write.option("header", True)
-           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-           .csv(staged)))
+        out.write.options(**CSV_DIALECT).csv(staged)))
     return path
 
 
 def read_csv_like(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Read back an exported CSV with the schema it was written from."""
-    return spark.read.csv(path, header=True, schema=schema, ignoreLeadingWhiteSpace=False,
-                          ignoreTrailingWhiteSpace=False)
+    return spark.read.options(**CSV_READ).schema(schema).csv(path)

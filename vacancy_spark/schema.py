@@ -44,6 +44,16 @@ JOB_METADATA_SCHEMA = T.StructType([
     T.StructField("last_updated", T.TimestampNTZType()),
 ])
 
+# The integer-date ranges of the range-partitioned table.
+RANGE_START, RANGE_STOP, RANGE_STEP = 20200101, 20301231, 10000
+
+# One CSV dialect for every reader and writer: a quote inside a quoted value is doubled, and
+# white space belongs to the value. Quoted values may hold line feeds, so files are read whole
+# (``multiLine``); writers therefore write many files, never one.
+CSV_DIALECT = {"header": "true", "quote": '"', "escape": '"',
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+CSV_READ = {**CSV_DIALECT, "multiLine": "true"}
+
 # The job export file is read as text: its dates are day-first strings.
 JOB_EXPORT_COLUMNS = [
     "job_id", "title", "workflow_state", "occupational_fields", "locations",

@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.clean import clean_importer_mapping
-from ..schema import IMPORTER_MAPPING_SCHEMA, JOB_EXPORT_SCHEMA, JOB_METADATA_SCHEMA
+from ..operators.clean import clean_importer_mapping, dedup_latest, normalise_metadata
+from ..schema import CSV_READ, IMPORTER_MAPPING_SCHEMA, JOB_EXPORT_SCHEMA, JOB_METADATA_SCHEMA
+
+POSITION = "_position"
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -28,24 +30,47 @@ def path_bytes(spark: SparkSession, path: str) -> int:
     return int(fs.getContentSummary(hpath).getLength())
 
 
-def read_job_export(spark: SparkSession, path: str, columns=None) -> DataFrame:
-    """The job export CSV (header row, all text). Missing file -> empty frame of the same
-    schema. ``columns`` keeps only those columns (the column-pruned variant)."""
+def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Every column of a header CSV as text, in the shared dialect."""
+    return spark.read.options(**CSV_READ, inferSchema="false", encoding="UTF-8").csv(path)
+
+
+def read_job_export(spark: SparkSession, path: str, columns=None, position: bool = False) -> DataFrame:
+    """The job export CSV (header row, all text), bound by column name: the known columns first,
+    null where the file lacks one, then any others it has. Missing file -> empty frame of the
+    known columns. ``columns`` keeps only those columns (the column-pruned variant).
+
+    ``position`` adds ``_position``, which orders rows as the files do: by file name, then by
+    place in the file (a file is read by one task, in which the running number grows).
+    """
     if path_exists(spark, path):
-        df = spark.read.csv(path, header=True, schema=JOB_EXPORT_SCHEMA, enforceSchema=False)
+        raw = read_text_csv(spark, path)
+        known = [f.name for f in JOB_EXPORT_SCHEMA.fields]
+        df = raw.select(*[F.col(f"`{c}`") if c in raw.columns else F.lit(None).cast("string").alias(c)
+                          for c in known], *[F.col(f"`{c}`") for c in raw.columns if c not in known])
     else:
         df = spark.createDataFrame([], JOB_EXPORT_SCHEMA)
+    if position:
+        df = df.withColumn(POSITION, F.struct(F.input_file_name().alias("file"),
+                                              F.monotonically_increasing_id().alias("row")))
     if columns:
-        df = df.select(*[c for c in columns if c in df.columns])
+        df = df.select(*[c for c in (*columns, *([POSITION] if position else [])) if c in df.columns])
     return df
 
 
+def load_metadata(spark: SparkSession, path: str, as_of, null_fill: str | None = "",
+                  dates: str = "dmy") -> DataFrame:
+    """The job export file as metadata rows: of rows that repeat an id, the last in file order."""
+    rows = normalise_metadata(read_job_export(spark, path, position=True), as_of, null_fill, dates)
+    return dedup_latest(rows, "entity_id", POSITION).drop(POSITION)
+
+
 def read_importer_mapping(spark: SparkSession, path: str, strip: bool = True) -> DataFrame:
     """importer id -> name CSV. A UTF-8 byte-order mark is tolerated (Spark's CSV reader drops
     it); blank ids are dropped, both fields stripped, the last row per id wins."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], IMPORTER_MAPPING_SCHEMA)
-    raw = spark.read.csv(path, header=True, encoding="UTF-8")
+    raw = read_text_csv(spark, path)
     missing = {"importer_id", "importer_name"} - set(raw.columns)
     if missing:
         return spark.createDataFrame([], IMPORTER_MAPPING_SCHEMA)
@@ -54,7 +79,7 @@ def read_importer_mapping(spark: SparkSession, path: str, strip: bool = True) ->
 
 def read_all_string(spark: SparkSession, path: str) -> DataFrame:
     """A header-row table read entirely as strings (the sheet export). Empty -> error."""
-    df = spark.read.csv(path, header=True, inferSchema=False)
+    df = read_text_csv(spark, path)
     if not df.columns:
         raise ValueError(f"no header row in {path}")
     return df
@@ -64,22 +89,24 @@ def register_external_csv(spark: SparkSession, name: str, path: str) -> DataFram
     """An external (file-backed) table over a header CSV, visible to SQL as ``name``."""
     spark.sql(f"DROP VIEW IF EXISTS {name}")
     spark.sql(f"CREATE TEMPORARY VIEW {name} USING csv "
-              f"OPTIONS (path '{path}', header 'true', inferSchema 'false')")
+              f"OPTIONS (path '{path}', inferSchema 'false', "
+              + ", ".join(f"{k} '{v}'" for k, v in CSV_READ.items()) + ")")
     return spark.table(name)
 
 
 def load_csv_replace(spark: SparkSession, path: str, dest: str,
-                     sampling_ratio: float = 1.0) -> tuple[DataFrame, dict]:
-    """Load a CSV with schema inference and fully replace ``dest`` (Parquet).
+                     schema=None) -> tuple[DataFrame, dict]:
+    """Load a CSV with schema inference (or the given ``schema``) and fully replace ``dest``
+    (Parquet).
 
     Validates that the file exists and has at least one row; returns the loaded table and
     its stats (rows, bytes on disk, columns). This is a job step, so it runs actions.
-    Inference reads the whole input once; on very large inputs pass ``sampling_ratio`` < 1
-    to infer from a sample (types may then differ from a full pass).
+    Inference reads the whole input once; a ``schema`` saves that pass.
     """
     if not path_exists(spark, path):
         raise FileNotFoundError(path)
-    df = spark.read.csv(path, header=True, inferSchema=True, samplingRatio=sampling_ratio)
+    reader = spark.read.options(**CSV_READ)
+    df = (reader.schema(schema) if schema is not None else reader.option("inferSchema", "true")).csv(path)
     if df.isEmpty():
         raise ValueError(f"{path} has no rows")
     from ..plans.tables import replace_path
