@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import REPORT_EVENTS
+from .regions import add_region_column
 
 # Metadata column -> name in the joined event table.
 METADATA_ALIASES = [
@@ -59,29 +60,47 @@ def newest_first(df: DataFrame, date_col: str = "event_date") -> DataFrame:
     return df.orderBy(*keys)
 
 
-def merge_job_export(df: DataFrame, export: DataFrame) -> DataFrame:
+def export_rows(export: DataFrame, taken, entity: str = "entity_id") -> DataFrame:
+    """The export's columns as the merge names them; a name in ``taken`` gets a suffix."""
+    x = export.withColumnRenamed("job_id", entity) if "job_id" in export.columns else export
+    x = x.select(*[c for c in EXPORT_KEEP if c in x.columns]).withColumnsRenamed(dict(EXPORT_RENAMES))
+    x = x.withColumn(entity, F.col(entity).cast("string"))
+    return x.withColumnsRenamed({c: f"{c}_from_jobiqo" for c in x.columns if c != entity and c in taken})
+
+
+def merge_job_export(df: DataFrame, export: DataFrame, regions: bool = False) -> DataFrame:
     """Events LEFT JOIN the job export on ``job_id`` (renamed ``entity_id``): six columns, four
-    renamed; a name already in ``df`` gets the suffix ``_from_jobiqo``."""
-    x = export.withColumnRenamed("job_id", "entity_id") if "job_id" in export.columns else export
-    if "entity_id" not in df.columns or "entity_id" not in x.columns:
+    renamed; a name already in ``df`` gets the suffix ``_from_jobiqo``. ``regions`` adds
+    ``uk_region``, parsed once per export row; without a match it is ``'Unknown'``."""
+    if "entity_id" not in df.columns or not {"entity_id", "job_id"} & set(export.columns):
         return df
-    x = x.select(*[c for c in EXPORT_KEEP if c in x.columns]).withColumnsRenamed(dict(EXPORT_RENAMES))
-    x = x.withColumn("entity_id", F.col("entity_id").cast("string"))
-    clash = {c: f"{c}_from_jobiqo" for c in x.columns if c != "entity_id" and c in df.columns}
-    x = x.withColumnsRenamed(clash)
-    return df.join(x, "entity_id", "left")
+    x = export_rows(export, df.columns)
+    if not regions:
+        return df.join(x, "entity_id", "left")
+    if "location_full" not in x.columns:
+        return add_region_column(df.join(x, "entity_id", "left"))
+    out = df.join(add_region_column(x), "entity_id", "left")
+    return out.withColumn("uk_region", F.coalesce("uk_region", F.lit("Unknown")))
+
+
+def _keys_of_both(events: DataFrame, meta: DataFrame, key: str) -> DataFrame:
+    """Per key: number of events and whether the metadata has it. The sides are put under each
+    other, not joined, so every task adds up its own rows before the one shuffle."""
+    both = events.select(F.col(key).alias("key"), F.lit(1).alias("n"), F.lit(0).alias("known")).unionAll(
+        meta.select(F.col(key).alias("key"), F.lit(0), F.lit(1)))
+    return both.groupBy("key").agg(F.sum("n").alias("n"), F.max("known").alias("known"))
 
 
 def unmatched_events(events: DataFrame, meta: DataFrame, key: str = "entity_id") -> DataFrame:
-    """How many events have no metadata row (anti join, then a count)."""
-    m = meta.select(F.col(key).alias("_k"))
-    return (events.join(m, events[key] == m._k, "left_anti")
-                  .agg(F.count(F.lit(1)).alias("unmatched_events")))
+    """How many events have no metadata row; a null key matches nothing."""
+    n = F.when((F.col("known") == 0) | F.col("key").isNull(), F.col("n"))
+    return _keys_of_both(events, meta, key).agg(
+        F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias("unmatched_events"))
 
 
 def key_mismatch(events: DataFrame, meta: DataFrame, key: str = "entity_id") -> DataFrame:
     """Keys present on one side only, labelled ``events_only`` / ``metadata_only``."""
-    ek = events.select(F.col(key).alias("key")).where(F.col("key").isNotNull()).distinct()
-    mk = meta.select(F.col(key).alias("key")).where(F.col("key").isNotNull()).distinct()
-    return (ek.join(mk, "key", "left_anti").withColumn("side", F.lit("events_only"))
-              .unionByName(mk.join(ek, "key", "left_anti").withColumn("side", F.lit("metadata_only"))))
+    side = (F.when(F.col("known") == 0, F.lit("events_only"))
+            .when(F.col("n") == 0, F.lit("metadata_only")))
+    return (_keys_of_both(events, meta, key).where(F.col("key").isNotNull())
+            .select("key", side.alias("side")).where(F.col("side").isNotNull()))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.regions import (UNKNOWN, city_lookup, keyword_lookup, region_from_locations,
+from ..functions.regions import (UNKNOWN, city_lookup, keyword_lookup, region_from_address,
                                  region_from_postcode)
 from ..functions.text import trim_ws
 
@@ -33,6 +33,20 @@ def with_region(df: DataFrame, address_col: str, out: str = "uk_region",
     return staged.withColumn(out, region).drop(*_TMP)
 
 
+def with_region_of_locations(df: DataFrame, col: str = "location_full", out: str = "uk_region",
+                             postcode_mode: str = "reference") -> DataFrame:
+    """Add ``out`` = region of a pipe list (same result as ``region_from_locations``): a single
+    location takes the staged columns, only real lists go through the higher-order parser."""
+    c = F.col(col)
+    one = with_region(df.withColumn("_rg_one", trim_ws(c)), "_rg_one", "_rg_single", postcode_mode)
+    known = F.filter(F.transform(F.split(c, r"\|"), lambda x: region_from_address(trim_ws(x), postcode_mode)),
+                     lambda r: r != F.lit(UNKNOWN))
+    return one.withColumn(out, F.when(c.isNull() | (c == ""), F.lit(UNKNOWN))
+                          .when(~c.contains("|"), F.col("_rg_single"))
+                          .otherwise(F.coalesce(F.get(known, 0), F.lit(UNKNOWN)))
+                          ).drop("_rg_one", "_rg_single")
+
+
 def add_region_column(df: DataFrame, address_col: str | None = None,
                       postcode_mode: str = "reference") -> DataFrame:
     """``uk_region`` from ``address_col`` when given; otherwise from the export's pipe list
@@ -40,7 +54,7 @@ def add_region_column(df: DataFrame, address_col: str | None = None,
     if address_col:
         return with_region(df, address_col, "uk_region", postcode_mode)
     if "location_full" in df.columns:
-        return df.withColumn("uk_region", region_from_locations("location_full", postcode_mode))
+        return with_region_of_locations(df, "location_full", "uk_region", postcode_mode)
     if "regions" in df.columns:
         return with_region(df, "regions", "uk_region", postcode_mode)
     return df.withColumn("uk_region", F.lit(UNKNOWN))

@@ -3,10 +3,10 @@
 The reference loops over vacancies and rescans the event frame twice per vacancy. Here a
 vacancy table is ONE aggregate keyed by the vacancy: the representative row (``max_by`` over
 a struct) and the click/apply counts come out of the same shuffle, with partial aggregation
-before it. (The struct holds strings, so Spark runs it as a sort-based aggregate, which
-spills instead of failing on a task with many vacancies.) Only the columns a report shows
-enter the struct. The occupation benchmark is a second, much smaller aggregate joined on
-the occupation label.
+before it. Events that differ only in their day and name are counted by a hash aggregate
+first, so what the representative row is chosen from (strings, hence a sort-based aggregate)
+is about one row per vacancy. The occupation benchmark is a second, much smaller aggregate
+joined on the occupation label.
 """
 
 from __future__ import annotations
@@ -18,36 +18,45 @@ from pyspark.sql import types as T
 from ..functions.dates import as_ts_literal, whole_days_between
 from ..functions.regions import region_from_address
 from ..schema import APPLY, CLICK
-from ..session import shared_dir
+from ..session import fresh_path
+from .clean import latest_of_equal
 from .filters import filter_vacancies
+from .joins import export_rows
+from .regions import add_region_column
 
 ENTITY = "entity_id"
 
 
-def _attr_columns(df: DataFrame, entity: str) -> list[str]:
-    return [c for c in df.columns if c != entity]
+def _orders(df: DataFrame, attrs, date_col: str) -> list[str]:
+    """Columns that decide which row represents a vacancy: the day, then the others that sort."""
+    sortable = [c for c in attrs
+                if not isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType))]
+    return sorted(sortable, key=lambda c: c != date_col)
 
 
 def vacancy_table(df: DataFrame, entity: str = ENTITY, date_col: str = "event_date") -> DataFrame:
-    """One row per vacancy: its representative attributes plus ``clicks`` and ``applies``.
-
-    The representative row is the newest event's, ties broken by the attribute values (a
-    fixed rule where the reference took whichever row loaded first). A null vacancy id
-    counts 0 clicks and 0 applies, as in the reference's per-vacancy lookups.
+    """One row per vacancy: its representative attributes, clicks and applies.
+
+    Two steps. First the events are counted for each distinct combination of vacancy and
+    attributes, with the latest day: fixed-width buffers, hence a hash aggregate whose partial
+    step reduces each task's events. Then the newest of a vacancy's few combinations is taken
+    (ties by the other columns: a fixed rule where the reference took whichever row loaded
+    first). A null vacancy id counts 0 clicks and 0 applies, as in the reference's per-vacancy
+    lookups.
     """
-    attrs = _attr_columns(df, entity)
-    orderable = [c for c in attrs
-                 if not isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType))]
-    lead = [date_col] if date_col in orderable else []
-    order = F.struct(*[F.col(c) for c in lead + [c for c in orderable if c not in lead]])
-    ent = F.col(entity)
-    g = (df.groupBy(entity)
-           .agg(F.max_by(F.struct(*[F.col(c) for c in attrs]), order).alias("_row"),
-                F.count_if(F.col("event_name") == CLICK).alias("clicks"),
-                F.count_if(F.col("event_name") == APPLY).alias("applies")))
-    return g.select(entity, "_row.*",
-                    F.when(ent.isNull(), F.lit(0)).otherwise(F.col("clicks")).cast("bigint").alias("clicks"),
-                    F.when(ent.isNull(), F.lit(0)).otherwise(F.col("applies")).cast("bigint").alias("applies"))
+    attrs = [c for c in df.columns if c not in (entity, "event_name")]
+    rows = latest_of_equal(df, date_col, F.count_if(F.col("event_name") == CLICK).alias("_clicks"),
+                           F.count_if(F.col("event_name") == APPLY).alias("_applies"),
+                           drop=("event_name",))
+    g = rows.groupBy(entity).agg(
+        F.max_by(F.struct(*attrs), F.struct(*_orders(df, attrs, date_col))).alias("_row")
+        if attrs else F.first(F.struct(F.lit(1).alias("_none"))).alias("_row"),
+        F.sum("_clicks").alias("clicks"), F.sum("_applies").alias("applies"))
+
+    def counted(c):
+        return F.when(F.col(entity).isNull(), F.lit(0)).otherwise(F.col(c)).cast("bigint").alias(c)
+    return g.select(entity, *[F.col(f"_row.{c}").alias(c) for c in attrs],
+                    counted("clicks"), counted("applies"))
 
 
 def days_active_raw(start, end, status, as_of) -> Column:
@@ -120,10 +129,11 @@ def vacancy_report_filtered(full: DataFrame, spec, as_of, entity: str = ENTITY)
 
     The filter becomes a flag: each vacancy's aggregate keeps the representative row and the
     counts of its matching events (``max_by`` ignores rows whose ordering is null) next to its
-    all-event counts and all-event occupation. That per-vacancy table (one row per vacancy) is
-    checkpointed to the shared ``spark.checkpoint.dir`` -- this runs a job when called -- and
-    both the report rows and the occupation benchmark are read from it, so the events are not
-    scanned twice and a lost executor never forces the event aggregate to be recomputed.
+    all-event counts and all-event occupation, in the two steps of ``vacancy_table``. That
+    per-vacancy table is written as Parquet to the shared folder -- this runs a job when called,
+    and the folder is the caller's to delete once the report is stored -- and both the report
+    rows and the occupation benchmark are read from it, so the events are not scanned twice and
+    a lost executor never forces the event aggregate to be recomputed.
     """
     from .filters import spec_predicate
     pred = spec_predicate(spec, full.columns)
@@ -131,21 +141,24 @@ def vacancy_report_filtered(full: DataFrame, spec, as_of, entity: str = ENTITY)
         return vacancy_report(full, as_of, full, entity)
     keep = [c for c in (entity, *REPORT_COLUMNS) if c in full.columns]
     df = full.withColumn("_in", F.coalesce(pred, F.lit(False))).select(*keep, "_in")
-    attrs = [c for c in keep if c != entity]
-    orderable = [c for c in attrs
-                 if not isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType))]
-    lead = ["event_date"] if "event_date" in orderable else []
-    order = F.struct(*[F.col(c) for c in lead + [c for c in orderable if c not in lead]])
+    attrs = [c for c in keep if c not in (entity, "event_name")]
     inside, click, apply_ = F.col("_in"), F.col("event_name") == CLICK, F.col("event_name") == APPLY
-    ent = F.col(entity)
-    g = (df.groupBy(entity)
-           .agg(F.max_by(F.struct(*[F.col(c) for c in attrs]), F.when(inside, order)).alias("_row"),
-                F.count_if(inside).alias("_n"),
-                F.count_if(inside & click).alias("_c"), F.count_if(inside & apply_).alias("_a"),
-                F.max_by(F.col("occupation"), order).alias("_occ_all"),
-                F.count_if(click).alias("_c_all"), F.count_if(apply_).alias("_a_all")))
-    shared_dir(full.sparkSession)  # the checkpoint folder named by the session (set if unset)
-    g = g.checkpoint(eager=True)
+    ent, day = F.col(entity), F.col("event_date")
+    rest = [c for c in attrs if c != "event_date"]
+    rows = (df.groupBy(entity, *rest)
+              .agg(F.max(day).alias("_day_all"), F.max(F.when(inside, day)).alias("event_date"),
+                   F.count_if(inside).alias("_n"),
+                   F.count_if(inside & click).alias("_c"), F.count_if(inside & apply_).alias("_a"),
+                   F.count_if(click).alias("_c_all"), F.count_if(apply_).alias("_a_all")))
+    others = [c for c in _orders(df, attrs, "event_date") if c != "event_date"]
+    g = (rows.groupBy(entity)
+             .agg(F.max_by(F.struct(*attrs),
+                           F.when(F.col("_n") > 0, F.struct("event_date", *others))).alias("_row"),
+                  F.max_by("occupation", F.struct("_day_all", *others)).alias("_occ_all"),
+                  *[F.sum(c).alias(c) for c in ("_n", "_c", "_a", "_c_all", "_a_all")]))
+    path = fresh_path(full.sparkSession, "vacancy_counts")
+    g.write.parquet(path)
+    g = full.sparkSession.read.parquet(path)
     zero = F.lit(0).cast("bigint")
     bench = (g.select(F.col("_occ_all").alias("occupation"),
                       F.when(ent.isNull(), zero).otherwise(F.col("_c_all")).alias("c"),
@@ -195,12 +208,23 @@ def _legacy_columns(v: DataFrame, entity: str, title: Column, org: Column, regio
     )
 
 
-def vacancy_report_legacy(df: DataFrame, entity: str = ENTITY) -> DataFrame:
+def vacancy_report_legacy(df: DataFrame, entity: str = ENTITY, export: DataFrame | None = None,
+                          postcode_mode: str = "reference") -> DataFrame:
     """The previous report: nine columns; ratio 0 (not null) without clicks; dates ``'N/A'``
-    when the frame has no date columns."""
+    when the frame has no date columns.
+
+    With ``export``, ``df`` is the events alone and the report is that of the events merged with
+    the job export, but aggregated before the join: the events per vacancy, the export's rows
+    per vacancy (each address parsed once), then the two small tables. Every event meets every
+    matching export row, so the counts are multiplied by the number of those; the newest merged
+    row is the newest event's columns beside the greatest export row's.
+    """
+    merged = ("start_date", "end_date", "uk_region") if export is not None else ()
     keep = [c for c in (entity, "event_date", "event_name", "title", "organization_name",
-                        "start_date", "end_date", "uk_region") if c in df.columns]
+                        "start_date", "end_date", "uk_region") if c in df.columns and c not in merged]
     v = vacancy_table(df.select(*keep), entity)
+    if export is not None:
+        v = _with_export(v, export, entity, postcode_mode)
     title = F.col("title") if "title" in v.columns else (
         F.col("organization_name") if "organization_name" in v.columns else F.lit("Unknown"))
     org = F.col("organization_name") if "organization_name" in v.columns else F.lit("Unknown")
@@ -209,6 +233,20 @@ def vacancy_report_legacy(df: DataFrame, entity: str = ENTITY) -> DataFrame:
             .orderBy(F.desc("total_clicks"), F.asc_nulls_first("job_id")))
 
 
+def _with_export(v: DataFrame, export: DataFrame, entity: str, postcode_mode: str) -> DataFrame:
+    x = add_region_column(export_rows(export, v.columns, entity), postcode_mode=postcode_mode)
+    cols = [c for c in ("title", "start_date", "end_date", "uk_region")
+            if c in x.columns and c not in v.columns]
+    x = (x.where(F.col(entity).isNotNull()).groupBy(entity)
+          .agg(F.count(F.lit(1)).alias("_rows"), F.max_by(F.struct(*cols), F.struct(*cols)).alias("_x")))
+    times = F.coalesce(F.col("_rows"), F.lit(1))
+    out = v.join(x, entity, "left").select(
+        *[c for c in v.columns if c not in ("clicks", "applies")],
+        *[F.col(f"_x.{c}").alias(c) for c in cols],
+        (F.col("clicks") * times).alias("clicks"), (F.col("applies") * times).alias("applies"))
+    return out.withColumn("uk_region", F.coalesce("uk_region", F.lit("Unknown")))
+
+
 def vacancy_view(df: DataFrame, regions=(), orgs=(), entity: str = ENTITY,
                  postcode_mode: str = "reference") -> DataFrame:
     """The stand-alone vacancy page: region parsed from each vacancy's address, title falling
