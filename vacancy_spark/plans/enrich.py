@@ -48,12 +48,13 @@ def enriched_events(spark: SparkSession, sf_dir: str, as_of: str = fixtures.AS_O
     return out
 
 
-def legacy_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raw (legacy) event table: ``YYYYMMDD`` string dates, address strings."""
+def legacy_events(spark: SparkSession, sf_dir: str, with_day: bool = False) -> DataFrame:
+    """The raw (legacy) event table: ``YYYYMMDD`` string dates, address strings. ``with_day``
+    adds the parsed day that the table is partitioned by, for pruning."""
     e = job_events_table(spark, sf_dir)
     return e.select(
         e.entity_id_str.alias("entity_id"), "event_date", "event_name", "organization_name",
         e.title_export.alias("title"), e.locations.alias("regions"),
         e.occupational_fields_export.alias("occupations"), e.importer_ID.alias("importer_id"),
-        "upgrades",
+        "upgrades", *(["event_date_parsed"] if with_day else []),
     )

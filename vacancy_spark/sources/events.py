@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import as_date_literal
-from ..schema import ENRICHED_COLUMNS, REPORT_EVENTS
+from ..schema import ENRICHED_COLUMNS, RANGE_START, RANGE_STEP, REPORT_EVENTS
 
 
 def _as_frame(spark: SparkSession | None, df_or_path) -> DataFrame:
@@ -55,26 +55,35 @@ def scan_events(df_or_path, as_of, days_back: int = 30, sample_size: int | None
 
 
 def scan_events_legacy(df_or_path, as_of, days_back: int = 90,
-                       spark: SparkSession | None = None, order: bool = True) -> DataFrame:
+                       spark: SparkSession | None = None, order: bool = True,
+                       day_col: str | None = None) -> DataFrame:
     """All columns with ``event_date`` (``YYYYMMDD`` string or integer) on or after the cut-off,
-    newest first (``order=False`` skips the global sort when only aggregates follow)."""
+    newest first (``order=False`` skips the global sort when only aggregates follow).
+
+    Partitions are pruned where the table has them: by ``day_col``, the parsed day that a typed
+    table is partitioned by (dropped from the result), and by ``event_date_bucket`` of a
+    range-partitioned one. Rows in the buckets for other or unreadable dates stay in the scan.
+    """
     df = _as_frame(spark, df_or_path)
-    cutoff = (_as_date(as_of) - dt.timedelta(days=days_back)).strftime("%Y%m%d")
+    first = _as_date(as_of) - dt.timedelta(days=days_back)
+    cutoff = first.strftime("%Y%m%d")
     d = F.col("event_date")
     if isinstance(df.schema["event_date"].dataType, T.IntegralType):
-        # integer YYYYMMDD (the range-partitioned table): compare as integers so the predicate
-        # reaches the Parquet reader and partition pruning
-        out = df.where(d >= F.lit(int(cutoff)))
-        key = d
+        out, key = df.where(d >= F.lit(int(cutoff))), d
     else:
-        out = df.where(d.cast("string") >= F.lit(cutoff))
-        key = d.cast("string")
+        out, key = df.where(d.cast("string") >= F.lit(cutoff)), d.cast("string")
+    if "event_date_bucket" in df.columns:
+        bucket = F.col("event_date_bucket")
+        lowest = (int(cutoff) - RANGE_START) // RANGE_STEP
+        out = out.where((bucket >= F.lit(lowest)) | (bucket == -1) | bucket.isNull())
+    if day_col:
+        out = out.where((F.col(day_col) >= as_date_literal(first)) | F.col(day_col).isNull()).drop(day_col)
     if not order:
         return out
     # ties on the day are broken by vacancy and a row hash (the reference leaves them unordered)
     # so that one very large day is split over many sort tasks
-    ties = ([F.col("entity_id").asc_nulls_first()] if "entity_id" in df.columns else []) + \
-        [F.xxhash64(*[F.col(c) for c in df.columns])]
+    ties = ([F.col("entity_id").asc_nulls_first()] if "entity_id" in out.columns else []) + \
+        [F.xxhash64(*[F.col(c) for c in out.columns])]
     return out.orderBy(key.desc(), *ties)
 
 
