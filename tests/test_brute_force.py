@@ -113,14 +113,3 @@ def test_dedup_latest_hot_key(spark):
         if k not in want or (ts, v) > want[k]:
             want[k] = (ts, v)
     assert got == want
-
-
-def test_approximate_median_opt_in(spark):
-    rows = make_rows(7)
-    df = spark.createDataFrame(rows, SCHEMA)
-    exact = {r["uk_region"]: r for r in M.benchmark(df, "uk_region").collect()}
-    approx = {r["uk_region"]: r for r in M.benchmark(df, "uk_region", approx_accuracy=100000).collect()}
-    assert set(exact) == set(approx)
-    for k in exact:
-        assert exact[k]["total_clicks"] == approx[k]["total_clicks"]
-        assert abs(exact[k]["median_clicks_per_vac"] - approx[k]["median_clicks_per_vac"]) <= 1.0

@@ -148,9 +148,9 @@ def test_card_metrics_absent_columns(spark):
 
 
 def test_cluster_settings_sizes_partitions():
-    from vacancy_spark.session import MAX_SHUFFLE_PARTITIONS, cluster_settings
+    from vacancy_spark.session import cluster_settings
     big = cluster_settings(100 * 10**12)
-    assert int(big["spark.sql.shuffle.partitions"]) == MAX_SHUFFLE_PARTITIONS
+    assert int(big["spark.sql.shuffle.partitions"]) == -(-100 * 10**12 // (256 << 20))
     small = cluster_settings(10**9, executor_cores=8, executor_memory_gb=2)
     assert int(small["spark.sql.files.maxPartitionBytes"]) == 64 << 20
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import id_string
 from .metrics import grouped_metrics
 
+MAX_PIVOT_LABELS = 1000  # columns a heatmap may have
 # The three metrics a heatmap can show (columns of ``cross_metrics``).
 HEATMAP_METRICS = ("clicks_per_vacancy", "applies_per_vacancy", "apply_click_ratio")
 
@@ -27,13 +28,16 @@ def cross_metrics(df: DataFrame, row: str = "uk_region", column: str = "importer
 def heatmap(df: DataFrame, metric: str = "clicks_per_vacancy", row: str = "uk_region",
             column: str = "importer_name", values=None) -> DataFrame:
     """One row per ``row`` label, one column per ``column`` label holding ``metric`` (null for
-    an empty cell). Pass ``values`` for a fixed column set; otherwise the labels are
-    discovered with one small distinct query."""
+    an empty cell). Pass ``values`` for a fixed column set; otherwise the labels are those of
+    the data, at most ``MAX_PIVOT_LABELS`` (more is an error, not a cut)."""
     if metric not in HEATMAP_METRICS:
         raise ValueError(f"heatmap metric must be one of {HEATMAP_METRICS}")
     cells = cross_metrics(df, row, column)
     if values is None:
-        values = [r[0] for r in cells.select(column).distinct().orderBy(column).collect()]
+        found = cells.select(column).distinct().limit(MAX_PIVOT_LABELS + 1).collect()
+        if len(found) > MAX_PIVOT_LABELS:
+            raise ValueError(f"{column} has more than {MAX_PIVOT_LABELS} labels; pass the values to show")
+        values = sorted(r[0] for r in found)
     return cells.groupBy(row).pivot(column, list(values)).agg(F.first(metric))
 
 
@@ -70,5 +74,5 @@ def importer_record_counts(df: DataFrame, col: str = "importer_name") -> DataFra
 def importer_names_in_use(df: DataFrame, mapping: DataFrame,
                           id_col: str = "importer_ID") -> DataFrame:
     """Mapping entries whose id occurs in the data (semi join: each entry once)."""
-    ids = df.select(id_string(id_col).alias("_id")).where(F.col("_id").isNotNull())
+    ids = df.select(id_string(id_col).alias("_id")).where(F.col("_id").isNotNull()).distinct()
     return mapping.join(ids, mapping.importer_id == ids._id, "left_semi")

@@ -128,13 +128,15 @@ def apply_filters(df: DataFrame, spec: FilterSpec | None) -> DataFrame:
 def facet_options(df: DataFrame, dims=None) -> DataFrame:
     """Sorted distinct non-null option values per filter dimension, as (dimension, value).
 
-    One scan: each row emits its (dimension, value) pairs, then a single distinct aggregate
-    (partial in each task) reduces them.
+    One scan: rows are first reduced to distinct combinations inside each task, then each emits
+    its (dimension, value) pairs.
     """
     dims = dims or {"importer": "importer_name", "company": "organization_name",
                     "region": "uk_region", "occupation": "occupation"}
     scalar = [F.struct(F.lit(k).alias("dimension"), F.col(c).cast("string").alias("value"))
               for k, c in dims.items() if c in df.columns]
+    cols = [c for c in dict.fromkeys([*dims.values(), "upgrades_list"]) if c in df.columns]
+    df = df.select(*cols).distinct()
     arr = F.array(*scalar)
     if "upgrades_list" in df.columns:
         arr = F.concat(arr, F.transform("upgrades_list",

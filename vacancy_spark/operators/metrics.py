@@ -51,15 +51,7 @@ def vacancy_counts(df: DataFrame, *dims, entity: str = ENTITY) -> DataFrame:
                    F.count_if(F.col("event_name") == APPLY).alias("applies")))
 
 
-def _median(c: Column, approx_accuracy: int | None) -> Column:
-    """Exact median by default. ``approx_accuracy`` opts into ``percentile_approx`` (bounded
-    memory for groups with very many distinct values; results may differ from the exact one)."""
-    if approx_accuracy:
-        return F.percentile_approx(c, 0.5, approx_accuracy).cast("double")
-    return F.median(c)
-
-
-def _level2_aggs(entity: str = ENTITY, approx_accuracy: int | None = None) -> list[Column]:
+def _level2_aggs(entity: str = ENTITY) -> list[Column]:
     ent = F.col(entity)
     clicks_in = F.when(ent.isNull(), F.lit(0)).otherwise(F.col("clicks"))
     applies_in = F.when(ent.isNull(), F.lit(0)).otherwise(F.col("applies"))
@@ -67,8 +59,8 @@ def _level2_aggs(entity: str = ENTITY, approx_accuracy: int | None = None) -> li
         F.count(ent).alias("num_vacancies"),
         F.coalesce(F.sum("clicks"), F.lit(0)).cast("bigint").alias("total_clicks"),
         F.coalesce(F.sum("applies"), F.lit(0)).cast("bigint").alias("total_applies"),
-        _median(clicks_in, approx_accuracy).alias("_med_c"),
-        _median(applies_in, approx_accuracy).alias("_med_a"),
+        F.median(clicks_in).alias("_med_c"),
+        F.median(applies_in).alias("_med_a"),
     ]
 
 
@@ -89,13 +81,13 @@ def _finish(agg: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def grouped_metrics(df: DataFrame, dims=None, entity: str = ENTITY,
-                    null_group: str = "zero", approx_accuracy: int | None = None) -> DataFrame:
+                    null_group: str = "zero") -> DataFrame:
     """The full metric set per group of ``dims`` (one row in total when ``dims`` is empty)."""
     dims = _dims(dims)
     if null_group == "drop" and dims:
         df = df.where(~_any_null(dims))
     per_vac = vacancy_counts(df, *dims, entity=entity)
-    agg = per_vac.groupBy(*dims).agg(*_level2_aggs(entity, approx_accuracy))
+    agg = per_vac.groupBy(*dims).agg(*_level2_aggs(entity))
     out = _finish(agg, dims)
     if null_group == "zero" and dims:
         is_null = _any_null(dims)
@@ -109,10 +101,10 @@ def grouped_metrics(df: DataFrame, dims=None, entity: str = ENTITY,
     return out
 
 
-def kpi_metrics(df: DataFrame, entity: str = ENTITY, approx_accuracy: int | None = None) -> DataFrame:
+def kpi_metrics(df: DataFrame, entity: str = ENTITY) -> DataFrame:
     """One row, ten fields: vacancies, clicks, applies, ratio, mean & median per vacancy,
     and the "per vacancy" aliases the comparison view shows."""
-    m = grouped_metrics(df, None, entity, approx_accuracy=approx_accuracy)
+    m = grouped_metrics(df, None, entity)
     return m.select(
         "num_vacancies", "total_clicks", "total_applies", "apply_click_ratio",
         "mean_clicks_per_vacancy", "mean_applies_per_vacancy",
@@ -130,9 +122,9 @@ def basic_totals(df: DataFrame, entity: str = ENTITY) -> DataFrame:
 
 
 def benchmark(df: DataFrame, dimension: str, entity: str = ENTITY,
-              null_group: str = "zero", approx_accuracy: int | None = None) -> DataFrame:
+              null_group: str = "zero") -> DataFrame:
     """Benchmark table for one dimension, rounded half-even, highest mean clicks first."""
-    m = grouped_metrics(df, dimension, entity, null_group, approx_accuracy)
+    m = grouped_metrics(df, dimension, entity, null_group)
     return (m.select(
         dimension,
         F.col("num_vacancies").alias("vacancies"),
@@ -146,9 +138,9 @@ def benchmark(df: DataFrame, dimension: str, entity: str = ENTITY,
 
 
 def overview_by(df: DataFrame, dimension: str, entity: str = ENTITY,
-                null_group: str = "zero", approx_accuracy: int | None = None) -> DataFrame:
+                null_group: str = "zero") -> DataFrame:
     """The seven-column overview table per importer / region."""
-    m = grouped_metrics(df, dimension, entity, null_group, approx_accuracy)
+    m = grouped_metrics(df, dimension, entity, null_group)
     return (m.select(
         dimension,
         F.col("num_vacancies").alias("vacancies"),
@@ -249,12 +241,16 @@ def iqr_mean(df: DataFrame, entity: str = ENTITY) -> DataFrame:
 def card_metrics(df: DataFrame, org: str = "organization_name", occupation: str = "occupation",
                  region: str = "regions") -> DataFrame:
     """Row count and distinct organisations / occupations / regions (absent column -> 0)."""
+    have = [c for c in (org, occupation, region) if c in df.columns]
+    # each combination once, so that the distinct counts expand few rows
+    rows = df.groupBy(*have).agg(F.count(F.lit(1)).alias("_n")) if have else df.select(F.lit(1).alias("_n"))
+
     def nd(c):
-        return F.count_distinct(c) if c in df.columns else F.lit(0).cast("bigint")
-    return df.agg(F.count(F.lit(1)).alias("total_records"),
-                  nd(org).alias("unique_organizations"),
-                  nd(occupation).alias("unique_occupations"),
-                  nd(region).alias("unique_regions"))
+        return F.count_distinct(c) if c in have else F.lit(0).cast("bigint")
+    return rows.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("total_records"),
+                    nd(org).alias("unique_organizations"),
+                    nd(occupation).alias("unique_occupations"),
+                    nd(region).alias("unique_regions"))
 
 
 def dataset_totals(df: DataFrame, entity: str = ENTITY) -> DataFrame:

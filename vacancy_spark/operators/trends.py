@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import APPLY, CLICK
+from ..session import fresh_path
 
 
 def daily_trend(df: DataFrame, date_col: str = "event_date") -> DataFrame:
@@ -22,10 +23,19 @@ def daily_trend(df: DataFrame, date_col: str = "event_date") -> DataFrame:
 
 def daily_trend_outer_join(df: DataFrame, date_col: str = "event_date") -> DataFrame:
     """The reference's literal form: daily clicks FULL OUTER JOIN daily applies, nulls -> 0.
-    Kept to show equivalence with ``daily_trend``; prefer that one (one shuffle, no join)."""
-    d = F.col(date_col).cast("date").alias("event_date")
-    clicks = df.where(F.col("event_name") == CLICK).groupBy(d).agg(F.count(F.lit(1)).alias("clicks"))
-    applies = df.where(F.col("event_name") == APPLY).groupBy(d).agg(F.count(F.lit(1)).alias("applies"))
+
+    The events are scanned once: their counts by day and event name, a few rows a day, are
+    written to the shared folder (by a job when called) and both sides are read from there.
+    Kept to show equivalence with ``daily_trend``; prefer that one (one shuffle, no join).
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, "daily_counts")
+    (df.where(F.col("event_name").isin(CLICK, APPLY))
+       .groupBy(F.col(date_col).cast("date").alias("event_date"), "event_name")
+       .agg(F.count(F.lit(1)).alias("n")).write.parquet(path))
+    daily = spark.read.parquet(path)
+    clicks = daily.where(F.col("event_name") == CLICK).select("event_date", F.col("n").alias("clicks"))
+    applies = daily.where(F.col("event_name") == APPLY).select("event_date", F.col("n").alias("applies"))
     return (clicks.join(applies, "event_date", "full_outer")
                   .select("event_date",
                           F.coalesce("clicks", F.lit(0)).alias("clicks"),

@@ -52,9 +52,6 @@ def get_session(master: str | None = None, app_name: str = "vacancy_spark",
     return spark
 
 
-MAX_SHUFFLE_PARTITIONS = 50_000
-
-
 def cluster_settings(input_bytes: int, executor_cores: int = 4, executor_memory_gb: float = 16.0,
                      target_partition_bytes: int = 256 << 20) -> dict:
     """Partition sizing for a cluster run over ``input_bytes`` of event data.
@@ -62,14 +59,12 @@ def cluster_settings(input_bytes: int, executor_cores: int = 4, executor_memory_
     Scan splits and shuffle partitions are sized to ``target_partition_bytes`` (capped so
     that one partition per core fits in a quarter of the executor's memory); AQE then
     coalesces small shuffle partitions and splits skewed ones around the same advisory size.
-    The initial shuffle partition count is capped at ``MAX_SHUFFLE_PARTITIONS`` (map-status
-    and scheduling overhead grow with it); most shuffles here follow a partial aggregate and
-    are far smaller than the input, and the full-width ones (rebalanced writes, shuffle joins)
-    are split further by AQE. E.g. 100 TB -> 50,000 initial shuffle partitions.
+    Most shuffles here follow a partial aggregate and are far smaller than the input, but a
+    full-width one keeps its partitions at the target too. E.g. 100 TB at 256 MB -> 372,530.
     """
     per_core = executor_memory_gb * (1 << 30) / max(executor_cores, 1) / 4
     size = int(max(32 << 20, min(target_partition_bytes, per_core)))
-    parts = min(MAX_SHUFFLE_PARTITIONS, max(200, -(-int(input_bytes) // size)))
+    parts = max(200, -(-int(input_bytes) // size))
     return {
         "spark.sql.files.maxPartitionBytes": str(size),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(size),
@@ -88,14 +83,16 @@ def apply_semantic_conf(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-shared folder named by ``spark.checkpoint.dir``.
 
-    Written tables and checkpoints go here, never to a machine-local temp folder. Only when
-    the setting is absent (unit tests, a laptop) do we pick a local folder and register it.
+    Written tables and checkpoints go here. Without the setting, a session whose master is
+    ``local`` (unit tests, a laptop) gets a local folder; on a cluster that is an error, since
+    no other machine would see it.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="vacancy-spark-")
-        spark.conf.set("spark.checkpoint.dir", path)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)  # DataFrame.checkpoint() writes under the same folder
     return path.rstrip("/")
