@@ -15,7 +15,8 @@ tables and written under the shared ``spark.checkpoint.dir``:
 
 The folder name is a hash of the inputs' paths, sizes and modification times and of the code
 that defines the table; a finished
-table is reused, a new one is written to a temporary name and renamed into place, and the
+table is reused (the input files are listed once a session), a new one is written to a temporary
+name and renamed into place, and the
 written table also cuts the lineage of every report built on it.
 """
 
@@ -52,20 +53,42 @@ def _code_version() -> str:
     return h.hexdigest()
 
 
+_PRINTS: dict[tuple, str] = {}
+
+
 def _fingerprint(spark: SparkSession, sf_dir: str, sources=SOURCES) -> str:
-    h = hashlib.sha1((CACHE_TAG + _code_version() + sf_dir.rstrip("/")).encode())
-    for name in sources:
-        p, fs = _fs(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
-        for st in fs.listStatus(p):
-            h.update(f"{st.getPath().getName()}:{st.getLen()}:{st.getModificationTime()};".encode())
-    return h.hexdigest()[:16]
+    """Hash of all files under the inputs, at any depth; listed once a session (``refresh``)."""
+    key = (spark.sparkContext.applicationId, CACHE_TAG, sf_dir.rstrip("/"), tuple(sources))
+    if key not in _PRINTS:
+        h = hashlib.sha1((CACHE_TAG + _code_version() + sf_dir.rstrip("/")).encode())
+        for name in sources:
+            p, fs = _fs(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
+            files, found = fs.listFiles(p, True), []
+            while files.hasNext():
+                st = files.next()
+                found.append(f"{st.getPath()}:{st.getLen()}:{st.getModificationTime()};")
+            h.update("".join(sorted(found)).encode())
+        _PRINTS[key] = h.hexdigest()[:16]
+    return _PRINTS[key]
+
+
+def refresh() -> None:
+    """Look at the input files again: call it after they changed during a session."""
+    _PRINTS.clear()
 
 
 def _publish(spark: SparkSession, tmp: str, final: str) -> None:
+    """Put the finished folder in place unless another job published the same table first."""
     src, fs = _fs(spark, tmp)
     dst, _ = _fs(spark, final)
-    if not fs.rename(src, dst) and fs.exists(src):
-        fs.delete(src, True)  # another job published the same table first
+    if not fs.exists(dst) and fs.rename(src, dst):
+        inside, _ = _fs(spark, f"{final}/{src.getName()}")
+        if fs.exists(inside):  # published between the two calls: ours went inside it
+            fs.delete(inside, True)
+        return
+    fs.delete(src, True)
+    if not _ready(spark, final):
+        raise OSError(f"cannot publish {final}")
 
 
 def _ready(spark: SparkSession, path: str) -> bool:
