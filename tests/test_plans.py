@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from vacancy_spark.plans import registry
 from vacancy_spark.plans.enrich import legacy_events
 from vacancy_spark.plans.tables import rebuild_typed_events
 from vacancy_spark.sources.events import scan_events
@@ -15,7 +16,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("key", sorted(E.queries()))
+@pytest.mark.parametrize("key", sorted(registry.QUERIES))
 def test_no_python_udfs(spark, key):
     p = plan(E.queries()[key](spark, SF_SMALL))
     for node in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas",

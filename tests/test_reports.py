@@ -73,7 +73,8 @@ def test_filtered_vacancy_report_equals_two_pass(spark):
     assert plan.count() > 0
     plan.collect()
     text = plan._jdf.queryExecution().executedPlan().toString()
-    assert "FileScan parquet" not in text  # both branches read the checkpointed vacancy table
+    assert "/enriched/" not in text  # both branches read the stored vacancy counts
+    assert text.count("FileScan parquet") == text.count("vacancy_counts-") > 0
 
 
 def test_sheet_flow(spark):

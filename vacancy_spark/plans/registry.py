@@ -102,9 +102,8 @@ def _legacy_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, id(job_events_table(spark, sf_dir)))
     if key not in _LEGACY:
         legacy = legacy_events(spark, sf_dir)
-        merged = J.merge_job_export(legacy, job_export_table(spark, sf_dir))
-        mapped = C.apply_importer_mapping(merged, FX.importer_mapping_rows(spark), id_col="importer_id")
-        _LEGACY[key] = RG.add_region_column(mapped)
+        merged = J.merge_job_export(legacy, job_export_table(spark, sf_dir), regions=True)
+        _LEGACY[key] = merged
     return _LEGACY[key]
 
 
@@ -123,7 +122,16 @@ def q_scan_events(spark, sf_dir):
 
 @register("scan_events_legacy", W("SELECT * FROM legacy WHERE event_date >= '20240117'", O.LEGACY_CTE))
 def q_scan_events_legacy(spark, sf_dir):
-    return EV.scan_events_legacy(legacy_events(spark, sf_dir), AS_OF, days_back=14)
+    return EV.scan_events_legacy(legacy_events(spark, sf_dir, with_day=True), AS_OF, days_back=14,
+                                 day_col="event_date_parsed")
+
+
+@register("scan_events_range", W("""SELECT *,
+  CAST(floor((CAST(event_date AS BIGINT) - 20200101) / 10000) AS INTEGER) AS event_date_bucket
+FROM legacy WHERE event_date >= '20240117'""", O.LEGACY_CTE))
+def q_scan_events_range(spark, sf_dir):
+    table = TB.rebuild_range_partitioned(legacy_events(spark, sf_dir), fresh_path(spark, "range_events"))
+    return EV.scan_events_legacy(table, AS_OF, days_back=14)
 
 
 @register("read_job_export", W("SELECT * FROM job_export"))
@@ -133,6 +141,32 @@ def q_read_job_export(spark, sf_dir):
     return FS.read_job_export(spark, path)
 
 
+# text that a careless CSV dialect splits, shifts or cuts, plus a column more, in another order
+ODD_TITLE_SQL = """title || ' "Lead", officer' || chr(10) || 'a "" b ' AS title"""
+
+
+@register("read_job_export_quoted", W(f"""SELECT job_id, {ODD_TITLE_SQL}, workflow_state, occupational_fields, locations,
+  publishing_date, expiration_date, organization_profile_name, 'full,"time"' AS employment_type,
+  CAST(length(title) AS VARCHAR) AS extra FROM job_export"""))
+def q_read_job_export_quoted(spark, sf_dir):
+    path = fresh_path(spark, "job_export_odd_csv")
+    rows = job_export_table(spark, sf_dir).withColumns({
+        "extra": F.length("title").cast("string"), "employment_type": F.lit('full,"time"'),
+        "title": F.concat("title", F.lit(' "Lead", officer\na "" b '))})
+    TB.export_csv(rows.select("employment_type", *reversed(rows.drop("employment_type").columns)), path)
+    return FS.read_job_export(spark, path)
+
+
+@register("export_csv_quoted", W(f"""SELECT entity_id, {ODD_TITLE_SQL}, count(*) AS events FROM
+  (SELECT entity_id, title FROM enriched) GROUP BY entity_id, title"""))
+def q_export_csv_quoted(spark, sf_dir):
+    path = fresh_path(spark, "report_odd_csv")
+    rows = (enriched_events(spark, sf_dir).groupBy("entity_id", "title").agg(F.count("*").alias("events"))
+            .withColumn("title", F.concat("title", F.lit(' "Lead", officer\na "" b '))))
+    TB.export_csv(rows, path)
+    return TB.read_csv_like(spark, path, rows.schema)
+
+
 @register("importer_mapping", W("""SELECT importer_id, importer_name FROM importer_mapping
 WHERE importer_id IN (SELECT trim(CAST(importer_ID AS VARCHAR)) FROM job_events WHERE importer_ID IS NOT NULL)"""))
 def q_importer_mapping(spark, sf_dir):
@@ -189,6 +223,30 @@ def q_create_metadata_table(spark, sf_dir):
     return spark.table(name)
 
 
+@register("metadata_file_order", W("""SELECT * REPLACE (
+  CASE WHEN CAST(entity_id AS INTEGER) % 3 = 0 THEN title || ' "new", ' || chr(10) || '2' ELSE title END AS title)
+FROM metadata""", O.metadata_cte()))
+def q_metadata_file_order(spark, sf_dir):
+    """Ids that a later line of the file repeats: the last line wins."""
+    path = fresh_path(spark, "job_export_repeated_csv")
+    first = job_export_table(spark, sf_dir).withColumn("part", F.lit(0))
+    later = (first.where(F.col("job_id").cast("int") % 3 == 0).withColumn("part", F.lit(1))
+             .withColumn("title", F.concat("title", F.lit(' "new", \n2'))))
+    TB.export_csv(first.unionByName(later).orderBy("part", "job_id").drop("part"), path)
+    return FS.load_metadata(spark, path, AS_OF)
+
+
+@register("external_metadata_iso", W("SELECT * FROM metadata", O.metadata_cte(null_fill=None)))
+def q_external_metadata_iso(spark, sf_dir):
+    """The SQL load: ISO dates in the external file, read strictly."""
+    path = fresh_path(spark, "metadata_iso_csv")
+    iso = lambda c: F.date_format(D.parse_dmy_hm(c).cast("timestamp"), "yyyy-MM-dd HH:mm:ss").alias(c)
+    rows = job_export_table(spark, sf_dir)
+    TB.export_csv(rows.withColumns({c: iso(c) for c in ("publishing_date", "expiration_date")}), path)
+    ext = FS.register_external_csv(spark, "job_metadata_iso_" + path.rsplit("-", 1)[-1], path)
+    return C.normalise_metadata(ext, AS_OF, null_fill=None, dates="iso")
+
+
 TYPED_SQL = """SELECT entity_id AS entity_id_str, CAST(strptime(event_date, '%Y%m%d') AS DATE) AS event_date_parsed,
   event_date AS event_date_original, entity_id AS entity_id_original, event_name, organization_name,
   title, regions, occupations, importer_id, upgrades
@@ -524,6 +582,18 @@ def q_facet_options(spark, sf_dir):
     return FL.facet_options(enriched_events(spark, sf_dir))
 
 
+@register("facet_options_sheet", W(f"""SELECT DISTINCT dimension, value FROM (
+  SELECT 'event' AS dimension, event_name AS value FROM ({SHEET_SQL})
+  UNION ALL SELECT 'importer', importer_id FROM ({SHEET_SQL})
+  UNION ALL SELECT 'company', organization_name FROM ({SHEET_SQL})
+  UNION ALL SELECT 'occupation', occupation FROM ({SHEET_SQL})
+  UNION ALL SELECT 'region', regions FROM ({SHEET_SQL})) WHERE value IS NOT NULL"""))
+def q_facet_options_sheet(spark, sf_dir):
+    return FL.facet_options(_sheet_frame(spark, sf_dir), {
+        "event": "event_name", "importer": "importer_id", "company": "organization_name",
+        "occupation": "occupation", "region": "regions"})
+
+
 @register("date_bounds", W("""SELECT min(event_date) AS min_date, max(event_date) AS max_date,
   greatest(DATE '2023-08-04', min(event_date)) AS default_start FROM enriched"""))
 def q_date_bounds(spark, sf_dir):
@@ -556,7 +626,7 @@ def _legacy_report_sql(src: str, region_expr: str = "max(uk_region)", where: str
     "legacy_regions", where="WHERE region IN ('North West', 'Unknown') AND organisation IN ('Org 1', 'Org 4', 'Org 6')"),
     O.LEGACY_CTE, LEGACY_MERGED_CTE))
 def q_filter_vacancy_table(spark, sf_dir):
-    rep = V.vacancy_report_legacy(_legacy_merged(spark, sf_dir))
+    rep = V.vacancy_report_legacy(legacy_events(spark, sf_dir), export=job_export_table(spark, sf_dir))
     return FL.filter_vacancies(rep, ("North West", "Unknown"), ("Org 1", "Org 4", "Org 6"),
                                "region", "organisation")
 
@@ -732,8 +802,7 @@ for _key, _metric in (("heatmap_pivot", "clicks_per_vacancy"),
                       ("heatmap_pivot_applies", "applies_per_vacancy"),
                       ("heatmap_pivot_ratio", "apply_click_ratio")):
     register(_key, _pivot_sql(_metric))(
-        lambda spark, sf_dir, _m=_metric: X.heatmap(enriched_events(spark, sf_dir), _m,
-                                                    values=HEATMAP_IMPORTERS))
+        lambda spark, sf_dir, _m=_metric: X.heatmap(enriched_events(spark, sf_dir), _m))
 
 
 def _top_sql(col: str, n: int | None = 10) -> str:
@@ -820,7 +889,32 @@ def q_vacancy_totals(spark, sf_dir):
 
 @register("vacancy_report_legacy", W(_legacy_report_sql("legacy_regions"), O.LEGACY_CTE, LEGACY_MERGED_CTE))
 def q_vacancy_report_legacy(spark, sf_dir):
-    return V.vacancy_report_legacy(_legacy_merged(spark, sf_dir))
+    return V.vacancy_report_legacy(legacy_events(spark, sf_dir), export=job_export_table(spark, sf_dir))
+
+
+CHANGING_ORDER = ", ".join(f"{c} DESC NULLS LAST" for c in ("event_date", "title", "workflow_state", "uk_region"))
+
+
+@register("vacancy_table_changing", W(f"""SELECT entity_id, event_date, title, workflow_state, uk_region, clicks, applies
+FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY {CHANGING_ORDER}) AS rn,
+        CASE WHEN entity_id IS NULL THEN 0 ELSE count(*) FILTER (WHERE event_name = 'job_visit')
+          OVER (PARTITION BY entity_id) END AS clicks,
+        CASE WHEN entity_id IS NULL THEN 0 ELSE count(*) FILTER (WHERE event_name = 'job_apply_start')
+          OVER (PARTITION BY entity_id) END AS applies FROM changing)
+WHERE rn = 1""", """changing AS (
+  SELECT entity_id, event_date, event_name, uk_region,
+         title || ' v' || CAST(extract(day FROM CAST(event_date AS DATE)) % 3 AS VARCHAR) AS title,
+         CASE WHEN extract(day FROM CAST(event_date AS DATE)) % 2 = 0 THEN 'published' ELSE 'draft' END
+           AS workflow_state
+  FROM enriched)"""))
+def q_vacancy_table_changing(spark, sf_dir):
+    """Attributes that change from day to day: the newest day's row represents the vacancy."""
+    day = F.dayofmonth("event_date")
+    df = enriched_events(spark, sf_dir).select(
+        "entity_id", "event_date", "event_name",
+        F.concat("title", F.lit(" v"), (day % 3).cast("string")).alias("title"),
+        F.when(day % 2 == 0, "published").otherwise("draft").alias("workflow_state"), "uk_region")
+    return V.vacancy_table(df)
 
 
 VIEW_SQL = W(_legacy_report_sql(
