@@ -145,7 +145,7 @@ def measures(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_i
                        for c in ("doc_id", "lang")}
                 yield pa.RecordBatch.from_arrays(
                     [own[c] if c in own else pa.array(
-                        found[c], pa.float64() if found[c].dtype.kind == "f" else pa.int64())
+                        found[c], pa.float64() if f"{c} double" in SCHEMA else pa.int64())
                      for c in names], names)
 
     narrow_batches(docs.sparkSession)
