@@ -60,7 +60,7 @@ def threshold_top_k(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, quer
             new[lists[depth:upto, up]] = True
             new[lists[n - upto:n - depth, ~up]] = True
             new &= ~seen
-            if 2 * (np.count_nonzero(seen) + np.count_nonzero(new)) > n:
+            if upto == n or 2 * (np.count_nonzero(seen) + np.count_nonzero(new)) > n:
                 new, upto = ~seen, n  # most rows are seen: read the lists to their end
             got = np.flatnonzero(new)
             seen |= new
