@@ -34,7 +34,7 @@ CONTEXTS = 256
 CHUNK_TOKENS = 2_000_000
 BUCKET_BYTES = 16 << 20  # of text, for each bucket of words
 BATCH_BYTES = 2 << 20
-EPOCHS = 2  # before the last one, to bring the restaurants' totals up to date
+EPOCHS = 3  # before the last one, to bring the restaurants' totals up to date
 BURN_IN = 4
 SAMPLES = 4
 STRENGTH = (10.0, 10.0)  # of the context restaurants and of their parent
@@ -46,6 +46,7 @@ A_SCHEMA = ("chunk long, bucket long, words binary, pairs binary, contexts binar
             "doc_ids array<long>, held array<boolean>, lengths binary, tokens binary, before binary")
 C_SCHEMA = ("bucket long, pairs binary, contexts binary, counts binary, words long, "
             "tables array<long>, customers array<long>, ones long, twos long")
+T_SCHEMA = "tables array<double>, above double"
 R_SCHEMA = "chunk long, bucket long, base binary, known binary, own binary"
 S_SCHEMA = ("doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, "
             "score double")
@@ -113,7 +114,7 @@ def _chunk(chunk: int, docs: list, buckets: int):
 
 def _table(rows: list[dict], schema: str) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64(),
-             "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_())}
+             "array<double>": pa.list_(pa.float64()), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_())}
     fields = [x.rsplit(" ", 1) for x in schema.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], kinds[k])
                                        for n, k in fields], [n for n, _ in fields])
@@ -172,8 +173,8 @@ def _sample(word: np.ndarray, context: np.ndarray, count: np.ndarray, n: int, g:
             sweeps: int, keep: int):
     """Seat the words of a bucket; averages over the last ``keep`` sweeps.
 
-    (average of each pair's count less its tables' discount, average probability of each word in
-    the parent, tables by context and parent tables after the last sweep)
+    (each pair's count less its tables' discount, the same of each word in the parent, tables by
+    context, tables of the parent)
     """
     some = np.flatnonzero(count > 0)
     w, k, c = word[some], context[some], count[some]
@@ -184,7 +185,7 @@ def _sample(word: np.ndarray, context: np.ndarray, count: np.ndarray, n: int, g:
     open_parent = s0 + d0 * g.parent_tables
     tables = np.ones(len(some), np.int64)
     own, mean = np.zeros(len(count)), np.zeros(n)
-    above = np.zeros(n, np.int64)
+    by_context, of_parent = np.zeros(CONTEXTS), 0.0
     for i in range(sweeps):
         sent = np.bincount(w, tables, n).astype(np.int64)
         above = _seat(sent, np.full(n, open_parent * base), d0, random)
@@ -195,9 +196,18 @@ def _sample(word: np.ndarray, context: np.ndarray, count: np.ndarray, n: int, g:
         if i >= sweeps - keep:
             sent = np.bincount(w, tables, n).astype(np.int64)
             above = _seat(sent, np.full(n, open_parent * base), d0, random)
-            mean += (sent - d0 * above + open_parent * base) / (s0 + parent) / keep
+            mean += (sent - d0 * above) / keep
             own[some] += (c - d1 * tables) / keep
-    return own, mean, np.bincount(k, tables, CONTEXTS).astype(np.int64), int(above.sum())
+            by_context += np.bincount(k, tables, CONTEXTS) / keep
+            of_parent += above.sum() / keep
+    return own, mean, by_context, of_parent
+
+
+def _parent(mean: np.ndarray, g: _Totals) -> np.ndarray:
+    """Each word's averaged predictive probability in the parent restaurant."""
+    s0, d0 = STRENGTH[1], g.discounts[1]
+    new = (s0 + d0 * g.parent_tables) / (g.vocabulary + 1)
+    return (mean + new) / (s0 + g.tables.sum())
 
 
 def _discount(ones: int, twos: int) -> float:
@@ -270,10 +280,9 @@ def score(docs: DataFrame, held_out: Column, epochs: int = EPOCHS, burn_in: int
     d = _discount(one["ones"] or 0, one["twos"] or 0)
     totals = _Totals(customers, tables, vocabulary * 1.0, vocabulary, int(customers.sum()), (d, d))
 
-    for epoch in range(epochs):
-        g = totals
-
-        def sweep(batches, g=g, epoch=epoch):
+    def seated(g: _Totals, epoch: int, sweeps: int, keep: int) -> _Totals:
+        """The totals that a seating of all buckets, given the totals ``g``, leaves."""
+        def sweep(batches):
             for b in batches:
                 for r in range(b.num_rows):
                     random = np.random.default_rng([seed, epoch, b.column("bucket")[r].as_py()])
@@ -281,21 +290,27 @@ def score(docs: DataFrame, held_out: Column, epochs: int = EPOCHS, burn_in: int
                     n = b.column("words")[r].as_py()
                     _, _, by_context, above = _sample(
                         word, _array(b.column("contexts")[r], "<u2").astype(np.int64),
-                        _array(b.column("counts")[r], "<u4").astype(np.int64), n, g, random, burn_in, 1)
-                    yield _table([{"tables": by_context, "above": above}], "tables array<long>, above long")
+                        _array(b.column("counts")[r], "<u4").astype(np.int64), n, g, random, sweeps, keep)
+                    yield _table([{"tables": by_context, "above": above}], T_SCHEMA)
+
+        after = stored(counted.mapInArrow(sweep, T_SCHEMA), "seating")
+        parent = after.agg(F.sum("above")).first()[0] or 0.0
+        return _Totals(customers, sums(after, "tables")[0], parent, vocabulary, g.tokens, g.discounts)
 
-        after = stored(counted.mapInArrow(sweep, "tables array<long>, above long"), "seating")
-        parent = after.agg(F.sum("above")).first()[0] or 0
-        totals = _Totals(customers, sums(after, "tables")[0], float(parent), vocabulary,
-                         totals.tokens, totals.discounts)
-    g = totals
+    for epoch in range(epochs):
+        totals = seated(totals, epoch, burn_in, 1)
+    # the seating that is averaged: once for its totals, once more (from the same numbers) for
+    # the words, so that probabilities sum to one
+    before = totals
+    g = seated(before, epochs, burn_in + samples, samples)
 
     def answer(table: pa.Table) -> pa.Table:
         b = _Bucket(table)
         random = np.random.default_rng([seed, epochs, table.column("bucket")[0].as_py()])
         word = b.keys // CONTEXTS
-        own, mean, _, _ = _sample(word, b.keys % CONTEXTS, b.count, len(b.words), g, random,
+        own, mean, _, _ = _sample(word, b.keys % CONTEXTS, b.count, len(b.words), before, random,
                                   burn_in + samples, samples)
+        mean = _parent(mean, g)
         known = np.bincount(word, b.count, len(b.words)).astype(np.int64)
         return pa.Table.from_batches([_table([
             {"chunk": c.as_py(), "bucket": k.as_py(), "base": _raw(mean[p], "<f8"),
