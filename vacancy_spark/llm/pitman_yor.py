@@ -47,7 +47,8 @@ A_SCHEMA = ("chunk long, bucket long, words binary, pairs binary, contexts binar
 C_SCHEMA = ("bucket long, pairs binary, contexts binary, counts binary, words long, "
             "tables array<long>, customers array<long>, ones long, twos long")
 T_SCHEMA = "tables array<double>, above double"
-R_SCHEMA = "chunk long, bucket long, base binary, known binary, own binary"
+R_SCHEMA = ("chunk long, bucket long, base binary, known binary, own binary, pairs binary, "
+            "contexts binary")
 S_SCHEMA = ("doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, "
             "score double")
 
@@ -314,15 +315,13 @@ def score(docs: DataFrame, held_out: Column, epochs: int = EPOCHS, burn_in: int
         known = np.bincount(word, b.count, len(b.words)).astype(np.int64)
         return pa.Table.from_batches([_table([
             {"chunk": c.as_py(), "bucket": k.as_py(), "base": _raw(mean[p], "<f8"),
-             "known": _raw(known[p], "<i8"), "own": _raw(own[x], "<f4")}
-            for c, k, p, x in zip(table.column("chunk"), table.column("bucket"), b.places, b.wheres)],
+             "known": _raw(known[p], "<i8"), "own": _raw(own[x], "<f4"),
+             "pairs": pairs.as_py(), "contexts": contexts.as_py()}
+            for c, k, pairs, contexts, p, x in zip(*(table.column(n) for n in (
+                "chunk", "bucket", "pairs", "contexts")), b.places, b.wheres)],
             R_SCHEMA)])
 
     answers = sent.groupBy("bucket").applyInArrow(answer, R_SCHEMA)
-    sent_pairs = rows.where("bucket >= 0").select("chunk", "bucket", "pairs", "contexts")
-    answers = (answers.withColumnsRenamed({"chunk": "c", "bucket": "b"})
-               .join(sent_pairs, (F.col("c") == F.col("chunk")) & (F.col("b") == F.col("bucket")))
-               .select("chunk", "bucket", "base", "known", "own", "pairs", "contexts"))
 
     def add_up(key, left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("bucket")
