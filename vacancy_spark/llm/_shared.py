@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
+from vacancy_spark.llm._words import text_bytes
 from vacancy_spark.session import fresh_path
 
 BATCH_ROWS = 1024  # rows of whole texts that one Arrow batch may hold
@@ -28,3 +31,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """``docs`` with its column ``text`` compressed, to be shuffled at a third of their size."""
+    rest = [c for c in docs.columns if c != "text"]
+    schema = T.StructType([*docs.select(rest).schema.fields, T.StructField("packed", T.BinaryType())])
+
+    def run(batches):
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(i) for i in range(len(rest))),
+                 pa.array([pack(t) for t in text_bytes(b.column("text"))], pa.binary())],
+                schema=pa.schema([*(pa.field(f"c{i}", b.column(i).type) for i in range(len(rest))),
+                                  pa.field("packed", pa.binary())])).rename_columns([*rest, "packed"])
+
+    return docs.select(*rest, "text").mapInArrow(run, schema)
+
+
+def unpacked(column) -> list[bytes]:
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [unpack(x) for x in column.to_pylist()]

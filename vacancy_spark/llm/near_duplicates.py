@@ -7,8 +7,9 @@ Each set has 128 minhash values; the token (i, value i) is shared by two sets wi
 equal to their similarity. A run starts at a root that holds all sets. A node splits its sets by
 one or two tokens sampled for that node (1 / 0.8 on average), a child for each value. Nodes of
 at most ``leaf`` sets are compared by brute force on the minhash values. In a larger node one
-member, the hub, is compared with all; members very close to it leave the node, the others go
-to its children. Runs repeat until a pair at the threshold is found with the target recall,
+member, the hub, is compared with all and joined with those that may be near it; pairs among
+these need no further search, so the node is split on only if it holds others, and without the
+members very close to the hub. Runs repeat until a pair at the threshold is found with the target recall,
 reckoned for the deepest level that any node reached.
 
 What comparing yields is only which sets may belong together (a forest, not all pairs), with a
@@ -17,7 +18,7 @@ blocks of bounded size, so links missed by sampling inside a group are found too
 one row per set: its number of linked documents and a set it is connected with.
 
 Null and empty texts, and texts without a word, have no shingle: each is a class of its own
-without links. Repeated rows are copies like any others; ids may be null (the class is then
+(numbered by its id) without links. Repeated rows are copies like any others; ids may be null (the class is then
 numbered from -1 down unless it has a document with an id). Extra columns are ignored, whatever
 their names; an empty table gives no rows.
 """
@@ -32,13 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacancy_spark.llm._components import components
-from vacancy_spark.llm._shared import documents, narrow_batches, stored
+from vacancy_spark.llm._shared import documents, narrow_batches, packed_texts, stored, unpacked
 from vacancy_spark.llm._words import Words, batches_of, mixed, text_bytes
 
 SHINGLE = 5
 THRESHOLD = 0.8
 HASHES = 128
-LEAF = 500
+LEAF = 4000
 RECALL = 0.9999
 MARGIN = 0.14  # four standard deviations of a similarity of 0.8 estimated from 128 values
 CLOSE = 0.93  # estimated similarity to the hub at which a member leaves a large node
@@ -78,18 +79,21 @@ def _minhashes(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text_hash, set_id (null: no shingle), values (minhashes)."""
-    names = ["doc_id", "text_hash", "set_id", "values"]
+    """doc_id, text_hash, set_id (null: no shingle), values (minhashes), sketch (their lowest
+    bytes)."""
+    names = ["doc_id", "text_hash", "set_id", "values", "sketch"]
 
     def run(batches):
         for b in batches:
             texts = text_bytes(b.column("text"))
-            sets, values = [], []
+            sets, values, sketch = [], [], []
             for part in batches_of([len(t) for t in texts], BATCH_BYTES):
                 flat, counts = shingle_sets(texts[part])
                 some = counts > 0
                 starts = (np.cumsum(counts) - counts)[some]
-                found = iter(_minhashes(flat, starts))
+                found = _minhashes(flat, starts)
+                low = iter((found & 0xFF).astype(np.uint8))
+                found = iter(found)
                 m = mixed(flat)
                 one = iter(np.add.reduceat(m, starts) if len(starts) else ())
                 two = iter(np.add.reduceat(mixed(m ^ np.uint64(0x5DEECE66D)), starts)
@@ -97,20 +101,21 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 for full in some:
                     sets.append(next(one).tobytes() + next(two).tobytes() if full else None)
                     values.append(next(found).tobytes() if full else None)
+                    sketch.append(next(low).tobytes() if full else None)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("text_hash"), pa.array(sets, pa.binary()),
-                 pa.array(values, pa.binary())], names)
+                 pa.array(values, pa.binary()), pa.array(sketch, pa.binary())], names)
 
     narrow_batches(docs.sparkSession)
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"),
                         F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-            .mapInArrow(run, "doc_id long, text_hash long, set_id binary, values binary"))
+            .mapInArrow(run, "doc_id long, text_hash long, set_id binary, values binary, "
+                             "sketch binary"))
 
 
-def _column(b: pa.RecordBatch, name: str) -> np.ndarray:
-    """The minhash values in a binary column, one row each."""
-    raw = b"".join(b.column(name).to_pylist())
-    return np.frombuffer(raw, np.uint32).reshape(-1, HASHES)
+def _column(column: pa.Array, kind=np.uint32) -> np.ndarray:
+    """The minhash values (or, as uint8, their lowest bytes) in a binary column, one row each."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, HASHES)
 
 
 def _children(node: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,10 +130,9 @@ def _children(node: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndar
     return row, child
 
 
-def _rows_of(node: np.ndarray, who: np.ndarray, hub=None) -> pa.RecordBatch:
-    hub = pa.nulls(len(who), pa.int64()) if hub is None else pa.array(hub, pa.int64())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(node.view(np.int64)), pa.array(who, pa.int64()), hub], ["node", "set_no", "hub"])
+def _rows_of(node: np.ndarray, who: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(who, pa.int64())],
+                                      ["node", "set_no"])
 
 
 def _recall(depth: int) -> float:
@@ -162,24 +166,25 @@ def _run_paths(sets: DataFrame, runs: range, leaf: int, floor: float) -> tuple[l
 
     def roots(batches):
         for b in batches:
-            values, who = _column(b, "values"), b.column("set_no").to_numpy()
+            values, who = _column(b.column("values")), b.column("set_no").to_numpy()
             for r in runs:
                 node = np.full(len(who), mixed(np.array([r + 1], np.uint64))[0], np.uint64)
                 row, child = _children(node, values)
                 yield _rows_of(child, who[row])
 
+    def compare(batches):
+        for b in batches:
+            near = (_column(b.column("sketch"), np.uint8)
+                    == _column(b.column("hub_sketch"), np.uint8)).mean(axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("node"), b.column("set_no"), b.column("hub_no"), pa.array(near)],
+                ["node", "set_no", "hub_no", "near"])
+
     def split(batches):
-        far = 1 - 2 * (1 - THRESHOLD) + 0.1  # a partner of a member at 0.9 is at 0.7 or more
         for b in batches:
-            node = b.column("node").to_numpy().view(np.uint64)
-            values, hub = _column(b, "values"), _column(b, "hub_values")
-            who, hub_no = b.column("set_no").to_numpy(), b.column("hub_no").to_numpy()
-            near = (values == hub).mean(axis=1)
-            edge = (near >= far - MARGIN) & (who != hub_no)
-            yield _rows_of(node[edge], who[edge], hub_no[edge])
-            stay = near < CLOSE  # the hub itself leaves too
-            row, child = _children(node[stay], values[stay])
-            yield _rows_of(child, who[stay][row])
+            row, child = _children(b.column("node").to_numpy().view(np.uint64),
+                                   _column(b.column("values")))
+            yield _rows_of(child, b.column("set_no").to_numpy()[row])
 
     def brute(batches):
         for b in batches:
@@ -187,11 +192,10 @@ def _run_paths(sets: DataFrame, runs: range, leaf: int, floor: float) -> tuple[l
             flat = members.flatten()
             ends = np.cumsum(np.diff(members.offsets.to_numpy()))
             who = flat.field("set_no").to_numpy()
-            values = _column(pa.RecordBatch.from_arrays([flat.field("values")], ["v"]), "v")
+            sketch = _column(flat.field("sketch"), np.uint8)
             a, c = [], []
             for s, e in zip(np.r_[0, ends[:-1]], ends):
-                v = (values[s:e] & 0xFF).astype(np.uint8)
-                n = e - s
+                v, n = sketch[s:e], e - s
                 xs, ys = [], []
                 for i in range(n - 1):
                     y = np.flatnonzero((v[i + 1:] == v[i]).mean(axis=1) >= low)
@@ -204,19 +208,18 @@ def _run_paths(sets: DataFrame, runs: range, leaf: int, floor: float) -> tuple[l
             join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([join(a), join(c)], ["a", "b"])
 
-    schema = "node long, set_no long, hub long"
-    rows = stored(sets.select("set_no", "values").mapInArrow(roots, schema), "paths")
+    schema = "node long, set_no long"
+    paths = stored(sets.select("set_no", "values").mapInArrow(roots, schema), "paths")
     edges, depth = [], 1
     while True:
-        paths = rows.where("hub is null").select("node", "set_no")
         sizes = stored(paths.groupBy("node").count().where("count > 1"), "path-sizes")
         small = (paths.join(sizes.where(F.col("count") <= leaf).select("node"), "node")
                  .groupBy("node").agg(F.sort_array(F.collect_list("set_no")).alias("group"))
                  # the same sets meet in many nodes; each group is compared once
                  .groupBy("group").agg(F.min("node").alias("node"))
                  .select("node", F.explode("group").alias("set_no"))
-                 .join(sets.select("set_no", "values"), "set_no")
-                 .groupBy("node").agg(F.collect_list(F.struct("set_no", "values")).alias("members")))
+                 .join(sets.select("set_no", "sketch"), "set_no")
+                 .groupBy("node").agg(F.collect_list(F.struct("set_no", "sketch")).alias("members")))
         edges.append(small.select("members").mapInArrow(brute, "a long, b long"))
         big = sizes.where(F.col("count") > leaf)
         if big.isEmpty():
@@ -224,12 +227,23 @@ def _run_paths(sets: DataFrame, runs: range, leaf: int, floor: float) -> tuple[l
         inside = paths.join(big.select("node"), "node")
         hubs = (inside.groupBy("node").agg(F.min(F.struct(
             F.xxhash64("node", "set_no"), "set_no"))["set_no"].alias("hub_no"))
-            .join(sets.select(F.col("set_no").alias("hub_no"), F.col("values").alias("hub_values")),
+            .join(sets.select(F.col("set_no").alias("hub_no"), F.col("sketch").alias("hub_sketch")),
                   "hub_no"))
-        rows = stored(inside.join(sets.select("set_no", "values"), "set_no")
-                      .join(hubs, "node").mapInArrow(split, schema), "paths")
-        edges.append(rows.where("hub is not null").select(F.col("hub").alias("a"),
-                                                          F.col("set_no").alias("b")))
+        met = stored(inside.join(sets.select("set_no", "sketch"), "set_no").join(hubs, "node")
+                     .select("node", "set_no", "sketch", "hub_no", "hub_sketch")
+                     .mapInArrow(compare, "node long, set_no long, hub_no long, near double"), "hubs")
+        # a set at 0.9 of the hub or more has only partners at 0.7 or more: they join the hub's
+        # group, and so do all sets that may be such partners
+        with_hub = F.col("near") >= 1 - 2 * (1 - THRESHOLD) + 0.1 - MARGIN
+        edges.append(met.where(with_hub & (F.col("set_no") != F.col("hub_no")))
+                     .select(F.col("hub_no").alias("a"), F.col("set_no").alias("b")))
+        # pairs within the hub's group are found: a node goes on only if some set is outside it,
+        # with those of its sets that may have a partner there
+        outside = met.where(~with_hub).select("node").distinct()
+        paths = stored(met.where(F.col("near") < CLOSE).select("node", "set_no").join(outside, "node")
+                       .join(sets.select("set_no", "values"), "set_no")
+                       .select("node", "set_no", "values")
+                       .mapInArrow(split, schema), "paths")
         depth += 1
 
 
@@ -308,6 +322,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "row_no", "text_hash")
     sets = stored(rows.where("set_id is not null").groupBy("set_id")
                   .agg(F.count("*").alias("copies"), F.first("values").alias("values"),
+                       F.first("sketch").alias("sketch"),
                        F.min(first).alias("first"))
                   .withColumn("set_no", F.monotonically_increasing_id()), "sets")
 
@@ -334,7 +349,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
     def shingles(batches):
         for b in batches:
-            texts = text_bytes(b.column("text"))
+            texts = unpacked(b.column("packed"))
             for part in batches_of([len(t) for t in texts], BATCH_BYTES):
                 flat, counts = shingle_sets(texts[part])
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
@@ -345,11 +360,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
                                                     pa.array(flat.view(np.int64)))],
                     ["component", "n", "set_no", "copies", "shingles"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = texts.withColumn("hash", F.xxhash64("text"))
-    sets_of = (texts.join(member, F.col("id").eqNullSafe(F.col("doc_id"))
+    texts = packed_texts(docs.select(F.col(id_col).cast("long").alias("id"),
+                                     F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text")))
+    # the candidates' size is not bounded: a shuffle join at every size
+    sets_of = (texts.join(member.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id"))
                           & (F.col("hash") == F.col("text_hash")))
-               .select("component", "n", "set_no", "copies", "text")
+               .select("component", "n", "set_no", "copies", "packed")
                .mapInArrow(shingles, "component long, n long, set_no long, copies long, "
                                      "shingles array<long>"))
     # rows that repeat an id and its text are one set; one of them is compared
@@ -381,7 +397,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     heads = sets.groupBy("class").agg(F.min("first").alias("head"))
     sets = sets.join(heads, "class").select(
         "set_id", "head", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    out = rows.drop("values").join(sets, "set_id", "left")
+    out = rows.drop("values", "sketch").join(sets, "set_id", "left")
     own = F.coalesce("head.doc_id", F.when(F.col("set_id").isNull(), F.col("doc_id")))
     number = F.coalesce("head.row_no", "row_no")
     return out.select("doc_id", "text_hash", F.coalesce(own, -1 - number).alias("class_id"),
