@@ -7,8 +7,9 @@ so an insult next to a mention of a group can count for more than the sum of bot
 scored in segments of bounded length and takes the highest score, so that a long text isn't
 cleared by its length.
 
-Learned from at most ``TRAIN_ROWS`` labelled documents (the smallest hashes of their ids); the
-table's size bounds what is sent to the executors.
+Learned from at most ``TRAIN_ROWS`` labelled documents (the smallest hashes of their ids) and
+twice as many of their segments, a documented bound of the fitted sample; the table's size bounds
+what is sent to the executors.
 
 Null and empty texts have no terms and get the score that the bias alone gives. Labels that are
 null or belong to no document are not learned from; an id that several documents or labels share
@@ -30,8 +31,11 @@ BITS = 18
 FACTORS = 8
 PREFIXES = (4, 6)
 SEGMENT_WORDS = 400
-TRAIN_ROWS = 12_000
-EPOCHS = 6
+TRAIN_ROWS = 10_000
+EPOCHS = 8
+SCALE = 5.0  # length of a segment's weights
+DECAY = 1e-2
+MIN_EXAMPLES = 4  # terms of fewer examples are not learned
 BATCH_BYTES = 2 << 20
 
 _BREAK = _SPACE.copy()
@@ -40,7 +44,7 @@ _BREAK[[i for i in range(128) if not chr(i).isalnum()]] = True
 
 def terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text of each segment, segment, term, weight): the segments' distinct terms, each
-    segment's weights being of length 1."""
+    segment's weights being of length SCALE."""
     w = Words(texts, lower=True, space=_BREAK)
     place = np.arange(len(w.doc)) - w.first[:-1][w.doc]
     piece = place // SEGMENT_WORDS
@@ -56,7 +60,7 @@ def terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
                           for s, h in keys]) if len(segment) else np.zeros(0, np.int64)
     key = np.unique(key)
     segment, term = key >> BITS, key & ((1 << BITS) - 1)
-    weight = 1 / np.sqrt(np.bincount(segment))[segment] if len(key) else np.zeros(0)
+    weight = SCALE / np.sqrt(np.bincount(segment))[segment] if len(key) else np.zeros(0)
     return w.doc[new], segment, term, weight.astype(np.float32)
 
 
@@ -76,7 +80,8 @@ class Machine:
 
     @classmethod
     def learn(cls, rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, seed: int = 0,
-              epochs: int = EPOCHS, batch: int = 64, rate: float = 0.1, decay: float = 1e-5):
+              epochs: int = EPOCHS, batch: int = 64, rate: float = 0.1, decay: float = DECAY,
+              min_examples: int = MIN_EXAMPLES):
         """Adagrad on the log loss. ``rows``: terms and weights of each example."""
         random = np.random.default_rng(seed)
         size = 1 << BITS
@@ -86,10 +91,10 @@ class Machine:
         if not 0 < label.sum() < len(label):
             m.vector[:] = 0
             return m
-        seen = np.zeros(size, bool)
-        for t, _ in rows:
-            seen[t] = True
-        m.vector[~seen] = 0  # a term that no example has must not count
+        examples = np.bincount(np.concatenate([t for t, _ in rows]), minlength=size)
+        learned = examples >= min_examples
+        m.vector[~learned] = 0  # other terms must not count
+        rows = [(t[k], x[k]) if (k := learned[t]).any() else (t[:1], x[:1] * 0) for t, x in rows]
         past_w, past_v, past_b = np.full(size, 1e-3, np.float32), np.full((size, FACTORS), 1e-3, np.float32), 1e-3
         for _ in range(epochs):
             order = random.permutation(len(rows))
@@ -100,7 +105,7 @@ class Machine:
                 n = np.array([len(rows[i][0]) for i in pick])
                 starts = np.cumsum(n) - n
                 z, sums, v = m.raw(starts, term, x)
-                g = (1 / (1 + np.exp(-z)) - label[pick]).astype(np.float32)
+                g = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - label[pick]).astype(np.float32)
                 own = np.repeat(np.arange(len(pick)), n)
                 kinds, place = np.unique(term, return_inverse=True)
                 gw = np.bincount(place, g[own] * x).astype(np.float32) + decay * m.weight[kinds]
@@ -151,17 +156,18 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
                 owner, segment, term, x = terms(texts[part])
                 starts = np.searchsorted(segment, np.arange(len(owner) + 1)).astype(np.int32)
                 own = lambda v, t: pa.ListArray.from_arrays(pa.array(starts), pa.array(v, t))
-                # the first segments of a text stand for it, as many as any other text's in sum
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([label[part][d] for d in owner], pa.float64()),
                      own(term, pa.int32()), own(x, pa.float32())], ["label", "term", "x"])
 
     found = rows.mapInArrow(hashed, "label double, term array<int>, x array<float>")
+    # in an order that reruns share; a text of many segments has many rows
     table = found.withColumn("order", F.xxhash64("term", "label")).orderBy("order").limit(
-        2 * train_rows).toArrow()
-    term, x = table.column("term").to_pylist(), table.column("x").to_pylist()
-    examples = [(np.array(t, np.int64), np.array(w, np.float32)) for t, w in zip(term, x)]
-    return Machine.learn(examples, np.array(table.column("label").to_pylist(), np.float32))
+        2 * train_rows).select("label", "term", "x").toArrow().combine_chunks()
+    lists = [table.column(c).combine_chunks() for c in ("term", "x")]
+    cut = [x.offsets.to_numpy()[1:-1] - x.offsets[0].as_py() if len(x) else [] for x in lists]
+    examples = list(zip(*(np.split(x.flatten().to_numpy(), c) for x, c in zip(lists, cut))))
+    return Machine.learn(examples[:len(table)], table.column("label").to_numpy().astype(np.float32))
 
 
 def score(docs: DataFrame, machine: Machine, text_col: str = "text",
