@@ -26,8 +26,6 @@ their names; an empty table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -36,24 +34,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vacancy_spark.llm._encode import _ranges
-from vacancy_spark.llm._shared import documents, narrow_batches, stored
+from vacancy_spark.llm._shared import documents, narrow_batches, packed_texts, stored, unpacked
 from vacancy_spark.llm._words import _BASE, _BYTE, batches_of, mixed, powers, text_bytes
 
 LENGTH = 200
 GRAM = 32
 SHARDS = 4
-TASK_PIECES = 6_000
+TASK_PIECES = 3_000
 CROWD = 20_000  # different pieces of one gram beyond which its strings are counted one by one
 BATCH_BYTES = 1 << 20
+_SECOND = 0xC2B2AE3D27D4EB4F  # base of a second hash, odd
 
 
 class _Hashes:
     """Hashes of any spans of ``data``; equal bytes have equal hashes."""
 
-    def __init__(self, data: np.ndarray):
-        self.inverse = powers(pow(_BASE, -1, 1 << 64), len(data) + 1)
+    def __init__(self, data: np.ndarray, base: int = _BASE):
+        self.inverse = powers(pow(base, -1, 1 << 64), len(data) + 1)
         self.total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * powers(_BASE, len(data)), out=self.total[1:])
+        np.cumsum(_BYTE[data] * powers(base, len(data)), out=self.total[1:])
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         own = (self.total[end] - self.total[start]) * self.inverse[start]
@@ -102,23 +101,44 @@ def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """BWT of all suffixes of the strings, and its rows that stand for a string's beginning.
 
     String i ends with a sign of its own that sorts as i, before every byte; the first rows are
-    those signs. Suffixes are ranked by doubling.
+    those signs. Suffixes are ranked by their first seven symbols, then by doubling; only those
+    that share their rank with others are looked at again.
     """
     m = len(strings)
     lengths = np.array([len(s) + 1 for s in strings], np.int64)
     data = np.frombuffer(b"\0".join([*strings, b""]), np.uint8)
     n = len(data)
     end = np.cumsum(lengths) - 1
-    rank = data.astype(np.int64) + m
-    rank[end] = np.arange(m)
-    k, kinds = 1, 0
-    rank = np.unique(rank, return_inverse=True)[1]
-    while True:
-        second = np.zeros(n, np.int64)
-        second[:n - k] = rank[k:] + 1
-        found, rank = np.unique(rank * (n + 1) + second, return_inverse=True)
-        if len(found) == n:
-            break
+    symbol = data.astype(np.int64) + 1
+    symbol[end] = 0
+    key, ended = np.zeros(n, np.int64), np.zeros(n, bool)
+    for j in range(7):  # nine bits a symbol, none after the end sign
+        here = np.zeros(n, np.int64)
+        here[:max(0, n - j)] = symbol[j:]
+        here[ended] = 0
+        key = (key << 9) | here
+        ended |= here == 0
+    # equal suffixes that have ended differ by their signs, which sort as the strings do
+    order = np.argsort(key, kind="stable")
+    new = np.ones(n, bool)
+    new[1:] = (key[order][1:] != key[order][:-1]) | ended[order][1:]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # first place of the equals
+    k = 7
+    alone = new & np.append(new[1:], True)
+    left = order[~alone]  # those still equal to others, in order
+    while len(left):
+        second = rank[left + k]
+        own = rank[left]
+        by = np.lexsort((second, own))
+        left, own, second = left[by], own[by], second[by]
+        edge = np.ones(len(left), bool)
+        edge[1:] = own[1:] != own[:-1]
+        place = own + np.arange(len(left)) - np.maximum.accumulate(np.where(edge, np.arange(len(left)), 0))
+        new = edge.copy()
+        new[1:] |= second[1:] != second[:-1]
+        rank[left] = np.maximum.accumulate(np.where(new, place, 0))
+        left = left[~(new & np.append(new[1:], True))]
         k *= 2
     place = np.empty(n, np.int64)
     place[rank] = np.arange(n)
@@ -146,12 +166,22 @@ def merged_repeats(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], leng
     bwt = np.concatenate([s[0] for s in shards])
     first = np.cumsum([0, *(len(s[0]) for s in shards)])
     step = np.concatenate([np.where(x >= 0, x + a, -1) for a, x in zip(
-        first, (_steps(b, begins, len(k)) for b, begins, k in shards))])
-    rows = np.arange(len(bwt))  # ordered by 0 bytes: shard after shard
-    interval = np.zeros(len(bwt), np.int64)
+        first, (_steps(b, begins, len(k)) for b, begins, k in shards))]).astype(np.int32)
+    lengths = np.concatenate([s[2] for s in shards]).astype(np.int32)
+    string, offset = np.zeros(len(bwt), np.int32), np.zeros(len(bwt), np.int32)
+    who = np.arange(len(lengths), dtype=np.int32)
+    at = np.concatenate([a + np.arange(len(s[2])) for a, s in zip(first, shards)])
+    left = lengths.copy()
+    while len(at):  # walk from the ends to the beginnings
+        string[at], offset[at] = who, left
+        at = step[at]
+        on = at >= 0
+        at, who, left = at[on], who[on], left[on] - 1
+
+    # ordered by 0 bytes: shard after shard. What ends before ``length`` never gets that long
+    rows = np.flatnonzero(offset >= length).astype(np.int32)
+    interval = np.zeros(len(rows), np.int32)
     for _ in range(length):
-        inner = step[rows] >= 0
-        rows, interval = rows[inner], interval[inner]
         if not len(rows):
             break
         byte = bwt[rows]
@@ -160,18 +190,8 @@ def merged_repeats(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], leng
         edge = np.ones(len(rows) + 1, bool)
         edge[1:-1] = (byte[1:] != byte[:-1]) | (interval[1:] != interval[:-1])
         open_ = ~(edge[1:] & edge[:-1])
-        rows, interval = rows[open_], np.cumsum(edge[:-1])[open_]
-    lengths = np.concatenate([s[2] for s in shards])
-    string, offset = np.zeros(len(bwt), np.int64), np.zeros(len(bwt), np.int64)
-    who = np.arange(len(lengths))
-    at = np.concatenate([a + np.arange(len(s[2])) for a, s in zip(first, shards)])
-    left = lengths.copy()
-    while len(at):
-        string[at], offset[at] = who, left
-        at = step[at]
-        on = at >= 0
-        at, who, left = at[on], who[on], left[on] - 1
-    return string[rows], offset[rows]
+        rows, interval = rows[open_], np.cumsum(edge[:-1], dtype=np.int32)[open_]
+    return string[rows].astype(np.int64), offset[rows].astype(np.int64)
 
 
 def _spans(doc: np.ndarray, start: np.ndarray, string: np.ndarray, offset: np.ndarray,
@@ -220,32 +240,6 @@ def _cut(docs: DataFrame, length: int) -> DataFrame:
         run, ", ".join(f"{x} long" for x in names))
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """``docs`` with the texts compressed, to be shuffled at a third of their size."""
-    rest = [c for c in docs.columns if c != "text"]
-    schema = T.StructType([*docs.select(rest).schema.fields, T.StructField("packed", T.BinaryType())])
-
-    def run(batches):
-        import zstandard
-
-        pack = zstandard.ZstdCompressor(level=1).compress
-        for b in batches:
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(i) for i in range(len(rest))),
-                 pa.array([pack(t) for t in text_bytes(b.column("text"))], pa.binary())],
-                schema=pa.schema([*(pa.field(f"c{i}", b.column(i).type) for i in range(len(rest))),
-                                  pa.field("packed", pa.binary())])).rename_columns([*rest, "packed"])
-
-    return docs.select(*rest, "text").mapInArrow(run, schema)
-
-
-def _unpack(column: pa.Array) -> list[bytes]:
-    import zstandard
-
-    unpack = zstandard.ZstdDecompressor().decompress
-    return [unpack(x) for x in column.to_pylist()]
-
-
 def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD,
                    task_pieces: int = TASK_PIECES) -> DataFrame:
     """doc_id, text_hash, from, to: spans of bytes to remove (they may overlap).
@@ -274,7 +268,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD,
 
     def fetch(batches):
         for b in batches:
-            texts = _unpack(b.column("packed"))
+            texts = unpacked(b.column("packed"))
             found = b.column("pieces")
             counts = np.diff(found.offsets.to_numpy())
             flat = found.flatten()
@@ -286,7 +280,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD,
                  pa.array([texts[d][a:a + k] for d, a, k in zip(doc, start, size)], pa.binary())],
                 ["doc_no", *fields, "bytes"])
 
-    packed = _packed(docs.select("doc_id", "text_hash", "text"))
+    packed = packed_texts(docs.select("doc_id", "text_hash", "text"))
     strings = (packed.join(lists, packed["doc_id"].eqNullSafe(lists["id"])
                            & (packed["text_hash"] == lists["hash"]))
                .select("doc_no", "pieces", "packed")
@@ -327,21 +321,24 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD,
 
     def windows(batches):
         for b in batches:
-            for d, a, times, raw in zip(*(b.column(c).to_pylist()
-                                          for c in ("doc_no", "start", "times", "bytes"))):
-                data = np.frombuffer(raw, np.uint8)
-                at = np.arange(len(data) - length + 1)
-                digest = [hashlib.blake2b(data[i:i + length], digest_size=16).digest() for i in at]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(digest, pa.binary()), pa.array(np.full(len(at), d)),
-                     pa.array(a + at), pa.array(np.full(len(at), times))],
-                    ["digest", "doc_no", "from", "times"])
+            raw = b.column("bytes").to_pylist()
+            size = np.array([len(x) for x in raw])
+            data = np.frombuffer(b"".join(raw), np.uint8)
+            count = size - length + 1
+            inside = _ranges(np.zeros(len(size), np.int64), count)
+            at = np.repeat(np.cumsum(size) - size, count) + inside
+            one, two = (_Hashes(data, base).spans(at, at + length) for base in (_BASE, _SECOND))
+            own = lambda c: np.repeat(b.column(c).to_numpy(), count)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(own("doc_no")),
+                 pa.array(own("start") + inside), pa.array(own("times"))],
+                ["one", "two", "doc_no", "from", "times"])
 
     crowded = (strings.where(F.col("kinds") > crowd).dropDuplicates(["gram", "piece"])
                .select("doc_no", "start", "times", "bytes")
-               .mapInArrow(windows, "digest binary, doc_no long, from long, times long"))
-    twice = crowded.groupBy("digest").agg(F.sum("times").alias("all")).where("all > 1").select("digest")
-    one_by_one = (crowded.where("times = 1").join(twice, "digest")
+               .mapInArrow(windows, "one long, two long, doc_no long, from long, times long"))
+    twice = crowded.groupBy("one", "two").agg(F.sum("times").alias("all")).where("all > 1")
+    one_by_one = (crowded.where("times = 1").join(twice.select("one", "two"), ["one", "two"])
                   .select("doc_no", "from", (F.col("from") + length).alias("to")))
     spans = whole.unionByName(part)
     if not strings.where(F.col("kinds") > crowd).isEmpty():
@@ -372,7 +369,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     def remove(batches):
         for b in batches:
             kept, sizes = [], []
-            for text, found in zip(_unpack(b.column("packed")), b.column("spans").to_pylist()):
+            for text, found in zip(unpacked(b.column("packed")), b.column("spans").to_pylist()):
                 parts, at, runs, removed = [], 0, 0, 0
                 for a, z in sorted((s["from"], s["to"]) for s in found or ()):
                     if a > at or not runs:  # spans that touch are one run
@@ -389,7 +386,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                  *([pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())] * with_text)],
                 schema.names)
 
-    packed = _packed(whole)
+    packed = packed_texts(whole)
     spans = spans.withColumnsRenamed({"doc_id": "id", "text_hash": "hash"})
     out = (packed.join(spans, packed["doc_id"].eqNullSafe(spans["id"])
                        & (packed["text_hash"] == spans["hash"]), "left")
