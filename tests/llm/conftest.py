@@ -1,11 +1,5 @@
-import os
-import sys
-
 import pytest
-
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
-
-from conftest_llm import SCHEMA, SF, odd_rows  # noqa: E402
+from llm.conftest_llm import SCHEMA, SF, odd_rows
 
 
 @pytest.fixture(scope="session")

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
-from conftest_llm import SF, odd_rows, words_of
+from llm.conftest_llm import SF, odd_rows, words_of
 from pyspark.sql import functions as F
 
 from vacancy_spark.llm import mixing, registry, topk

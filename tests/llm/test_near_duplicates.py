@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from conftest_llm import LOWER, SCHEMA, SF, odd_rows, words_of
+from llm.conftest_llm import LOWER, SCHEMA, SF, odd_rows, words_of
 
 from vacancy_spark.llm import near_duplicates as N
 from vacancy_spark.llm._components import components

@@ -2,10 +2,10 @@
 
 from collections import Counter
 
-from conftest_llm import SF, odd_rows
-from test_near_duplicates import brute
-from test_suffix_dedup import brute as cut
-from test_tokens import check_packing
+from llm.conftest_llm import SF, odd_rows
+from llm.test_near_duplicates import brute
+from llm.test_suffix_dedup import brute as cut
+from llm.test_tokens import check_packing
 
 import corpus_pipeline as P
 from vacancy_spark.llm import toxicity

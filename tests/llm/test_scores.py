@@ -7,7 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
-from conftest_llm import LOWER, SF, odd_rows, words_of
+from llm.conftest_llm import LOWER, SF, odd_rows, words_of
 from pyspark.sql import functions as F
 
 from vacancy_spark.llm import fertility, pitman_yor, toxicity

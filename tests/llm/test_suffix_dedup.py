@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest_llm import SF, odd_rows
+from llm.conftest_llm import SF, odd_rows
 
 from vacancy_spark.llm import suffix_dedup as S
 

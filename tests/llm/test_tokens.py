@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
-from conftest_llm import SF, odd_rows
+from llm.conftest_llm import SF, odd_rows
 
 from vacancy_spark.llm import packing, token_counts, token_files
 from vacancy_spark.llm._encode import ChunkEncoder, keeps_space, vocabulary_path
