@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from vacancy_spark.llm._shared import documents, narrow_batches, stored
 from vacancy_spark.llm._words import Words, batches_of, mixed, text_bytes
 
-CONTEXTS = 256
+CONTEXTS = 256  # at most: a restaurant's number is one byte
 CHUNK_TOKENS = 2_000_000
 BUCKET_BYTES = 16 << 20  # of text, for each bucket of words
 BATCH_BYTES = 2 << 20
@@ -106,11 +106,11 @@ def _chunk(chunk: int, docs: list, buckets: int):
     for b, s, e in zip(kinds, starts, [*starts[1:], len(words)]):
         x, z = ends[s] - pairs[s], ends[e - 1]
         yield {"chunk": chunk, "bucket": int(b), "words": _raw(words[s:e], "<u8"),
-               "pairs": _raw(pairs[s:e], "<u2"), "contexts": _raw(pair[x:z] % CONTEXTS, "<u2"),
+               "pairs": _raw(pairs[s:e], "<u2"), "contexts": _raw(pair[x:z] % CONTEXTS, "u1"),
                "counts": _raw(count[x:z], "<u4")}
     yield {"chunk": chunk, "bucket": -1, "doc_ids": [d[0] for d in docs], "held": [d[1] for d in docs],
            "lengths": _raw(lengths, "<i8"), "tokens": _planes(at),
-           "before": _raw(context, "<u2")}
+           "before": _raw(context, "u1")}
 
 
 def _table(rows: list[dict], schema: str) -> pa.RecordBatch:
@@ -131,7 +131,7 @@ class _Bucket:
     def __init__(self, table: pa.Table):
         words = [_array(x, "<u8") for x in table.column("words")]
         pairs = [_array(x, "<u2").astype(np.int64) for x in table.column("pairs")]
-        contexts = [_array(x, "<u2").astype(np.int64) for x in table.column("contexts")]
+        contexts = [_array(x, "u1").astype(np.int64) for x in table.column("contexts")]
         counts = [_array(x, "<u4").astype(np.int64) for x in table.column("counts")]
         self.words, place = np.unique(np.concatenate(words), return_inverse=True)
         cut = np.cumsum([len(w) for w in words])[:-1]
@@ -257,7 +257,7 @@ def score(docs: DataFrame, held_out: Column, epochs: int = EPOCHS, burn_in: int
         known = np.bincount(w, minlength=len(b.words)) > 0
         return pa.Table.from_batches([_table([{
             "bucket": table.column("bucket")[0].as_py(), "words": int(known.sum()),
-            "pairs": _raw((np.cumsum(known) - 1)[w], "<u4"), "contexts": _raw(k, "<u2"),
+            "pairs": _raw((np.cumsum(known) - 1)[w], "<u4"), "contexts": _raw(k, "u1"),
             "counts": _raw(c, "<u4"), "tables": np.bincount(k, minlength=CONTEXTS),
             "customers": np.bincount(k, c, CONTEXTS).astype(np.int64),
             "ones": int((c == 1).sum()), "twos": int((c == 2).sum())}], C_SCHEMA)])
@@ -290,7 +290,7 @@ def score(docs: DataFrame, held_out: Column, epochs: int = EPOCHS, burn_in: int
                     word = _array(b.column("pairs")[r], "<u4").astype(np.int64)
                     n = b.column("words")[r].as_py()
                     _, _, by_context, above = _sample(
-                        word, _array(b.column("contexts")[r], "<u2").astype(np.int64),
+                        word, _array(b.column("contexts")[r], "u1").astype(np.int64),
                         _array(b.column("counts")[r], "<u4").astype(np.int64), n, g, random, sweeps, keep)
                     yield _table([{"tables": by_context, "above": above}], T_SCHEMA)
 
@@ -327,12 +327,12 @@ def score(docs: DataFrame, held_out: Column, epochs: int = EPOCHS, burn_in: int
         right = right.sort_by("bucket")
         base, known, own = (np.concatenate([_array(x, t) for x in right.column(c)])
                             for c, t in (("base", "<f8"), ("known", "<i8"), ("own", "<f4")))
-        pairs, contexts = (np.concatenate([_array(x, "<u2") for x in right.column(c)]).astype(np.int64)
-                           for c in ("pairs", "contexts"))
+        pairs, contexts = (np.concatenate([_array(x, t) for x in right.column(c)]).astype(np.int64)
+                           for c, t in (("pairs", "<u2"), ("contexts", "u1")))
         keys = np.repeat(np.arange(len(pairs)), pairs) * CONTEXTS + contexts
         lengths = _array(left.column("lengths")[0], "<i8")
         at = _unplanes(left.column("tokens")[0].as_py()).astype(np.int64)
-        context = _array(left.column("before")[0], "<u2").astype(np.int64)
+        context = _array(left.column("before")[0], "u1").astype(np.int64)
         before = np.empty(len(at), np.int64)
         before[1:] = context[at[:-1]]
         first = np.cumsum(lengths) - lengths
