@@ -249,7 +249,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD,
     cut = stored(_cut(docs, length), "pieces")
     keys = cut.where("gram is null").select("doc_no", "doc_id", "text_hash")
     rows = cut.where("gram is not null").select("gram", "piece", "doc_no", "start", "strings")
-    grams = rows.groupBy("gram").count().where("count > 1").select("gram")
+    # written, so that the join has a shuffle of its own for each side and can split a hot gram
+    grams = stored(rows.groupBy("gram").count().where("count > 1").select("gram"), "shared-grams")
     rows = stored(rows.join(grams, "gram"), "shared-pieces")
     kinds = stored(rows.groupBy("gram", "piece").agg(
         F.count("*").alias("times"), F.min(F.struct("doc_no", "start", "strings")).alias("one"))
