@@ -16,9 +16,6 @@ their names; an empty table gives no rows.
 
 from __future__ import annotations
 
-import sys
-import types
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -36,7 +33,7 @@ WIDTH = 5.0  # half width of a band in robust standard deviations
 MIN_DOCUMENTS = 100  # languages with fewer share one band
 STEP = 1 / 64  # measures are counted in steps of this width
 BATCH_BYTES = 4 << 20
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 
 MEASURES = ("chars_per_token", "byte_share", "entropy")
 LEAST = (0.12, 0.05, 0.3)  # a band is at least so far from the median on either side
@@ -81,14 +78,6 @@ class _Vocabulary:
         return self.ids[0][_ranges(starts[row], lengths[row])], lengths[row]
 
 
-def _kept(path: str) -> _Vocabulary:
-    """The vocabulary of this Python worker, kept over its tasks (the cache only saves work)."""
-    kept = sys.modules.setdefault("_kept_vocabularies", types.ModuleType("_kept"))
-    if path not in vars(kept):
-        setattr(kept, path, _Vocabulary(path))
-    return vars(kept)[path]
-
-
 def _dup_lines(text: bytes) -> int:
     """Lines with a word that equal an earlier line."""
     lines = [x for x in text.split(b"\n") if x.strip(b" \t\n\x0b\x0c\r")]
@@ -136,7 +125,7 @@ def measures(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_i
     names = [f.split()[0] for f in SCHEMA.split(", ")]
 
     def run(batches):
-        words = _kept(vocabulary_path(vocabulary))
+        words = _Vocabulary(vocabulary_path(vocabulary))
         for b in batches:
             texts = text_bytes(b.column("text"))
             for part in batches_of([len(t) for t in texts], BATCH_BYTES):

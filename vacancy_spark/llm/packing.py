@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacancy_spark.llm._encode import keeps_space, vocabulary_path, worker_encoder
+from vacancy_spark.llm._encode import ChunkEncoder, keeps_space, vocabulary_path
 from vacancy_spark.llm._shared import documents, narrow_batches, stored
 
 CAPACITY = 4096
@@ -38,7 +38,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "word_bp
     narrow_batches(docs.sparkSession)
 
     def cut(batches):
-        encoder = worker_encoder(vocabulary_path(vocabulary), keeps_space(vocabulary))
+        encoder = ChunkEncoder(vocabulary_path(vocabulary), keeps_space(vocabulary))
         for b in batches:
             ids, counts = encoder.encode(b.column("text").to_pylist())
             ids = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacancy_spark.llm._encode import keeps_space, vocabulary_path, worker_encoder
+from vacancy_spark.llm._encode import ChunkEncoder, keeps_space, vocabulary_path
 from vacancy_spark.llm._shared import documents, narrow_batches, stored
 from vacancy_spark.session import fresh_path
 
@@ -68,7 +68,7 @@ def count_tokens(docs: DataFrame, cache_path: str, vocabulary: str = "word_bpe_4
               .join(before.select("content_digest"), "content_digest", "left_anti"))
 
     def encode(batches):
-        encoder = worker_encoder(vocabulary_path(vocabulary), keeps_space(vocabulary))
+        encoder = ChunkEncoder(vocabulary_path(vocabulary), keeps_space(vocabulary))
         for b in batches:
             _, counts = encoder.encode(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(

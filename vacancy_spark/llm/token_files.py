@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vacancy_spark.llm._encode import keeps_space, vocabulary_path, worker_encoder
+from vacancy_spark.llm._encode import ChunkEncoder, keeps_space, vocabulary_path
 from vacancy_spark.llm._shared import documents, narrow_batches
 from vacancy_spark.session import fresh_path
 
@@ -42,7 +42,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.jso
     narrow_batches(spark)
 
     def encode(batches):
-        encoder = worker_encoder(vocabulary_path(vocabulary), keeps_space(vocabulary))
+        encoder = ChunkEncoder(vocabulary_path(vocabulary), keeps_space(vocabulary))
         for b in batches:
             ids, counts = encoder.encode(b.column("text").to_pylist())
             ends = np.cumsum(counts)
