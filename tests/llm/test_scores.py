@@ -125,6 +125,40 @@ def test_model_probabilities_sum_to_one():
         assert abs(p / (s1 + g.customers[k]) - 1) < 1e-9
 
 
+def test_model_has_a_restaurant_for_each_word(spark):
+    """3000 words that each decide the next one: hashed into few restaurants they would not."""
+    rng = random.Random(5)
+    def text():
+        return " ".join(f"a{i} b{i}" for i in rng.choices(range(3000), k=60))
+    docs = spark.createDataFrame([(i, text()) for i in range(700)], "doc_id long, text string")
+    rule = F.col("doc_id") % 10 == 0
+    found = {}
+    for size in (1 << 30, 30_000):  # one bucket; many, with the end sign's pairs dealt over several
+        rows = pitman_yor.score(docs, rule, chunk_tokens=9000, bucket_bytes=size).collect()
+        out = [r for r in rows if r.held_out]
+        found[size] = sum(r.score for r in out) / sum(r.n_tokens for r in out)
+        # half of the tokens are one of 3000 (3.48 each), the other half follow from the word before
+        assert found[size] > -2.5
+        assert sum(r.base_score for r in out) / sum(r.n_tokens for r in out) < -3.4
+    assert abs(found[1 << 30] - found[30_000]) < 0.02
+
+
+def test_model_deals_hot_words(spark):
+    """A word of a third of the tokens in several buckets: its counts and the model stay the same."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"w{rng.randrange(400)} x{rng.randrange(400)} the" for _ in range(40)))
+            for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    total = sum(len(t) for _, t in rows)
+    hot = pitman_yor._hot_words(docs, total, 12)
+    assert max(hot.values()) >= 4
+    one, many = (sorted(pitman_yor.score(docs, F.col("doc_id") % 10 == 0, chunk_tokens=3000,
+                                         bucket_bytes=b).collect()) for b in (1 << 30, total // 12))
+    assert [tuple(r)[:5] for r in one] == [tuple(r)[:5] for r in many]
+    tokens = sum(r.n_tokens for r in one)
+    assert abs(sum(a.score - b.score for a, b in zip(one, many))) / tokens < 0.01
+
+
 def plain(text):
     words = words_of(text)
     lines, seen, dup = (text or "").split("\n"), set(), 0
