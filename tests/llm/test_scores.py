@@ -209,3 +209,17 @@ def test_fertility_measures_and_verdict(spark):
     good = [r.kept for r in rows if quality[r.doc_id]]
     bad = [r.kept for r in rows if not quality[r.doc_id]]
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.5
+
+
+def test_fertility_keeps_small_groups(spark):
+    """No language and octave loses its good documents; a language too small for a band keeps all."""
+    docs = spark.read.parquet(f"{MID}/documents.parquet")
+    quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{MID}/labels.parquet").collect()}
+    groups = {}
+    for r in fertility.judge(docs).collect():
+        if quality.get(r.doc_id) and not r.base_failed:
+            groups.setdefault((r.lang, int(math.log2(max(r.n_tokens, 1)))), []).append(r.kept)
+    lost = {k: (sum(v), len(v)) for k, v in groups.items() if np.mean(v) < 0.9 and len(v) - sum(v) > 1}
+    assert not lost
+    few = docs.limit(60).withColumn("lang", F.lit("xx"))
+    assert all(r.kept or r.base_failed for r in fertility.judge(docs.unionByName(few)).where("lang = 'xx'").collect())

@@ -6,7 +6,9 @@ and the entropy of its tokens. Documents outside the band of their language are
 language and octave of token counts, except for the share of bytes: entropy grows with length,
 and the characters per token of short documents vary more). A band lies
 around the median, a number of robust deviations wide, both taken over all documents that the
-plain rules pass; groups with few documents take the band of all languages together.
+plain rules pass. An octave of few documents takes the band of its language's nearest octave, made
+wider for the distance; a language without any such octave has one band for all lengths. Another
+language's band is never used: a language of few documents has none, and its documents pass.
 
 The plain rules (too few words, too many words in repeated 8-word windows) come first: what they
 fail is never kept. Null texts have no words and fail. A null language is one language of its
@@ -30,7 +32,7 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WIDTH = 5.0  # half width of a band in robust standard deviations
-MIN_DOCUMENTS = 100  # languages with fewer share one band
+MIN_DOCUMENTS = 100  # an octave or a language with fewer has no band of its own
 STEP = 1 / 64  # measures are counted in steps of this width
 BATCH_BYTES = 4 << 20
 CACHE_WORDS = 300_000
@@ -155,30 +157,44 @@ def _quantile(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFr
 
 
 def bands(measured: DataFrame, width: float = WIDTH, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """One row a group with a map from measure (and octave) to (low, high), from the rows
-    (group, n_tokens, MEASURES) that the plain rules pass. Group ``*`` is all rows."""
+    """One row a group with a map from measure to its bands (octave, median, half), from the rows
+    (group, n_tokens, MEASURES) that the plain rules pass. Octave null is all lengths."""
+    nothing = F.lit(None).cast("long")
     long = measured.select("group", F.explode(F.array(*[
-        F.struct(_band_key(m).alias("band"), F.col(m).alias("value"), F.lit(least).alias("least"))
-        for m, least in zip(MEASURES, LEAST)])).alias("x")).select("group", "x.*")
-    long = long.unionByName(long.withColumn("group", F.lit("*")))
-    keys = ["group", "band", "least"]
+        F.struct(F.lit(m).alias("band"), o.alias("octave"), F.col(m).alias("value"), F.lit(least).alias("least"))
+        for m, least in zip(MEASURES, LEAST)
+        for o in ([nothing] if m == "byte_share" else [nothing, _octave()])])).alias("x")).select("group", "x.*")
+    long = long.withColumn("octave", F.coalesce("octave", F.lit(-1)))
+    keys = ["group", "band", "octave", "least"]
     mid = stored(_quantile(long, keys, "value", "median"), "medians")
     off = long.join(mid.select(*keys, "median"), keys).withColumn(
         "off", F.abs(F.col("value") - F.col("median")))
     spread = _quantile(off, keys, "off", "mad").select(*keys, "mad")
     half = F.greatest(F.lit(width * 1.4826) * F.col("mad"), F.col("least"))
-    return (mid.join(spread, keys).where((F.col("n") >= min_documents) | (F.col("group") == "*"))
-            .groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct(
-                "band", F.struct((F.col("median") - half).alias("low"),
-                                 (F.col("median") + half).alias("high"))))).alias("bands")))
+    return (mid.join(spread, keys).where(F.col("n") >= min_documents)
+            .groupBy("group", "band").agg(F.collect_list(F.struct(
+                F.when(F.col("octave") >= 0, F.col("octave")).alias("octave"), "median",
+                half.alias("half"))).alias("found"))
+            .groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("band", "found"))).alias("bands")))
 
 
-def _band_key(name: str):
-    """Which band a row's measure is held against."""
-    if name == "byte_share":
-        return F.lit(name)
-    octave = F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)).cast("double")))
-    return F.concat(F.lit(name + " "), octave.cast("string"))
+def _octave():
+    return F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)).cast("double")))
+
+
+def _limits(name: str):
+    """(low, high) that a row's measure is held against, from the nearest octave of its language
+    that has a band, else from all lengths; null without either."""
+    far = F.lit(1 << 20).cast("long")  # all lengths come last
+    band = F.array_min(F.transform(F.try_element_at("own", F.lit(name)), lambda x: F.struct(
+        F.coalesce(F.abs(x["octave"] - _octave()), far).alias("distance"), x["octave"].alias("octave"),
+        x["median"].alias("median"), x["half"].alias("half"))))
+    shorter = F.coalesce(F.greatest(band["octave"] - _octave(), F.lit(0)), F.lit(0))
+    longer = F.coalesce(F.greatest(_octave() - band["octave"], F.lit(0)), F.lit(0))
+    if name == "entropy":  # twice the tokens add one bit at most
+        return band["median"] - band["half"] - shorter, band["median"] + band["half"] + longer
+    half = band["half"] * F.pow(F.lit(2.0), shorter / 2)  # means of fewer words deviate more
+    return band["median"] - half, band["median"] + half
 
 
 def judge(docs: DataFrame, vocabulary: str = VOCABULARY, width: float = WIDTH,
@@ -190,16 +206,14 @@ def judge(docs: DataFrame, vocabulary: str = VOCABULARY, width: float = WIDTH,
     group = F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("null"))
     rows = stored(rows.withColumn("base_failed", failed).withColumn("group", group), "fertility")
     found = stored(bands(rows.where(~F.col("base_failed")), width, min_documents), "bands")
-    every = found.where(F.col("group") == "*").select(F.lit(1).alias("one"), F.col("bands").alias("every"))
-    out = (rows.withColumn("one", F.lit(1)).join(F.broadcast(every), "one", "left")  # one row
-           .join(found.withColumnRenamed("bands", "own"), "group", "left"))
+    out = rows.join(found.withColumnRenamed("bands", "own"), "group", "left")
     outside = []
     for m in MEASURES:
-        band = F.coalesce(F.try_element_at("own", _band_key(m)), F.try_element_at("every", _band_key(m)))
-        outside.append(F.when((F.col(m) < band["low"]) | (F.col(m) > band["high"]), F.lit(m)))
+        low, high = _limits(m)
+        outside.append(F.when((F.col(m) < low) | (F.col(m) > high), F.lit(m)))
     out = out.withColumn("rejected_by", F.array_compact(F.array(*outside)))
     return (out.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
-            .drop("group", "one", "every", "own"))
+            .drop("group", "own"))
 
 
 def op7_fertility_rules(spark, sf_dir: str) -> DataFrame:
