@@ -4,11 +4,13 @@ from vacancy_spark.llm import mixing, topk
 from vacancy_spark.llm.fertility import op7_fertility_rules
 from vacancy_spark.llm.near_duplicates import op4_ngram_jaccard_join
 from vacancy_spark.llm.packing import op3_best_fit_packing
+from vacancy_spark.llm.periodic_runs import op12_periodic_runs
 from vacancy_spark.llm.pitman_yor import op6_pitman_yor
 from vacancy_spark.llm.suffix_dedup import op8_suffix_dedup
 from vacancy_spark.llm.token_counts import op10_token_counts
 from vacancy_spark.llm.token_files import op9_token_files
 from vacancy_spark.llm.toxicity import op2_toxicity
+from vacancy_spark.llm.whitening import op11_spectrum_whitening
 
 QUERIES = {
     "op1_pareto_mixing": mixing.op1_pareto_mixing,
@@ -21,6 +23,8 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_files": op9_token_files,
     "op10_token_counts": op10_token_counts,
+    "op11_spectrum_whitening": op11_spectrum_whitening,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 ORACLE = {
     "op1_pareto_mixing": mixing.ORACLE,
