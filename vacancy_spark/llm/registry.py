@@ -5,6 +5,7 @@ from vacancy_spark.llm.fertility import op7_fertility_rules
 from vacancy_spark.llm.near_duplicates import op4_ngram_jaccard_join
 from vacancy_spark.llm.packing import op3_best_fit_packing
 from vacancy_spark.llm.periodic_runs import op12_periodic_runs
+from vacancy_spark.llm.personal_data import op13_personal_data
 from vacancy_spark.llm.pitman_yor import op6_pitman_yor
 from vacancy_spark.llm.suffix_dedup import op8_suffix_dedup
 from vacancy_spark.llm.token_counts import op10_token_counts
@@ -25,6 +26,7 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
     "op11_spectrum_whitening": op11_spectrum_whitening,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_personal_data": op13_personal_data,
 }
 ORACLE = {
     "op1_pareto_mixing": mixing.ORACLE,
