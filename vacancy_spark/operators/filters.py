@@ -8,6 +8,7 @@ scan; the others run inside the scan's whole-stage-codegen span).
 from __future__ import annotations
 
 import datetime as dt
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import as_date_literal
+from ..functions.patterns import to_jvm
 
 
 @dataclass(frozen=True)
@@ -75,10 +77,13 @@ def any_of_predicate(c, values) -> Column:
 
 def title_predicate(c, term: str, regex: bool = True) -> Column:
     """Case-insensitive partial match. ``regex=True`` reproduces the reference: the stripped,
-    lower-cased term is a regular expression over the lower-cased title (SURVEY S7)."""
+    lower-cased term is a regular expression in Python's syntax over the lower-cased title (SURVEY S7);
+    one that is none, or has no equal on the JVM, raises ``patterns.PatternError`` here."""
     t = term.strip().lower()
+    if regex:
+        t = re.sub(r"\(\?p([<=])", r"(?P\1", t)  # lower-casing must not break a named group
     low = F.lower(F.col(c))
-    m = low.rlike(t) if regex else low.contains(F.lit(t))
+    m = low.rlike(to_jvm(t)) if regex else low.contains(F.lit(t))
     return F.coalesce(m, F.lit(False))
 
 

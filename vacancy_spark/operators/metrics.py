@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ..schema import APPLY, CLICK
 
 ENTITY = "entity_id"
+EVENTS = "events_counted"  # in a frame of counted events: how many a row stands for
 
 
 def _dims(dims) -> list[str]:
@@ -44,11 +45,19 @@ def ratio_pct(applies, clicks) -> Column:
     return F.when(c > 0, a / c * 100).otherwise(F.lit(0.0))
 
 
+def events_where(df: DataFrame, condition: Column) -> Column:
+    """Aggregate: number of events for which ``condition`` holds. A row is one event, or as many as
+    the column EVENTS says (``plans.daily``)."""
+    if EVENTS not in df.columns:
+        return F.count_if(condition)
+    return F.coalesce(F.sum(F.when(condition, F.col(EVENTS))), F.lit(0)).cast("bigint")
+
+
 def vacancy_counts(df: DataFrame, *dims, entity: str = ENTITY) -> DataFrame:
     """Clicks and applies per vacancy (every vacancy present in ``df``, zero-filled)."""
     return (df.groupBy(*dims, entity)
-              .agg(F.count_if(F.col("event_name") == CLICK).alias("clicks"),
-                   F.count_if(F.col("event_name") == APPLY).alias("applies")))
+              .agg(events_where(df, F.col("event_name") == CLICK).alias("clicks"),
+                   events_where(df, F.col("event_name") == APPLY).alias("applies")))
 
 
 def _level2_aggs(entity: str = ENTITY) -> list[Column]:
@@ -117,8 +126,8 @@ def kpi_metrics(df: DataFrame, entity: str = ENTITY) -> DataFrame:
 def basic_totals(df: DataFrame, entity: str = ENTITY) -> DataFrame:
     """Vacancies (distinct, non-null), clicks, applies."""
     return df.agg(F.count_distinct(entity).alias("num_vacancies"),
-                  F.count_if(F.col("event_name") == CLICK).alias("total_clicks"),
-                  F.count_if(F.col("event_name") == APPLY).alias("total_applies"))
+                  events_where(df, F.col("event_name") == CLICK).alias("total_clicks"),
+                  events_where(df, F.col("event_name") == APPLY).alias("total_applies"))
 
 
 def benchmark(df: DataFrame, dimension: str, entity: str = ENTITY,

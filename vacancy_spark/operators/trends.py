@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schema import APPLY, CLICK
 from ..session import fresh_path
+from .metrics import events_where
 
 
 def daily_trend(df: DataFrame, date_col: str = "event_date") -> DataFrame:
@@ -15,8 +16,8 @@ def daily_trend(df: DataFrame, date_col: str = "event_date") -> DataFrame:
     One conditional aggregate replaces the reference's two group-bys and outer join.
     """
     return (df.groupBy(F.col(date_col).cast("date").alias("event_date"))
-              .agg(F.count_if(F.col("event_name") == CLICK).alias("clicks"),
-                   F.count_if(F.col("event_name") == APPLY).alias("applies"))
+              .agg(events_where(df, F.col("event_name") == CLICK).alias("clicks"),
+                   events_where(df, F.col("event_name") == APPLY).alias("applies"))
               .where((F.col("clicks") > 0) | (F.col("applies") > 0))
               .orderBy("event_date"))
 

@@ -22,6 +22,7 @@ from ..session import fresh_path
 from .clean import latest_of_equal
 from .filters import filter_vacancies
 from .joins import export_rows
+from .metrics import EVENTS, events_where
 from .regions import add_region_column
 
 ENTITY = "entity_id"
@@ -44,10 +45,10 @@ def vacancy_table(df: DataFrame, entity: str = ENTITY, date_col: str = "event_da
     first). A null vacancy id counts 0 clicks and 0 applies, as in the reference's per-vacancy
     lookups.
     """
-    attrs = [c for c in df.columns if c not in (entity, "event_name")]
-    rows = latest_of_equal(df, date_col, F.count_if(F.col("event_name") == CLICK).alias("_clicks"),
-                           F.count_if(F.col("event_name") == APPLY).alias("_applies"),
-                           drop=("event_name",))
+    attrs = [c for c in df.columns if c not in (entity, "event_name", EVENTS)]
+    rows = latest_of_equal(df, date_col, events_where(df, F.col("event_name") == CLICK).alias("_clicks"),
+                           events_where(df, F.col("event_name") == APPLY).alias("_applies"),
+                           drop=("event_name", EVENTS))
     g = rows.groupBy(entity).agg(
         F.max_by(F.struct(*attrs), F.struct(*_orders(df, attrs, date_col))).alias("_row")
         if attrs else F.first(F.struct(F.lit(1).alias("_none"))).alias("_row"),
@@ -73,12 +74,16 @@ def occupation_benchmark(full_df: DataFrame, entity: str = ENTITY,
 
     ``vacancies`` may pass an already computed vacancy table of ``full_df`` (saves a shuffle)."""
     v = vacancies if vacancies is not None else vacancy_table(
-        full_df.select(entity, "event_date", "event_name", "occupation"), entity)
+        full_df.select(*_present(full_df, entity, "event_date", "event_name", "occupation", EVENTS)), entity)
     return (v.groupBy("occupation")
              .agg(F.bround(F.avg("clicks"), 1).alias("avg_clicks_occupation"),
                   F.bround(F.avg("applies"), 1).alias("avg_applies_occupation")))
 
 
+def _present(df: DataFrame, *columns: str) -> list[str]:
+    return [c for c in columns if c in df.columns]
+
+
 REPORT_COLUMNS = ("event_date", "event_name", "title", "organization_name", "workflow_state",
                   "start_date", "end_date", "uk_region", "occupation", "importer_name",
                   "upgrades_list")
@@ -117,8 +122,7 @@ def vacancy_report(df: DataFrame, as_of, full_df: DataFrame | None = None,
     filter of the full data, ``vacancy_report_filtered`` does both in one pass."""
     same = full_df is None or full_df is df
     full_df = df if full_df is None else full_df
-    keep = [c for c in (entity, *REPORT_COLUMNS) if c in df.columns]
-    v = vacancy_table(df.select(*keep), entity)
+    v = vacancy_table(df.select(*_present(df, entity, *REPORT_COLUMNS, EVENTS)), entity)
     bench = occupation_benchmark(full_df, entity, vacancies=v if same else None)
     return _with_benchmark(_report_rows(v, entity, as_of), bench)
 
@@ -139,17 +143,17 @@ def vacancy_report_filtered(full: DataFrame, spec, as_of, entity: str = ENTITY)
     pred = spec_predicate(spec, full.columns)
     if pred is None:
         return vacancy_report(full, as_of, full, entity)
-    keep = [c for c in (entity, *REPORT_COLUMNS) if c in full.columns]
+    keep = _present(full, entity, *REPORT_COLUMNS, EVENTS)
     df = full.withColumn("_in", F.coalesce(pred, F.lit(False))).select(*keep, "_in")
-    attrs = [c for c in keep if c not in (entity, "event_name")]
+    attrs = [c for c in keep if c not in (entity, "event_name", EVENTS)]
     inside, click, apply_ = F.col("_in"), F.col("event_name") == CLICK, F.col("event_name") == APPLY
     ent, day = F.col(entity), F.col("event_date")
     rest = [c for c in attrs if c != "event_date"]
     rows = (df.groupBy(entity, *rest)
               .agg(F.max(day).alias("_day_all"), F.max(F.when(inside, day)).alias("event_date"),
                    F.count_if(inside).alias("_n"),
-                   F.count_if(inside & click).alias("_c"), F.count_if(inside & apply_).alias("_a"),
-                   F.count_if(click).alias("_c_all"), F.count_if(apply_).alias("_a_all")))
+                   events_where(df, inside & click).alias("_c"), events_where(df, inside & apply_).alias("_a"),
+                   events_where(df, click).alias("_c_all"), events_where(df, apply_).alias("_a_all")))
     others = [c for c in _orders(df, attrs, "event_date") if c != "event_date"]
     g = (rows.groupBy(entity)
              .agg(F.max_by(F.struct(*attrs),

@@ -999,3 +999,6 @@ FROM g, o""", O.per_vacancy_cte("pv_g", "enriched", ["uk_region"]),
     O.per_vacancy_cte("pv_o", "enriched"), f"o AS ({O.metrics_select(None, 'pv_o')})"))
 def q_performance_band(spark, sf_dir):
     return M.benchmark_bands(enriched_events(spark, sf_dir), "uk_region")
+
+
+from . import registry_stored  # noqa: E402,F401  (adds its keys)

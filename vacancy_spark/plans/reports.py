@@ -19,9 +19,9 @@ from ..operators import trends as T
 from ..operators import vacancy as V
 from ..operators.filters import FilterSpec, apply_filters
 from ..operators.joins import merge_job_export
-from ..operators.regions import add_region_column
 from ..sources.events import scan_events, scan_events_legacy
 from ..sources.files import read_importer_mapping, read_job_export
+from .addresses import add_region_column
 from .enrich import enrich
 
 
@@ -74,15 +74,18 @@ def comparison(df: DataFrame, spec_a: FilterSpec | None, spec_b: FilterSpec | No
 
 def load_legacy_frame(spark: SparkSession, source, as_of, days_back: int = 90,
                       mapping_path: str | None = None, export_path: str | None = None,
-                      postcode_mode: str = "reference") -> DataFrame:
+                      postcode_mode: str = "reference", addresses: str | None = None) -> DataFrame:
     """The previous app's frame: raw events of the window, importer names (unstripped mapping),
     ``event_date`` parsed, regions from the raw ``regions`` address -- derived before the job
-    export is merged, as that app does (SURVEY 3.3) -- then the export's columns."""
+    export is merged, as that app does (SURVEY 3.3) -- then the export's columns.
+
+    Regions come from the stored address dictionary (``plans.addresses``; its path: ``addresses``), to
+    which addresses that it lacks are added first: that runs a job, and no event is parsed."""
     raw = scan_events_legacy(source, as_of, days_back, spark=spark, order=False)
     mapping = read_importer_mapping(spark, mapping_path, strip=False) if mapping_path else None
     df = C.apply_importer_mapping(raw, mapping, id_col="importer_id")
     df = C.parse_yyyymmdd_column(df, "event_date")
-    df = add_region_column(df, postcode_mode=postcode_mode)
+    df = add_region_column(df, postcode_mode, addresses)
     if export_path:
         df = merge_job_export(df, read_job_export(spark, export_path))
     return df

@@ -15,6 +15,7 @@ These are job steps, so they write (and sometimes check) data. Rules kept throug
 from __future__ import annotations
 
 import datetime as dt
+import re
 import uuid
 from collections.abc import Callable
 
@@ -24,7 +25,8 @@ from pyspark.sql import types as T
 
 from ..functions.dates import parse_yyyymmdd
 from ..schema import CSV_DIALECT, CSV_READ, RANGE_START, RANGE_STEP, RANGE_STOP, TYPED_REBUILD_EXCLUDED
-from ..sources.files import path_exists
+from ..sources.ranges import RangePartitions
+from . import published
 
 # Rows per output file: bounds file size at any scale.
 MAX_RECORDS_PER_FILE = 5_000_000
@@ -107,41 +109,36 @@ def rebuild_typed_events(raw: DataFrame, path: str, strict: bool = True) -> Data
 def range_bucket(c, start: int, stop: int, step: int):
     """Integer-range partition of ``c``: boundaries start, start+step, ... <= stop; bucket i
     holds [b_i, b_i+1). Below the first or at/after the last boundary -> -1; null -> null."""
-    bounds = list(range(start, stop + 1, step))
-    x = F.col(c) if isinstance(c, str) else c
-    last = bounds[-1]
-    inside = (x >= F.lit(start)) & (x < F.lit(last))
-    return F.when(x.isNull(), F.lit(None).cast("int")).when(
-        inside, F.floor((x - F.lit(start)) / F.lit(step)).cast("int")).otherwise(F.lit(-1))
+    return RangePartitions("", start, stop, step).of(F.col(c) if isinstance(c, str) else c)
 
 
 def rebuild_range_partitioned(raw: DataFrame, path: str, start: int = RANGE_START,
                               stop: int = RANGE_STOP, step: int = RANGE_STEP,
                               date_col: str = "event_date", entity: str = "entity_id") -> DataFrame:
-    """Copy of ``raw`` partitioned by yearly integer-date buckets, clustered by (date, vacancy)."""
+    """Copy of ``raw`` partitioned by integer-date buckets (yearly by default), clustered by (date,
+    vacancy). The ranges are written beside the data, for the scan to prune by."""
+    ranges = RangePartitions(date_col, start, stop, step)
     ev = F.col(date_col).cast("string").try_cast("bigint")
-    t = raw.withColumn("event_date_bucket", range_bucket(ev, start, stop, step))
-    laid = _clustered(t, ["event_date_bucket"], ["event_date_bucket", date_col, entity])
-    replace_path(raw.sparkSession, path, lambda out: (
-        laid.write.option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-            .partitionBy("event_date_bucket").parquet(out)))
-    return raw.sparkSession.read.parquet(path)
+    t = raw.withColumn(ranges.bucket, ranges.of(ev))
+    laid = _clustered(t, [ranges.bucket], [ranges.bucket, date_col, entity])
+
+    def write(out: str) -> None:
+        (laid.write.option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).partitionBy(ranges.bucket).parquet(out))
+        ranges.write(raw.sparkSession, out)
+
+    replace_path(raw.sparkSession, path, write)
+    return raw.sparkSession.read.schema(t.schema).parquet(path)
 
 
 def overwrite_table(spark: SparkSession, df: DataFrame, path: str) -> tuple[DataFrame, int]:
     """Replace the table's rows with ``df`` while keeping its existing columns (added columns
     allowed, old ones kept as nulls), then verify the row count.
 
-    The old schema is read from the files' footers only; the old rows are never part of the
-    plan. The new rows are written beside the table and swapped in (``replace_path``).
+    The old schema comes from the manifest (of a plain folder: the files' footers); the old rows are
+    never part of the plan. The new version is published by manifest (``plans.published``).
     """
-    out = df
-    if path_exists(spark, path):
-        old_schema = spark.read.parquet(path).schema
-        empty_old = spark.createDataFrame([], old_schema)
-        out = empty_old.unionByName(df, allowMissingColumns=True)
-    replace_path(spark, path, lambda staged: out.write.parquet(staged))
-    back = spark.read.parquet(path)
+    published.replace(df, path, keep_columns=True)
+    back = published.open_table(spark, path)
     return back, back.count()
 
 
@@ -156,20 +153,11 @@ def merge_update(target: DataFrame, source: DataFrame, on: str, cols) -> DataFra
     matched key fail the job, as a MERGE does.
 
     The source is first reduced to one row per key (partial aggregate), so the join never
-    fans out; the result is a new DataFrame to be written to a fresh path.
+    fans out; the result is a new DataFrame to be written to a fresh path. ``published.merge_into``
+    updates a stored table and rewrites only the partitions or files that hold a matched key.
     """
     cols = list(cols)
-    src = (source.groupBy(on)
-                 .agg(F.count(F.lit(1)).alias("_n"),
-                      *[F.first(c, ignorenulls=False).alias(f"_src_{c}") for c in cols])
-                 .withColumn("_matched", F.lit(True)))
-    j = target.join(src, on, "left")
-    matched = F.coalesce(F.col("_matched"), F.lit(False))
-    dup = F.raise_error(F.lit("MERGE: several source rows match one target row"))
-    updates = {c: F.when(matched & (F.col("_n") > 1), dup.cast(target.schema[c].dataType))
-                   .when(matched, F.col(f"_src_{c}").cast(target.schema[c].dataType))
-                   .otherwise(F.col(c)) for c in cols}
-    return j.withColumns(updates).select(*target.columns)
+    return published.updated(target, published.reduced(source, on, cols), on, cols)
 
 
 def backup_name(base: str, as_of) -> str:
@@ -179,45 +167,61 @@ def backup_name(base: str, as_of) -> str:
     return f"{base}_backup_{as_of.strftime('%Y-%m-%d_%H%M')}"
 
 
-def list_backups(spark: SparkSession, folder: str, base: str) -> list[str]:
-    """Backup folder names for ``base``, newest first (names sort by their timestamp)."""
+def _folder_backups(spark: SparkSession, folder: str, base: str) -> list[str]:
+    """Backups that are folders of their own (as earlier versions of this library wrote them): the whole
+    name must be a backup's, so what a dead writer left beside them is none."""
     p, fs = _fs(spark, folder)
     if not fs.exists(p):
         return []
+    form = re.compile(re.escape(base) + r"_backup_\d{4}-\d{2}-\d{2}_\d{4}")
     names = [st.getPath().getName() for st in fs.listStatus(p)]
-    return sorted((n for n in names if n.startswith(f"{base}_backup_")), reverse=True)
+    return [n for n in names if form.fullmatch(n)]
+
+
+def list_backups(spark: SparkSession, folder: str, base: str) -> list[str]:
+    """Backup names of ``base``, newest first (names sort by their timestamp)."""
+    m = published.current(spark, f"{folder}/{base}")
+    return sorted({*(m.backups if m else ()), *_folder_backups(spark, folder, base)}, reverse=True)
+
+
+def open_backup(spark: SparkSession, folder: str, base: str, name: str) -> DataFrame:
+    m = published.current(spark, f"{folder}/{base}")
+    if m and name in m.backups:
+        return published.open_table(spark, f"{folder}/{base}", backup=name)
+    return spark.read.parquet(f"{folder}/{name}")
 
 
 def snapshot_table(spark: SparkSession, df: DataFrame, folder: str, base: str, as_of,
                    keep: int = 3, archive_source: DataFrame | None = None,
                    keep_archives: int = 3) -> dict:
-    """Copy ``df`` to ``folder/base`` (overwrite), write a timestamped backup next to it and
-    keep only the newest ``keep`` backups. With ``archive_source`` the extract variant also
-    archives the source and keeps ``keep_archives`` archives.
+    """Publish ``df`` as ``folder/base``, and the same version under a timestamped backup name, of which
+    the newest ``keep`` stay. With ``archive_source`` the extract variant also archives the
+    source (as backups of ``<base>_source``) and keeps ``keep_archives`` archives.
 
-    Returns the paths written and the backups deleted.
+    The rows are written once: table and backup are one data folder, named by the manifest, which
+    also is what retention goes by. Returns the folder written (``current``, ``backup``; readers that want the
+    newest version use ``published.open_table``) and the names of the backups that are no longer kept.
     """
-    current = f"{folder}/{base}"
-    backup = f"{folder}/{backup_name(base, as_of)}"
-    replace_path(spark, current, lambda staged: df.write.parquet(staged))
-    replace_path(spark, backup, lambda staged: spark.read.parquet(current).write.parquet(staged))
-    removed = _prune(spark, folder, base, keep)
-    out = {"current": current, "backup": backup, "removed": removed}
+    current, removed = _snapshot(spark, df, folder, base, as_of, keep)
+    out = {"current": current, "backup": current, "removed": removed}
     if archive_source is not None:
-        arch_base = f"{base}_source"
-        arch = f"{folder}/{backup_name(arch_base, as_of)}"
-        replace_path(spark, arch, lambda staged: archive_source.write.parquet(staged))
-        out["archive"] = arch
-        out["removed"] = removed + _prune(spark, folder, arch_base, keep_archives)
+        out["archive"], gone = _snapshot(spark, archive_source, folder, f"{base}_source", as_of, keep_archives)
+        out["removed"] = removed + gone
     return out
 
 
-def _prune(spark: SparkSession, folder: str, base: str, keep: int) -> list[str]:
-    old = list_backups(spark, folder, base)[keep:]
-    for name in old:
-        p, fs = _fs(spark, f"{folder}/{name}")
-        fs.delete(p, True)
-    return old
+def _snapshot(spark: SparkSession, df: DataFrame, folder: str, base: str, as_of, keep: int) -> tuple[str, list[str]]:
+    table, name = f"{folder}/{base}", backup_name(base, as_of)
+    before = list_backups(spark, folder, base)
+    kept = sorted({*before, name}, reverse=True)[:keep]
+    own, fs = _fs(spark, f"{table}/{name}")
+    data = name if not fs.exists(own) else f"{name}-{uuid.uuid4().hex[:12]}"
+    published.replace(df, table, backup=name, keep=keep, folder=data)
+    for n in _folder_backups(spark, folder, base):
+        if n not in kept:
+            published.delete_path(spark, f"{folder}/{n}")
+    published.vacuum(spark, table)
+    return f"{table}/{data}", [n for n in before if n not in kept]
 
 
 def export_name(prefix: str, as_of, with_time: bool = False) -> str:

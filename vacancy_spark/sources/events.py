@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import as_date_literal
-from ..schema import ENRICHED_COLUMNS, RANGE_START, RANGE_STEP, REPORT_EVENTS
+from ..schema import ENRICHED_COLUMNS, REPORT_EVENTS
+from .ranges import RangePartitions, has_ranges, read_ranges
 
 
 def _as_frame(spark: SparkSession | None, df_or_path) -> DataFrame:
@@ -28,6 +29,25 @@ def _as_frame(spark: SparkSession | None, df_or_path) -> DataFrame:
     return spark.table(df_or_path)
 
 
+def _ranges_of(spark: SparkSession | None, df_or_path) -> RangePartitions | None:
+    """The descriptor beside the table's files; of a frame only if it is the table itself, as read."""
+    if isinstance(df_or_path, DataFrame):
+        plan = df_or_path._jdf.queryExecution().analyzed()
+        while plan.getClass().getSimpleName() == "SubqueryAlias":
+            plan = plan.child()
+        if plan.getClass().getSimpleName() != "LogicalRelation" or \
+                plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+            return None
+        roots = plan.relation().location().rootPaths()
+        return read_ranges(df_or_path.sparkSession, roots.head().toString()) if roots.size() == 1 else None
+    spark = spark or SparkSession.getActiveSession()
+    if "/" not in df_or_path and not df_or_path.endswith(".parquet"):
+        place = [r["data_type"] for r in spark.sql(f"DESCRIBE FORMATTED {df_or_path}").collect()
+                 if r["col_name"] == "Location"]
+        return read_ranges(spark, place[0]) if place else None
+    return read_ranges(spark, df_or_path)
+
+
 def _as_date(as_of) -> dt.date:
     if isinstance(as_of, str):
         return dt.date.fromisoformat(as_of[:10])
@@ -56,15 +76,18 @@ def scan_events(df_or_path, as_of, days_back: int = 30, sample_size: int | None
 
 def scan_events_legacy(df_or_path, as_of, days_back: int = 90,
                        spark: SparkSession | None = None, order: bool = True,
-                       day_col: str | None = None) -> DataFrame:
+                       day_col: str | None = None, ranges: RangePartitions | None = None) -> DataFrame:
     """All columns with ``event_date`` (``YYYYMMDD`` string or integer) on or after the cut-off,
     newest first (``order=False`` skips the global sort when only aggregates follow).
 
     Partitions are pruned where the table has them: by ``day_col``, the parsed day that a typed
-    table is partitioned by (dropped from the result), and by ``event_date_bucket`` of a
-    range-partitioned one. Rows in the buckets for other or unreadable dates stay in the scan.
+    table is partitioned by (dropped from the result), and by the ranges of a range-partitioned one:
+    those of the descriptor beside the table, or ``ranges`` for a frame made from it. Without
+    a descriptor for ``event_date`` no range is left out; rows in the buckets for other or
+    unreadable dates always stay in the scan.
     """
     df = _as_frame(spark, df_or_path)
+    ranges = ranges or _ranges_of(spark, df_or_path)
     first = _as_date(as_of) - dt.timedelta(days=days_back)
     cutoff = first.strftime("%Y%m%d")
     d = F.col("event_date")
@@ -72,10 +95,8 @@ def scan_events_legacy(df_or_path, as_of, days_back: int = 90,
         out, key = df.where(d >= F.lit(int(cutoff))), d
     else:
         out, key = df.where(d.cast("string") >= F.lit(cutoff)), d.cast("string")
-    if "event_date_bucket" in df.columns:
-        bucket = F.col("event_date_bucket")
-        lowest = (int(cutoff) - RANGE_START) // RANGE_STEP
-        out = out.where((bucket >= F.lit(lowest)) | (bucket == -1) | bucket.isNull())
+    if has_ranges(df, ranges) and ranges.column == "event_date":
+        out = out.where(ranges.from_on(int(cutoff), text=key is not d))
     if day_col:
         out = out.where((F.col(day_col) >= as_date_literal(first)) | F.col(day_col).isNull()).drop(day_col)
     if not order:

@@ -1,7 +1,7 @@
 """File and catalog sources.
 
-CSV is read with an explicit schema wherever the shape is known (no inference pass over
-the data); inference is used only where the reference infers (A7).
+CSV is read as text by ``csv_ranges``: in byte ranges, columns bound by name file by file, a record with
+too many fields an error. Types are inferred only for the load that infers them (A7).
 """
 
 from __future__ import annotations
@@ -10,17 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.clean import clean_importer_mapping, dedup_latest, normalise_metadata
-from ..schema import CSV_READ, IMPORTER_MAPPING_SCHEMA, JOB_EXPORT_SCHEMA, JOB_METADATA_SCHEMA
+from ..schema import IMPORTER_MAPPING_SCHEMA, JOB_EXPORT_SCHEMA, JOB_METADATA_SCHEMA
+from ..session import fresh_path
+from .csv_ranges import read_csv
+from .infer import infer_schema, typed
 
 POSITION = "_position"
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """True when ``path`` exists on its (possibly remote) file system."""
+    """True when ``path`` (or something that matches it) exists on its (possibly remote) file system."""
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(hpath))
+    return bool(fs.exists(hpath)) or any(c in path for c in "*?[{") and bool(fs.globStatus(hpath))
 
 
 def path_bytes(spark: SparkSession, path: str) -> int:
@@ -30,29 +33,29 @@ def path_bytes(spark: SparkSession, path: str) -> int:
     return int(fs.getContentSummary(hpath).getLength())
 
 
-def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Every column of a header CSV as text, in the shared dialect."""
-    return spark.read.options(**CSV_READ, inferSchema="false", encoding="UTF-8").csv(path)
+def read_text_csv(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Every column of header CSV files as text (options: those of ``csv_ranges.read_csv``)."""
+    return read_csv(spark, path, **options)
 
 
-def read_job_export(spark: SparkSession, path: str, columns=None, position: bool = False) -> DataFrame:
-    """The job export CSV (header row, all text), bound by column name: the known columns first,
-    null where the file lacks one, then any others it has. Missing file -> empty frame of the
-    known columns. ``columns`` keeps only those columns (the column-pruned variant).
+def read_job_export(spark: SparkSession, path: str, columns=None, position: bool = False,
+                    bad_rows: str = "fail") -> DataFrame:
+    """The job export CSV (header row, all text), bound by column name, file by file: the known
+    columns first, null where the files lack one, then any others they have. Missing file -> empty
+    frame of the known columns. ``columns`` keeps only those columns (the column-pruned variant).
 
     ``position`` adds ``_position``, which orders rows as the files do: by file name, then by
-    place in the file (a file is read by one task, in which the running number grows).
+    place in the file. ``bad_rows``: see ``csv_ranges.read_csv``.
     """
     if path_exists(spark, path):
-        raw = read_text_csv(spark, path)
+        raw = read_text_csv(spark, path, position=POSITION if position else None, bad_rows=bad_rows)
         known = [f.name for f in JOB_EXPORT_SCHEMA.fields]
         df = raw.select(*[F.col(f"`{c}`") if c in raw.columns else F.lit(None).cast("string").alias(c)
                           for c in known], *[F.col(f"`{c}`") for c in raw.columns if c not in known])
     else:
         df = spark.createDataFrame([], JOB_EXPORT_SCHEMA)
-    if position:
-        df = df.withColumn(POSITION, F.struct(F.input_file_name().alias("file"),
-                                              F.monotonically_increasing_id().alias("row")))
+        if position:
+            df = df.withColumn(POSITION, F.lit(None).cast("struct<file:string,block:bigint,row:bigint>"))
     if columns:
         df = df.select(*[c for c in (*columns, *([POSITION] if position else [])) if c in df.columns])
     return df
@@ -66,8 +69,7 @@ def load_metadata(spark: SparkSession, path: str, as_of, null_fill: str | None =
 
 
 def read_importer_mapping(spark: SparkSession, path: str, strip: bool = True) -> DataFrame:
-    """importer id -> name CSV. A UTF-8 byte-order mark is tolerated (Spark's CSV reader drops
-    it); blank ids are dropped, both fields stripped, the last row per id wins."""
+    """importer id -> name CSV. A UTF-8 byte-order mark is tolerated; blank ids are dropped, both fields stripped, the last row per id wins."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], IMPORTER_MAPPING_SCHEMA)
     raw = read_text_csv(spark, path)
@@ -86,33 +88,35 @@ def read_all_string(spark: SparkSession, path: str) -> DataFrame:
 
 
 def register_external_csv(spark: SparkSession, name: str, path: str) -> DataFrame:
-    """An external (file-backed) table over a header CSV, visible to SQL as ``name``."""
-    spark.sql(f"DROP VIEW IF EXISTS {name}")
-    spark.sql(f"CREATE TEMPORARY VIEW {name} USING csv "
-              f"OPTIONS (path '{path}', inferSchema 'false', "
-              + ", ".join(f"{k} '{v}'" for k, v in CSV_READ.items()) + ")")
+    """An external (file-backed) table over header CSV files, visible to SQL as ``name``."""
+    read_text_csv(spark, path).createOrReplaceTempView(name)
     return spark.table(name)
 
 
 def load_csv_replace(spark: SparkSession, path: str, dest: str,
                      schema=None) -> tuple[DataFrame, dict]:
-    """Load a CSV with schema inference (or the given ``schema``) and fully replace ``dest``
-    (Parquet).
+    """Load CSV files with inferred types (or the given ``schema``, by column name) and fully
+    replace the published table ``dest`` (``plans.published``).
 
     Validates that the file exists and has at least one row; returns the loaded table and
-    its stats (rows, bytes on disk, columns). This is a job step, so it runs actions.
-    Inference reads the whole input once; a ``schema`` saves that pass.
+    its stats (rows, bytes on disk, columns). This is a job step, so it runs actions. The text is
+    written once as Parquet; types are found by one aggregate over that, and cast from it. A value
+    that does not have the type given for its column fails the load, with the old table in place.
     """
+    from ..plans import published
     if not path_exists(spark, path):
         raise FileNotFoundError(path)
-    reader = spark.read.options(**CSV_READ)
-    df = (reader.schema(schema) if schema is not None else reader.option("inferSchema", "true")).csv(path)
-    if df.isEmpty():
+    staged = fresh_path(spark, "csv-text")
+    raw = read_text_csv(spark, path)
+    raw.write.parquet(staged)
+    text = spark.read.schema(raw.schema).parquet(staged)
+    if not raw.columns or text.isEmpty():
         raise ValueError(f"{path} has no rows")
-    from ..plans.tables import replace_path
-    replace_path(spark, dest, lambda staged: df.write.parquet(staged))
-    loaded = spark.read.parquet(dest)
-    stats = {"rows": loaded.count(), "bytes": path_bytes(spark, dest), "columns": len(loaded.columns)}
+    out = typed(text, schema if schema is not None else infer_schema(text))
+    published.replace(out, dest)
+    loaded = published.open_table(spark, dest)
+    stats = {"rows": loaded.count(), "bytes": published.table_bytes(spark, dest), "columns": len(loaded.columns)}
+    published.delete_path(spark, staged)
     return loaded, stats
 
 
