@@ -61,6 +61,8 @@ def test_toxicity_odd_rows(spark, odd, none):
         by.setdefault(r.row.text or "", set()).add(r.score)
     assert all(len(x) == 1 for x in by.values())  # a score depends on the text alone
     assert toxicity.score(none.select("text", "doc_id"), m).count() == 0
+    clash = toxicity.score(odd.withColumn("score", F.lit(7.0)), m)  # a column of that name is replaced
+    assert clash.columns.count("score") == 1 and clash.where("score > 1").count() == 0
     empty = toxicity.train(odd, labels.where("false"), F.lit(True))
     assert max(empty.scores([b"anything", b""])) < 0.01
 

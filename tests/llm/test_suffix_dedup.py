@@ -56,6 +56,10 @@ def test_odd_rows(spark, odd, none, options):
     rows = [(i, t) for i, t, *_ in odd_rows()]
     for length in (40, 200):
         check(S.remove_repeats(odd.select("doc_id", "text", "size", "label"), length, **options), rows, length)
+    names = spark.createDataFrame([(1, "x" * 500, "own", 7)], "doc_id long, text string, kept string, n_bytes int")
+    clash = S.remove_repeats(names)  # columns named like the results are replaced
+    assert clash.columns == ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"]
+    assert clash.first().n_bytes == 500
     out = S.remove_repeats(none, with_text=True)
     assert out.count() == 0 and set(none.columns) - {"text"} <= set(out.columns)
 

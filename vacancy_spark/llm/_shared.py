@@ -18,6 +18,30 @@ def narrow_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def hand_back() -> None:
+    """Give the memory that this process no longer uses back to the system (workers live on between tasks)."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run):
+    """A function over batches, as ``run``, that hands memory back when its task is done."""
+    def over(batches):
+        try:
+            yield from run(batches)
+        finally:
+            hand_back()
+
+    return over
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the cluster's shared folder and read it back.
 
@@ -49,7 +73,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
                 schema=pa.schema([*(pa.field(f"c{i}", b.column(i).type) for i in range(len(rest))),
                                   pa.field("packed", pa.binary())])).rename_columns([*rest, "packed"])
 
-    return docs.select(*rest, "text").mapInArrow(run, schema)
+    return docs.select(*rest, "text").mapInArrow(tidy(run), schema)
 
 
 def unpacked(column) -> list[bytes]:

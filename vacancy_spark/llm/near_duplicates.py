@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacancy_spark.llm._components import components
-from vacancy_spark.llm._shared import documents, narrow_batches, packed_texts, stored, unpacked
+from vacancy_spark.llm._shared import documents, narrow_batches, packed_texts, stored, tidy, unpacked
 from vacancy_spark.llm._words import Words, batches_of, mixed, text_bytes
 
 SHINGLE = 5
@@ -109,7 +109,7 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     narrow_batches(docs.sparkSession)
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"),
                         F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-            .mapInArrow(run, "doc_id long, text_hash long, set_id binary, values binary, "
+            .mapInArrow(tidy(run), "doc_id long, text_hash long, set_id binary, values binary, "
                              "sketch binary"))
 
 
@@ -209,7 +209,7 @@ def _run_paths(sets: DataFrame, runs: range, leaf: int, floor: float) -> tuple[l
             yield pa.RecordBatch.from_arrays([join(a), join(c)], ["a", "b"])
 
     schema = "node long, set_no long"
-    paths = stored(sets.select("set_no", "values").mapInArrow(roots, schema), "paths")
+    paths = stored(sets.select("set_no", "values").mapInArrow(tidy(roots), schema), "paths")
     edges, depth = [], 1
     while True:
         sizes = stored(paths.groupBy("node").count().where("count > 1"), "path-sizes")
@@ -220,7 +220,7 @@ def _run_paths(sets: DataFrame, runs: range, leaf: int, floor: float) -> tuple[l
                  .select("node", F.explode("group").alias("set_no"))
                  .join(sets.select("set_no", "sketch"), "set_no")
                  .groupBy("node").agg(F.collect_list(F.struct("set_no", "sketch")).alias("members")))
-        edges.append(small.select("members").mapInArrow(brute, "a long, b long"))
+        edges.append(small.select("members").mapInArrow(tidy(brute), "a long, b long"))
         big = sizes.where(F.col("count") > leaf)
         if big.isEmpty():
             return edges, depth
@@ -231,7 +231,7 @@ def _run_paths(sets: DataFrame, runs: range, leaf: int, floor: float) -> tuple[l
                   "hub_no"))
         met = stored(inside.join(sets.select("set_no", "sketch"), "set_no").join(hubs, "node")
                      .select("node", "set_no", "sketch", "hub_no", "hub_sketch")
-                     .mapInArrow(compare, "node long, set_no long, hub_no long, near double"), "hubs")
+                     .mapInArrow(tidy(compare), "node long, set_no long, hub_no long, near double"), "hubs")
         # a set at 0.9 of the hub or more has only partners at 0.7 or more: they join the hub's
         # group, and so do all sets that may be such partners
         with_hub = F.col("near") >= 1 - 2 * (1 - THRESHOLD) + 0.1 - MARGIN
@@ -243,7 +243,7 @@ def _run_paths(sets: DataFrame, runs: range, leaf: int, floor: float) -> tuple[l
         paths = stored(met.where(F.col("near") < CLOSE).select("node", "set_no").join(outside, "node")
                        .join(sets.select("set_no", "values"), "set_no")
                        .select("node", "set_no", "values")
-                       .mapInArrow(split, schema), "paths")
+                       .mapInArrow(tidy(split), schema), "paths")
         depth += 1
 
 
@@ -366,7 +366,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     sets_of = (texts.join(member.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id"))
                           & (F.col("hash") == F.col("text_hash")))
                .select("component", "n", "set_no", "copies", "packed")
-               .mapInArrow(shingles, "component long, n long, set_no long, copies long, "
+               .mapInArrow(tidy(shingles), "component long, n long, set_no long, copies long, "
                                      "shingles array<long>"))
     # rows that repeat an id and its text are one set; one of them is compared
     sets_of = stored(sets_of.groupBy("set_no").agg(

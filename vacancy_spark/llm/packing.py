@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacancy_spark.llm._encode import ChunkEncoder, keeps_space, vocabulary_path
-from vacancy_spark.llm._shared import documents, narrow_batches, stored
+from vacancy_spark.llm._shared import documents, narrow_batches, stored, tidy
 
 CAPACITY = 4096
 GROUP_PIECES = 20_000
@@ -56,7 +56,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "word_bp
                  pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"),
-                       F.col(text_col).alias("text")).mapInArrow(cut, PIECES)
+                       F.col(text_col).alias("text")).mapInArrow(tidy(cut), PIECES)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:

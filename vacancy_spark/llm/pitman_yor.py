@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacancy_spark.llm._shared import documents, narrow_batches, stored
+from vacancy_spark.llm._shared import documents, narrow_batches, stored, tidy
 from vacancy_spark.llm._words import Words, batches_of, mixed, text_bytes
 from vacancy_spark.session import fresh_path
 
@@ -385,7 +385,7 @@ def _hot_words(docs: DataFrame, total: int, buckets: int) -> dict[int, int]:
                     words.view(np.int64).tolist(), n.tolist())) if i == 0 or c * 4 * buckets > len(token)],
                     "word long, n long, all long")
 
-    found = stored(some.mapInArrow(run, "word long, n long, all long"), "frequent")
+    found = stored(some.mapInArrow(tidy(run), "word long, n long, all long"), "frequent")
     tokens = found.agg(F.sum("all")).first()[0] or 0
     hot = (found.groupBy("word").agg(F.sum("n").alias("n"))
            .where(F.col("n") * buckets > tokens).collect())  # fewer than buckets
@@ -429,7 +429,7 @@ def score(docs: DataFrame, held_out: Column, epochs: int = EPOCHS, burn_in: int
         if kept:
             yield _table([_chunk(chunk, kept)], A_SCHEMA)
 
-    rows = stored(docs.mapInArrow(cut, A_SCHEMA), "chunks")
+    rows = stored(docs.mapInArrow(tidy(cut), A_SCHEMA), "chunks")
 
     def send(batches):
         for b in batches:
@@ -464,7 +464,7 @@ def score(docs: DataFrame, held_out: Column, epochs: int = EPOCHS, burn_in: int
         return pa.Table.from_batches([_table(out, C_SCHEMA)])
 
     tables = _Tables(spark)
-    counted = tables.write(rows.mapInArrow(send, P_SCHEMA).repartition(buckets, "bucket")
+    counted = tables.write(rows.mapInArrow(tidy(send), P_SCHEMA).repartition(buckets, "bucket")
                            .groupBy("bucket").applyInArrow(count, C_SCHEMA), "counts")
     state = counted.where(F.col("part") == OWN).select(
         "bucket", "part", "pairs", "contexts", "counts", "hot_at", "hot_words")

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vacancy_spark.llm._encode import _ranges
-from vacancy_spark.llm._shared import documents, narrow_batches, packed_texts, stored, unpacked
+from vacancy_spark.llm._shared import documents, narrow_batches, packed_texts, stored, tidy, unpacked
 from vacancy_spark.llm._words import _BASE, _BYTE, batches_of, mixed, powers, text_bytes
 
 LENGTH = 200
@@ -236,8 +236,7 @@ def _cut(docs: DataFrame, length: int) -> DataFrame:
                      b.column("text_hash").slice(part.start, size)], names)
                 done += size
 
-    return docs.select("doc_id", "text_hash", "text").mapInArrow(
-        run, ", ".join(f"{x} long" for x in names))
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(tidy(run), ", ".join(f"{x} long" for x in names))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD,
@@ -285,7 +284,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD,
     strings = (packed.join(lists, packed["doc_id"].eqNullSafe(lists["id"])
                            & (packed["text_hash"] == lists["hash"]))
                .select("doc_no", "pieces", "packed")
-               .mapInArrow(fetch, "doc_no long, gram long, piece long, times long, start long, "
+               .mapInArrow(tidy(fetch), "doc_no long, gram long, piece long, times long, start long, "
                                   "strings long, kinds long, bytes binary"))
     strings = stored(strings, "piece-bytes")
 
@@ -337,7 +336,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD,
 
     crowded = (strings.where(F.col("kinds") > crowd).dropDuplicates(["gram", "piece"])
                .select("doc_no", "start", "times", "bytes")
-               .mapInArrow(windows, "one long, two long, doc_no long, from long, times long"))
+               .mapInArrow(tidy(windows), "one long, two long, doc_no long, from long, times long"))
     twice = crowded.groupBy("one", "two").agg(F.sum("times").alias("all")).where("all > 1")
     one_by_one = (crowded.where("times = 1").join(twice.select("one", "two"), ["one", "two"])
                   .select("doc_no", "from", (F.col("from") + length).alias("to")))
@@ -351,7 +350,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                    text_col: str = "text", with_text: bool = False, **options) -> DataFrame:
     """All columns of ``docs`` but the text, and kept (bytes), n_bytes, n_removed, n_spans.
 
-    ``with_text``: also kept_text, the whole characters that are left.
+    ``with_text``: also kept_text, the whole characters that are left. Columns of ``docs`` that have
+    these names are replaced.
     """
     narrow_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c != text_col]
@@ -391,8 +391,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     spans = spans.withColumnsRenamed({"doc_id": "id", "text_hash": "hash"})
     out = (packed.join(spans, packed["doc_id"].eqNullSafe(spans["id"])
                        & (packed["text_hash"] == spans["hash"]), "left")
-           .select("rest", "packed", "spans").mapInArrow(remove, schema))
-    return out.select(*[F.col("rest").getField(c).alias(c) for c in rest],
+           .select("rest", "packed", "spans").mapInArrow(tidy(remove), schema))
+    return out.select(*[F.col("rest").getField(c).alias(c) for c in rest if c not in schema.names[1:]],
                       *schema.names[1:])
 
 

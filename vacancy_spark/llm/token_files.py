@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vacancy_spark.llm._encode import ChunkEncoder, keeps_space, vocabulary_path
-from vacancy_spark.llm._shared import documents, narrow_batches
+from vacancy_spark.llm._shared import documents, narrow_batches, tidy
 from vacancy_spark.session import fresh_path
 
 ROW_GROUP_BYTES = 32 << 20
@@ -57,7 +57,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.jso
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
     (rows.repartitionByRange("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash")
-     .mapInArrow(encode, SCHEMA).write
+     .mapInArrow(tidy(encode), SCHEMA).write
      .option("parquet.writer.version", "v2")
      .option("parquet.enable.dictionary", "true")
      .option("parquet.enable.dictionary#doc_id", "false")
@@ -128,7 +128,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     narrow_batches(spark)
     rows = (spark.read.schema(SCHEMA).parquet(path)
             .select(F.col("_metadata.file_path").alias("file"), "doc_id", "text_hash", "tokens"))
-    return rows.mapInArrow(digest, "file string, doc_id long, text_hash long, ids_crc32 long")
+    return rows.mapInArrow(tidy(digest), "file string, doc_id long, text_hash long, ids_crc32 long")
 
 
 def op9_token_files(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacancy_spark.llm._shared import documents, narrow_batches
+from vacancy_spark.llm._shared import documents, narrow_batches, tidy
 from vacancy_spark.llm._words import _SPACE, Words, batches_of, text_bytes
 
 BITS = 18
@@ -160,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
                     [pa.array([label[part][d] for d in owner], pa.float64()),
                      own(term, pa.int32()), own(x, pa.float32())], ["label", "term", "x"])
 
-    found = rows.mapInArrow(hashed, "label double, term array<int>, x array<float>")
+    found = rows.mapInArrow(tidy(hashed), "label double, term array<int>, x array<float>")
     # in an order that reruns share; a text of many segments has many rows
     table = found.withColumn("order", F.xxhash64("term", "label")).orderBy("order").limit(
         2 * train_rows).select("label", "term", "x").toArrow().combine_chunks()
@@ -172,13 +172,14 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
 
 def score(docs: DataFrame, machine: Machine, text_col: str = "text",
           name: str = "score") -> DataFrame:
-    """``docs`` without its text column and with the column ``name``: each whole text's score."""
+    """``docs`` without its text column and with the column ``name`` (instead of one that it has of that
+    name): each whole text's score."""
     spark = docs.sparkSession
     narrow_batches(spark)
     shared = spark.sparkContext.broadcast(
         (machine.bias, machine.weight, machine.vector))  # of fixed size
 
-    rest = [c for c in docs.columns if c != text_col]
+    rest = [c for c in docs.columns if c not in (text_col, name)]
     schema = docs.select(rest).withColumn(name, F.lit(0.0)).schema
 
     def run(batches):
@@ -191,7 +192,7 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text",
                 [*(b.column(i) for i in range(len(rest))),
                  pa.array(np.concatenate(found) if found else [], pa.float64())], [*rest, name])
 
-    return docs.select(*rest, text_col).mapInArrow(run, schema)
+    return docs.select(*rest, text_col).mapInArrow(tidy(run), schema)
 
 
 def _remainder(column: Column) -> Column:
