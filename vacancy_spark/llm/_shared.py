@@ -21,9 +21,7 @@ def narrow_batches(spark: SparkSession) -> None:
 def hand_back() -> None:
     """Give the memory that this process no longer uses back to the system (workers live on between tasks)."""
     import ctypes
-    import gc
 
-    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
