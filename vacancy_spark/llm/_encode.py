@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import itertools
 import re
+import sys
+import types
 
 import numpy as np
 
@@ -23,6 +25,7 @@ _SPACE = re.compile("[\\s᠎]")
 _MARK_RUN = re.compile(r"[\W_][,.][ \n]")
 _CUT = re.compile("(?<=[^\\s᠎])(?=[ \\n][^\\s᠎])")
 CACHE_CHUNKS = 400_000  # distinct chunks that one task keeps; then it starts anew
+WORKER_CHUNKS = 250_000  # the same for an encoder that a Python worker keeps between tasks (some 50 MB)
 
 
 class _Index(dict):
@@ -164,6 +167,14 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(step)
 
 
+def worker_encoder(path: str, keeps_space: bool) -> ChunkEncoder:
+    """The encoder of this Python worker, kept over its tasks (the cache only saves work)."""
+    kept = sys.modules.setdefault("_kept_chunk_encoders", types.ModuleType("_kept"))
+    if path not in vars(kept):
+        setattr(kept, path, ChunkEncoder(path, keeps_space, WORKER_CHUNKS))
+    return vars(kept)[path]
+
+
 def keeps_space(name: str) -> bool:
     """Whether white space belongs to the tokens of the public vocabulary ``name``."""
     return name.startswith("byte_")
