@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextvars import ContextVar
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -40,6 +42,9 @@ def tidy(run):
     return over
 
 
+_steps: ContextVar[list[str] | None] = ContextVar("steps", default=None)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the cluster's shared folder and read it back.
 
@@ -47,10 +52,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    if _steps.get() is not None:
+        _steps.get().append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_alone(make, name: str) -> DataFrame:
+    """The frame that ``make()`` returns, ``stored``; the tables that were stored on the way are deleted."""
+    paths: list[str] = []
+    token = _steps.set(paths)
+    try:
+        df = make()
+        _steps.set(None)
+        out = stored(df, name)
+    finally:
+        _steps.reset(token)
+    spark = out.sparkSession
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return out
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacancy_spark.llm._components import components
-from vacancy_spark.llm._shared import documents, narrow_batches, packed_texts, stored, tidy, unpacked
+from vacancy_spark.llm._shared import (documents, narrow_batches, packed_texts, stored, stored_alone, tidy,
+                                       unpacked)
 from vacancy_spark.llm._words import Words, batches_of, mixed, text_bytes
 
 SHINGLE = 5
@@ -408,7 +409,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 **options) -> DataFrame:
     """``docs`` with one document of each class left: the one of smallest id."""
-    found = stored(near_duplicates(docs, id_col=id_col, text_col=text_col, **options), "classes")
+    found = stored_alone(lambda: near_duplicates(docs, id_col=id_col, text_col=text_col, **options), "classes")
     first = found.where("is_first").select("doc_id", "text_hash")
     kept = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"),
                        F.col(text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
