@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from vacancy_spark.functions.regions import region_from_address, region_from_locations
+from vacancy_spark.operators import compare as H
+from vacancy_spark.operators import cross as X
 from vacancy_spark.operators import filters as FL
 from vacancy_spark.operators import joins as J
 from vacancy_spark.operators import metrics as M
@@ -91,6 +93,12 @@ def test_daily_counts_stand_for_the_events(spark, stored, spec):
     for f in (M.kpi_metrics, M.basic_totals, T.daily_trend, lambda d: M.vacancy_counts(d, "occupation"),
               lambda d: M.benchmark(d, "uk_region"), lambda d: V.vacancy_report(d, "2024-01-31")):
         assert rows(f(b)) == rows(f(a))
+    if spec == SPECS[0]:
+        other = FL.FilterSpec(importer=("ATS feed",))
+        for f in (lambda d: H.compare(d, other, None), lambda d: H.compare_long(d, None, other), T.daily_counts, M.dataset_totals,
+                  T.daily_trend_outer_join, lambda d: X.value_counts(d, "uk_region"), lambda d: X.top_values(d, "occupation", 5),
+                  X.importer_record_counts, lambda d: M.card_metrics(d, region="uk_region"), lambda d: X.heatmap(d, "apply_click_ratio")):
+            assert rows(f(day)) == rows(f(events))
     assert rows(V.vacancy_report_filtered(day, spec, "2024-01-31")) == rows(V.vacancy_report_filtered(events, spec, "2024-01-31"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..schema import APPLY, CLICK
 from .filters import FilterSpec, spec_predicate
+from .metrics import events_where
 
 ENTITY = "entity_id"
 
@@ -28,10 +29,10 @@ def side_totals(df: DataFrame, spec_a: FilterSpec | None, spec_b: FilterSpec | N
     pb = F.lit(True) if pb is None else F.coalesce(pb, F.lit(False))
     click, apply_ = F.col("event_name") == CLICK, F.col("event_name") == APPLY
     per = (df.groupBy(entity)
-             .agg(F.count_if(pa).alias("rows_a"), F.count_if(pa & click).alias("clicks_a"),
-                  F.count_if(pa & apply_).alias("applies_a"),
-                  F.count_if(pb).alias("rows_b"), F.count_if(pb & click).alias("clicks_b"),
-                  F.count_if(pb & apply_).alias("applies_b")))
+             .agg(F.count_if(pa).alias("rows_a"), events_where(df, pa & click).alias("clicks_a"),
+                  events_where(df, pa & apply_).alias("applies_a"),
+                  F.count_if(pb).alias("rows_b"), events_where(df, pb & click).alias("clicks_b"),
+                  events_where(df, pb & apply_).alias("applies_b")))
     ent = F.col(entity)
     return per.agg(
         F.count_if(ent.isNotNull() & (F.col("rows_a") > 0)).alias("vacancies_a"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import id_string
-from .metrics import grouped_metrics
+from .metrics import events_in, grouped_metrics
 
 MAX_PIVOT_LABELS = 1000  # columns a heatmap may have
 # The three metrics a heatmap can show (columns of ``cross_metrics``).
@@ -44,7 +44,7 @@ def heatmap(df: DataFrame, metric: str = "clicks_per_vacancy", row: str = "uk_re
 def top_values(df: DataFrame, col: str, n: int = 10) -> DataFrame:
     """The ``n`` most frequent non-null values (ties broken by value)."""
     return (df.where(F.col(col).isNotNull())
-              .groupBy(col).agg(F.count(F.lit(1)).alias("count"))
+              .groupBy(col).agg(events_in(df).alias("count"))
               .orderBy(F.desc("count"), F.asc(col))
               .limit(n))
 
@@ -52,7 +52,7 @@ def top_values(df: DataFrame, col: str, n: int = 10) -> DataFrame:
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """Rows per non-null value, most frequent first."""
     return (df.where(F.col(col).isNotNull())
-              .groupBy(col).agg(F.count(F.lit(1)).alias("count"))
+              .groupBy(col).agg(events_in(df).alias("count"))
               .orderBy(F.desc("count"), F.asc(col)))
 
 
@@ -68,7 +68,7 @@ def mapping_audit(df: DataFrame, mapping: DataFrame, id_col: str = "importer_ID"
 
 def importer_record_counts(df: DataFrame, col: str = "importer_name") -> DataFrame:
     """Rows per importer name, sorted by name."""
-    return df.groupBy(col).agg(F.count(F.lit(1)).alias("records")).orderBy(col)
+    return df.groupBy(col).agg(events_in(df).alias("records")).orderBy(col)
 
 
 def importer_names_in_use(df: DataFrame, mapping: DataFrame,

@@ -53,6 +53,11 @@ def events_where(df: DataFrame, condition: Column) -> Column:
     return F.coalesce(F.sum(F.when(condition, F.col(EVENTS))), F.lit(0)).cast("bigint")
 
 
+def events_in(df: DataFrame) -> Column:
+    """Aggregate: number of events."""
+    return events_where(df, F.lit(True)) if EVENTS in df.columns else F.count(F.lit(1))
+
+
 def vacancy_counts(df: DataFrame, *dims, entity: str = ENTITY) -> DataFrame:
     """Clicks and applies per vacancy (every vacancy present in ``df``, zero-filled)."""
     return (df.groupBy(*dims, entity)
@@ -252,7 +257,7 @@ def card_metrics(df: DataFrame, org: str = "organization_name", occupation: str
     """Row count and distinct organisations / occupations / regions (absent column -> 0)."""
     have = [c for c in (org, occupation, region) if c in df.columns]
     # each combination once, so that the distinct counts expand few rows
-    rows = df.groupBy(*have).agg(F.count(F.lit(1)).alias("_n")) if have else df.select(F.lit(1).alias("_n"))
+    rows = df.groupBy(*have).agg(events_in(df).alias("_n")) if have else df.agg(events_in(df).alias("_n"))
 
     def nd(c):
         return F.count_distinct(c) if c in have else F.lit(0).cast("bigint")
@@ -263,7 +268,7 @@ def card_metrics(df: DataFrame, org: str = "organization_name", occupation: str
 
 
 def dataset_totals(df: DataFrame, entity: str = ENTITY) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("total_events"),
+    return df.agg(events_in(df).alias("total_events"),
                   F.count_distinct(entity).alias("unique_vacancies"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schema import APPLY, CLICK
 from ..session import fresh_path
-from .metrics import events_where
+from .metrics import events_in, events_where
 
 
 def daily_trend(df: DataFrame, date_col: str = "event_date") -> DataFrame:
@@ -33,7 +33,7 @@ def daily_trend_outer_join(df: DataFrame, date_col: str = "event_date") -> DataF
     path = fresh_path(spark, "daily_counts")
     (df.where(F.col("event_name").isin(CLICK, APPLY))
        .groupBy(F.col(date_col).cast("date").alias("event_date"), "event_name")
-       .agg(F.count(F.lit(1)).alias("n")).write.parquet(path))
+       .agg(events_in(df).alias("n")).write.parquet(path))
     daily = spark.read.parquet(path)
     clicks = daily.where(F.col("event_name") == CLICK).select("event_date", F.col("n").alias("clicks"))
     applies = daily.where(F.col("event_name") == APPLY).select("event_date", F.col("n").alias("applies"))
@@ -49,5 +49,5 @@ def daily_counts(df: DataFrame, date_col: str = "event_date") -> DataFrame:
     d = F.col(date_col).cast("date")
     return (df.where(d.isNotNull())
               .groupBy(d.alias("date"))
-              .agg(F.count(F.lit(1)).alias("count"))
+              .agg(events_in(df).alias("count"))
               .orderBy("date"))
