@@ -25,7 +25,7 @@ _SPACE = re.compile("[\\s᠎]")
 _MARK_RUN = re.compile(r"[\W_][,.][ \n]")
 _CUT = re.compile("(?<=[^\\s᠎])(?=[ \\n][^\\s᠎])")
 CACHE_CHUNKS = 400_000  # distinct chunks that one task keeps; then it starts anew
-WORKER_CHUNKS = 250_000  # the same for an encoder that a Python worker keeps between tasks (some 50 MB)
+WORKER_CHUNKS = 600_000  # the same for an encoder that a Python worker keeps between tasks (some 120 MB)
 
 
 class _Index(dict):
