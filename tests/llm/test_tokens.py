@@ -10,6 +10,7 @@ import pytest
 from llm.conftest_llm import SF, odd_rows
 
 from vacancy_spark.llm import packing, token_counts, token_files
+from vacancy_spark.llm import _encode
 from vacancy_spark.llm._encode import ChunkEncoder, keeps_space, vocabulary_path
 
 
@@ -33,6 +34,40 @@ def test_chunks_give_the_ids_of_whole_texts(name):
             assert ids.tolist() == ask(t), repr(t)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_a_chunk_is_looked_up_once_for_many_texts(name):
+    asked = Counter()
+
+    class Counting(_encode._Index):
+        def __getitem__(self, key):
+            asked[key] += 1
+            return super().__getitem__(key)
+
+    ask, encoder = library(name), ChunkEncoder(vocabulary_path(name), keeps_space(name))
+    encoder.index = Counting()
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCéß", k=rng.randint(1, 12))) for _ in range(400)]
+    texts = [" ".join(rng.choices(words, k=100)) for _ in range(60)]
+    flat, counts = encoder.encode(texts)
+    assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [ask(t) for t in texts]
+    assert max(asked.values()) == 1 and len(asked) <= 2 * len(words)
+
+
+def test_white_space_and_marks_are_found_as_by_patterns():
+    import re
+
+    rng = random.Random(9)
+    rare = [chr(c) for c in range(0x3001) if _encode._RARE_SPACE.match(chr(c))]
+    parts = [*"ab1_é中😀ß’,.", ",", ".", *" \n", " ", "\x00", "\u2010", "\u3001", "\xa1"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 6))) for _ in range(3000)]
+    texts += [a + c + b for c in rare for a in ("", "a", "é") for b in ("", "a", " ")]
+    rng.shuffle(texts)
+    for t, rare, run, zero in zip(texts, *map(list, _encode._marked(texts))):
+        assert zero == ("\x00" in t)
+        assert rare == bool(_encode._RARE_SPACE.search(t) or re.search("[ \n][ \n]|[ \n]\\Z", t)), repr(t)
+        assert run == bool(re.search(r"[\W_][,.][ \n]", t)), repr(t)
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 

@@ -18,12 +18,24 @@ import types
 
 import numpy as np
 
+from vacancy_spark.llm._words import batches_of
+
 # white space other than space and line feed; U+180E counts as such in old Unicode tables
 _RARE_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0 ᠎ -   "
                          "  　]")
 _SPACE = re.compile("[\\s᠎]")
-_MARK_RUN = re.compile(r"[\W_][,.][ \n]")
+_RARE_BYTES = [chr(c).encode() for c in range(0x3001) if _RARE_SPACE.match(chr(c))]
+_RARE_CODES = np.array([int.from_bytes(x.ljust(3, b"\0"), "big") for x in _RARE_BYTES])
+_GAP, _RARE, _MARK, _WORD, _LEAD = (np.zeros(256, bool) for _ in range(5))
+_GAP[[0x20, 0x0A]] = _MARK[[0x2C, 0x2E]] = True
+_RARE[[x[0] for x in _RARE_BYTES if len(x) == 1]] = True
+_LEAD[[x[0] for x in _RARE_BYTES if len(x) > 1]] = True
+_WORD[[i for i in range(128) if chr(i).isalnum()]] = True
+_NO_WORD = re.compile(r"[\W_]")
 _CUT = re.compile("(?<=[^\\s᠎])(?=[ \\n][^\\s᠎])")
+_BARE = {"", "\x00", "\n"}
+PLAIN, CUT, WHOLE = 0, 1, 2
+SPLIT_CHARS = 8 << 20  # characters split at once
 CACHE_CHUNKS = 400_000  # distinct chunks that one task keeps; then it starts anew
 WORKER_CHUNKS = 600_000  # the same for an encoder that a Python worker keeps between tasks (some 120 MB)
 
@@ -68,41 +80,73 @@ class ChunkEncoder:
         batch = getattr(self.lib, "encode_batch_fast", self.lib.encode_batch)
         return [e.ids for e in batch(texts, add_special_tokens=False)]
 
-    def _chunks(self, text: str) -> list[str] | None:
-        """Keys of the text's chunks: ``\\x00x`` stands for x, a line feed for itself, any other
-        x for x after a space; None: ask the library for the whole text."""
-        if "\x00" in text or any(a in text for a in self.added):
-            return None
-        if (_RARE_SPACE.search(text) or "  " in text or "\n\n" in text or " \n" in text
-                or "\n " in text or text[-1] in " \n"):
-            return ["\x00" + x for x in _CUT.split(text)]
+    def _chunks(self, texts: list[str]) -> tuple[np.ndarray, list[str], list[list[str]]]:
+        """Which way each text goes, the plain texts with a space between any two chunks, and the
+        other texts' chunks. Keys of chunks: ``\\x00x`` stands for x, a line feed for itself, any
+        other x for x after a space. Texts that go WHOLE to the library have none."""
+        rare, run, zero = _marked(texts)
+        way = np.where(rare, CUT, PLAIN)
+        way[zero] = WHOLE
+        for a in self.added:
+            way[[i for i, t in enumerate(texts) if a in t]] = WHOLE
+        plain, cut = [], []
+        for text, how, runs in zip(texts, way.tolist(), run.tolist()):
+            if how == CUT:
+                cut.append(["\x00" + x for x in _CUT.split(text)])
+            elif how == PLAIN:
+                plain.append(self._spaced(text, runs))
+        return way, plain, cut
+
+    def _spaced(self, text: str, runs: bool) -> str:
         if not self.keeps_space and (text.isascii() or not ("Σ" in text or "İ" in text)):
             text = text.lower()
-        if not _MARK_RUN.search(text):
+        if not runs:
             text = (text.replace(", ", " \x00, ").replace(". ", " \x00. ")
                     .replace(",\n", " \x00,\n").replace(".\n", " \x00.\n"))
         if not self.keeps_space:
-            return text.replace("\n", " ").replace("\x00", "").split(" ")
+            return text.replace("\n", " ").replace("\x00", "")
         text = text.replace("\n", " \n \x00")
-        return (text[1:] if text[0] == " " else "\x00" + text).split(" ")
+        return text[1:] if text[0] == " " else "\x00" + text
+
+    def _numbers(self, plain: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of every chunk of the plain texts, and how many each text has; a chunk is
+        looked up once for many texts."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        rows, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for part in batches_of([len(t) for t in plain], SPLIT_CHARS):
+            lists = pc.split_pattern(pa.array(plain[part], pa.large_string()), " ")
+            found = lists.flatten().dictionary_encode()
+            words = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+            number = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+            rows.append(number[found.indices.to_numpy()])
+            counts.append(np.diff(lists.offsets.to_numpy()))
+        return np.concatenate(rows), np.concatenate(counts)
 
-    def _learn(self) -> None:
+    def _learn(self, plain: int) -> None:
         """Ask the library for every chunk seen since the last call, many in one text.
 
-        Chunks without white space inside are joined by a mark that the library always makes
-        one token of its own: a line feed (byte-level) or a lone bar (words).
+        Chunks of numbers below ``plain`` hold no white space but a lone line feed. Those of ASCII
+        letters alone are one piece to the library's pre-tokenizer, so its model is asked for them
+        directly. Chunks without white space inside are joined by a mark that the library always
+        makes one token of its own: a line feed (byte-level) or a lone bar (words).
         """
         new = list(itertools.islice(self.index, self.known, None))
-        body = [x[1:] if x[:1] == "\x00" else " " + x if x and x != "\n" else x for x in new]
-        alone = [i for i, x in enumerate(new) if _SPACE.search(x) or not x.strip("\x00")
-                 or not self.keeps_space and "|" in x]
+        plain = max(0, plain - self.known)
+        words = [i for i, x in enumerate(new[:plain]) if x.isascii() and x.isalpha()]
+        body = {i: x[1:] if x[:1] == "\x00" else " " + x if x and x != "\n" else x
+                for i, x in enumerate(new) if i >= plain or not (x.isascii() and x.isalpha())}
+        alone = [i for i in body if (new[i] in _BARE if i < plain else
+                                     _SPACE.search(new[i]) or not new[i].strip("\x00"))
+                 or not self.keeps_space and "|" in new[i]]
         rest = set(alone)
-        together = [i for i in range(len(new)) if i not in rest]
-        groups = [together[a:a + 1000] for a in range(0, len(together), 1000)]
+        together = [i for i in body if i not in rest]
+        groups = [together[a:a + 100] for a in range(0, len(together), 100)]
         mark = "\n" if self.keeps_space else " | "
         flats, lengths = [], [np.zeros(0, np.int64)]
-        for a in range(0, len(groups), 100):
-            some = groups[a:a + 100]
+        for a in range(0, len(groups), 1000):
+            some = groups[a:a + 1000]
             for g, ids in zip(some, self._library([mark.join([body[i] for i in g]) for g in some])):
                 ids = np.array(ids, np.uint32)
                 at = np.flatnonzero(ids == self.mark_id)
@@ -112,6 +156,11 @@ class ChunkEncoder:
                 else:  # never seen; one by one is always right
                     self._store(self._library([body[i] for i in g]), lengths, flats)
         self._store(self._library([body[i] for i in alone]), lengths, flats)
+        ask = self.lib.model.tokenize
+        for a in range(0, len(words), 10_000):
+            some = [new[i] for i in words[a:a + 10_000]]
+            some = ["Ġ" + x for x in some] if self.keeps_space else [x.lower() for x in some]
+            self._store([[t.id for t in ask(x)] for x in some], lengths, flats)
         lengths = np.concatenate(lengths)
         n, total = self.known + len(new), self.used + int(lengths.sum())
         while total > len(self.ids):
@@ -121,7 +170,7 @@ class ChunkEncoder:
             self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
         if total > self.used:
             self.ids[self.used:total] = np.concatenate(flats)
-        at = self.known + np.array(together + alone, np.int64)
+        at = self.known + np.array(together + alone + words, np.int64)
         self.starts[at] = self.used + np.cumsum(lengths) - lengths
         self.lengths[at] = lengths
         self.known, self.used = n, total
@@ -135,14 +184,26 @@ class ChunkEncoder:
         """All ids of ``texts`` one after the other, and the number of ids of each (null: 0)."""
         if len(self.index) > self.cache_chunks:
             self._empty()
-        chunks = [self._chunks(t) if t else [] for t in texts]
-        whole = [i for i, c in enumerate(chunks) if c is None]
-        rows = np.fromiter(map(self.index.__getitem__,
-                               itertools.chain.from_iterable(c for c in chunks if c)), np.int64)
-        self._learn()
+        some = [i for i, t in enumerate(texts) if t]
+        way, plain, cut = self._chunks([texts[i] for i in some])
+        rows, n = self._numbers(plain)
+        known = len(self.index)
+        more = np.fromiter(map(self.index.__getitem__, itertools.chain.from_iterable(cut)), np.int64)
+        self._learn(known)
+        per_text = np.zeros(len(texts), np.int64)
+        some = np.array(some, np.int64)
+        per_text[some[way == PLAIN]] = n
+        if cut:
+            per_text[some[way == CUT]] = np.fromiter(map(len, cut), np.int64, len(cut))
+            own = np.zeros(len(texts), bool)
+            own[some[way == CUT]] = True
+            own = np.repeat(own, per_text)
+            both = np.empty(len(own), np.int64)
+            both[own], both[~own] = more, rows
+            rows = both
+        whole = some[way == WHOLE].tolist()
         lengths = self.lengths[rows]
         flat = self.ids[_ranges(self.starts[rows], lengths)]
-        per_text = np.fromiter((len(c) if c else 0 for c in chunks), np.int64, len(chunks))
         sums = np.concatenate([[0], np.cumsum(lengths)])
         last = np.cumsum(per_text)
         counts = sums[last] - sums[last - per_text]
@@ -155,6 +216,45 @@ class ChunkEncoder:
         return flat, counts
 
 
+def _marked(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text (none empty) whether it holds white space other than single spaces and line
+    feeds inside it; a comma or full stop, before one of these, that follows neither letter nor digit;
+    a zero byte."""
+    raw = [t.encode() for t in texts]
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+    data = np.frombuffer(b"".join([b" " * 4, *raw, b" " * 4]), np.uint8)  # no place lacks neighbours
+    bounds += 4
+    body = slice(4, len(data) - 4)
+    rare, run, zero = (np.zeros(len(texts), bool) for _ in range(3))
+
+    def owner(at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(bounds, at, "right") - 1
+
+    gap = _GAP[data]
+    rare[gap[bounds[1:] - 1]] = True  # so a gap at the next text's head makes no difference
+    rare[owner(np.flatnonzero(gap[body] & gap[5:len(data) - 3]) + 4)] = True
+    rare[owner(np.flatnonzero(_RARE[data[body]]) + 4)] = True
+    zero[owner(np.flatnonzero(data[body] == 0) + 4)] = True
+    at = np.flatnonzero(_LEAD[data[body]]) + 4
+    if len(at):
+        code = (data[at].astype(np.int64) << 16) | (data[at + 1].astype(np.int64) << 8)
+        code |= np.where(data[at] < 0xE0, 0, data[at + 2])
+        rare[owner(at[np.isin(code, _RARE_CODES)])] = True
+    at = np.flatnonzero(_MARK[data[body]] & gap[5:len(data) - 3]) + 4
+    own = owner(at)
+    # within its text: a mark that its text ends with is followed by no gap of its own
+    keep = (at > bounds[own]) & (at + 1 < bounds[own + 1]) & ~_WORD[data[at - 1]]
+    at, own = at[keep], own[keep]
+    run[own[data[at - 1] < 0x80]] = True
+    far = data[at - 1] >= 0x80
+    at, own = at[far], own[far]
+    if len(at):  # the character before, of up to four bytes
+        kinds, which = np.unique(data[at[:, None] + np.arange(-4, 0)], axis=0, return_inverse=True)
+        no_word = [bool(_NO_WORD.match(x.tobytes().decode(errors="ignore")[-1])) for x in kinds]
+        run[own[np.array(no_word)[which.ravel()]]] = True
+    return rare, run, zero
+
+
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """starts[0], starts[0]+1, ... (lengths[0] of them), then starts[1], ..."""
     some = lengths > 0

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacancy_spark.llm._encode import ChunkEncoder, keeps_space, vocabulary_path
+from vacancy_spark.llm._encode import ChunkEncoder, keeps_space, vocabulary_path, worker_encoder
 from vacancy_spark.llm._shared import documents, narrow_batches, stored, tidy
 
 CAPACITY = 4096
@@ -33,12 +33,17 @@ PACKED = PIECES + ", piece_no long, sequence_id long, offset long, fill long"
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "word_bpe_49k.json",
-           end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pieces of every document's ids (its text's, then ``end_id``)."""
+           end_id: int = 1, id_col: str = "doc_id", text_col: str = "text",
+           keep_encoder: bool = False) -> DataFrame:
+    """The pieces of every document's ids (its text's, then ``end_id``).
+
+    ``keep_encoder``: a Python worker keeps its encoder for its next tasks, and the memory with it.
+    """
     narrow_batches(docs.sparkSession)
 
     def cut(batches):
-        encoder = ChunkEncoder(vocabulary_path(vocabulary), keeps_space(vocabulary))
+        make = worker_encoder if keep_encoder else ChunkEncoder
+        encoder = make(vocabulary_path(vocabulary), keeps_space(vocabulary))
         for b in batches:
             ids, counts = encoder.encode(b.column("text").to_pylist())
             ids = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
@@ -193,4 +198,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "word_bpe_
 
 def op3_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4096 ids of word_bpe_49k.json."""
-    return pack(documents(spark, sf_dir))
+    return pack(documents(spark, sf_dir), keep_encoder=True)
