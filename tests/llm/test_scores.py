@@ -49,6 +49,27 @@ def test_toxicity_of_held_out_documents(spark):
     assert sum(s >= 0.5 for s in no) <= 0.02 * len(no)
 
 
+def test_driver_keeps_the_machine_alone_after_training(spark, monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    docs = [(i, " ".join("".join(rng.choices("abcdefgh", k=3)) for _ in range(500))) for i in range(400)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic"))
+    learn, given, held = toxicity.Machine.learn, [], []
+    monkeypatch.setattr(toxicity.Machine, "learn", lambda rows, label: given.extend(
+        (t.tolist(), x.tolist(), float(y)) for (t, x), y in zip(rows, label)) or learn(rows, label))
+    monkeypatch.setattr(toxicity, "hand_back", lambda: held.append(pa.total_allocated_bytes()))
+    before = pa.total_allocated_bytes()
+    toxicity.train(docs, labels, F.lit(True))
+    assert len(held) == 1 and held[0] <= before + 1000
+    want = []  # the weights that the executors no longer send
+    for r in docs.collect():
+        owner, segment, term, x = toxicity.terms([r.text.encode()])
+        want += [(term[segment == k].tolist(), x[segment == k].tolist(), r.doc_id % 2) for k in range(len(owner))]
+    assert sorted(given) == sorted(want)
+
+
 def test_toxicity_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(4, 1), (5, 1), (5, 0), (None, 1), (9, None), (10, 0), (99, 1)],
                                    "doc_id long, toxic int")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacancy_spark.llm._shared import documents, narrow_batches, tidy
+from vacancy_spark.llm._shared import documents, hand_back, narrow_batches, tidy
 from vacancy_spark.llm._words import _SPACE, Words, batches_of, text_bytes
 
 BITS = 18
@@ -155,19 +155,29 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
             for part in batches_of([len(t) for t in texts], BATCH_BYTES):
                 owner, segment, term, x = terms(texts[part])
                 starts = np.searchsorted(segment, np.arange(len(owner) + 1)).astype(np.int32)
-                own = lambda v, t: pa.ListArray.from_arrays(pa.array(starts), pa.array(v, t))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([label[part][d] for d in owner], pa.float64()),
-                     own(term, pa.int32()), own(x, pa.float32())], ["label", "term", "x"])
+                     pa.ListArray.from_arrays(pa.array(starts), pa.array(term, pa.int32()))],
+                    ["label", "term"])
 
-    found = rows.mapInArrow(tidy(hashed), "label double, term array<int>, x array<float>")
+    found = rows.mapInArrow(tidy(hashed), "label double, term array<int>")
     # in an order that reruns share; a text of many segments has many rows
-    table = found.withColumn("order", F.xxhash64("term", "label")).orderBy("order").limit(
-        2 * train_rows).select("label", "term", "x").toArrow().combine_chunks()
-    lists = [table.column(c).combine_chunks() for c in ("term", "x")]
-    cut = [x.offsets.to_numpy()[1:-1] - x.offsets[0].as_py() if len(x) else [] for x in lists]
-    examples = list(zip(*(np.split(x.flatten().to_numpy(), c) for x, c in zip(lists, cut))))
-    return Machine.learn(examples[:len(table)], table.column("label").to_numpy().astype(np.float32))
+    machine = _learned(found.withColumn("order", F.xxhash64("term", "label")).orderBy("order").limit(
+        2 * train_rows).select("label", "term"))
+    hand_back()  # the driver's process goes on, without the examples
+    return machine
+
+
+def _learned(rows: DataFrame) -> Machine:
+    """A machine learned on the driver from ``rows``: label, term (a segment's distinct terms)."""
+    table = rows.toArrow().combine_chunks()
+    lists = table.column("term").combine_chunks()
+    cut = lists.offsets.to_numpy() - lists.offsets[0].as_py() if len(lists) else np.zeros(1, np.int64)
+    term = np.split(lists.flatten().to_numpy(), cut[1:-1])
+    # the terms of a segment weigh the same (see terms()), so their weights need not be sent
+    x = [np.full(len(t), SCALE / np.sqrt(max(1, len(t))), np.float32) for t in term]
+    return Machine.learn(list(zip(term, x))[:len(table)],
+                         table.column("label").to_numpy().astype(np.float32))
 
 
 def score(docs: DataFrame, machine: Machine, text_col: str = "text",
