@@ -45,7 +45,8 @@ RECALL = 0.9999
 MARGIN = 0.14  # four standard deviations of a similarity of 0.8 estimated from 128 values
 CLOSE = 0.93  # estimated similarity to the hub at which a member leaves a large node
 BLOCK = 1024
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 18
+CELLS = 1 << 20  # of the table that a block's sets are compared in, some shingles at a time
 
 _FACTORS = np.random.default_rng(5).integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -262,7 +263,7 @@ def compare_block(flat: np.ndarray, counts: np.ndarray, left: np.ndarray, right:
     both = np.zeros((len(left), len(right)), np.float32)
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
-    width = max(1, (8 << 20) // max(1, len(counts)))
+    width = max(1, CELLS // max(1, len(counts)))
     for a in range(0, int(shared.sum()), width):
         s, e = np.searchsorted(column, [a, a + width])
         m = np.zeros((len(counts), min(width, int(shared.sum()) - a)), np.float32)

@@ -22,10 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacancy_spark.llm._encode import ChunkEncoder, keeps_space, vocabulary_path, worker_encoder
-from vacancy_spark.llm._shared import documents, narrow_batches, stored, tidy
+from vacancy_spark.llm._shared import documents, hand_back, narrow_batches, stored, tidy
+from vacancy_spark.llm._words import batches_of
 
 CAPACITY = 4096
 GROUP_PIECES = 20_000
+BATCH_CHARS = 1 << 20  # characters of texts that are encoded at once
+TASK_CHUNKS = 100_000  # distinct chunks that an encoder of one task keeps
 UNDERFULL = 0.98  # bins filled less than this take part in the second round
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -42,28 +45,36 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "word_bp
     narrow_batches(docs.sparkSession)
 
     def cut(batches):
-        make = worker_encoder if keep_encoder else ChunkEncoder
-        encoder = make(vocabulary_path(vocabulary), keeps_space(vocabulary))
+        path, space = vocabulary_path(vocabulary), keeps_space(vocabulary)
+        encoder = worker_encoder(path, space) if keep_encoder else ChunkEncoder(path, space, TASK_CHUNKS)
         for b in batches:
-            ids, counts = encoder.encode(b.column("text").to_pylist())
-            ids = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
-            counts = counts + 1
-            n = -(-counts // capacity)
-            doc = np.repeat(np.arange(len(counts)), n)
-            piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-            start = piece * capacity
-            length = np.minimum(counts[doc] - start, capacity)
-            at = (np.cumsum(counts) - counts)[doc] + start
-            crc = [zlib.crc32(ids[a:a + k].data) for a, k in zip(at, length)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(pa.array(doc)), pa.array(piece, pa.int32()),
-                 pa.array(start, pa.int64()), pa.array(length, pa.int64()),
-                 pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield from _cut(b, encoder, capacity, end_id)
+            hand_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.col(text_col).alias("text")).mapInArrow(tidy(cut), PIECES)
 
 
+def _cut(b: pa.RecordBatch, encoder: ChunkEncoder, capacity: int, end_id: int):
+    """The pieces of a batch of doc_id and text; no more than BATCH_CHARS (or one text) are encoded at once."""
+    texts = b.column("text").to_pylist()
+    for part in batches_of([len(t or "") for t in texts], BATCH_CHARS):
+        ids, counts = encoder.encode(texts[part])
+        ids = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
+        counts = counts + 1
+        n = -(-counts // capacity)
+        doc = np.repeat(np.arange(len(counts)), n)
+        piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+        start = piece * capacity
+        length = np.minimum(counts[doc] - start, capacity)
+        at = (np.cumsum(counts) - counts)[doc] + start
+        crc = [zlib.crc32(ids[a:a + k].data) for a, k in zip(at, length)]
+        yield pa.RecordBatch.from_arrays(
+            [b.column("doc_id").take(pa.array(part.start + doc)), pa.array(piece, pa.int32()),
+             pa.array(start, pa.int64()), pa.array(length, pa.int64()),
+             pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+
+
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Bins of piece indexes: each piece, largest first, goes to the fullest bin that has room."""
     bins: list[list[int]] = []

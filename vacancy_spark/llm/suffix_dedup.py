@@ -42,7 +42,7 @@ GRAM = 32
 SHARDS = 4
 TASK_PIECES = 3_000
 CROWD = 20_000  # different pieces of one gram beyond which its strings are counted one by one
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18  # of texts that are cut at once
 _SECOND = 0xC2B2AE3D27D4EB4F  # base of a second hash, odd
 
 
