@@ -53,6 +53,52 @@ def test_a_chunk_is_looked_up_once_for_many_texts(name):
     assert max(asked.values()) == 1 and len(asked) <= 2 * len(words)
 
 
+def test_words_of_latin_letters_go_to_the_bare_model():
+    name, whole = "byte_bpe_50k.json", []
+
+    class Watched(ChunkEncoder):
+        def _library(self, texts, lib=None):
+            if lib is None or lib is self.lib:
+                whole.extend(texts)
+            return super()._library(texts, *([] if lib is None else [lib]))
+
+    rng, letters = random.Random(5), [chr(c) for c in range(0x250) if chr(c).isalpha()]
+    words = ["".join(rng.choices(letters, k=rng.randint(1, 40))) for _ in range(3000)] + letters
+    texts = [x.join(rng.choices(words, k=90)) for x in " \n" for _ in range(60)] + [" ".join(letters)]
+    ask, encoder = library(name), Watched(vocabulary_path(name), keeps_space(name))
+    for _ in range(2):
+        flat, counts = encoder.encode(texts)
+        assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [ask(t) for t in texts]
+    assert sum(map(len, whole)) < 10 and len(encoder.index) > 2000
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_a_full_cache_keeps_the_chunks_met_again(name):
+    learnt = Counter()
+
+    class Watched(ChunkEncoder):
+        def _learn(self, plain):
+            learnt.update(list(self.index)[self.known:])
+            super()._learn(plain)
+
+    ask, encoder = library(name), Watched(vocabulary_path(name), keeps_space(name), cache_chunks=300)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=9))
+    common = [word() for _ in range(60)]
+    for _ in range(20):
+        texts = [" ".join(["a", *common, *(word() for _ in range(20)), "\t" + word()][:k]) for k in (0, 81, 81, 82)]
+        flat, counts = encoder.encode(texts)
+        assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [ask(t) for t in texts]
+        assert len(encoder.index) <= 300 + 100
+    assert all(learnt[x] == 1 for x in common)
+    for _ in range(12):  # all are met again: the oldest half stays at most
+        texts = [" ".join(word() for _ in range(100))]
+        for _ in range(2):
+            flat, counts = encoder.encode(texts)
+            assert flat.tolist() == ask(texts[0])
+            assert len(encoder.index) <= 300 + 100
+
+
 def test_white_space_and_marks_are_found_as_by_patterns():
     import re
 
